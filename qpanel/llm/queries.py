@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, simhash, tokens
+from . import exact_dedup, language, licenses, mixing, packing, quality, simhash, suffix_dedup, tokens, toxicity
 from .shared import documents
 
 #: Word characters as in shared.WORD, for DuckDB.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
@@ -41,6 +53,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
@@ -79,16 +95,19 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {
+    return {
+        "op1_license_scan": op1_license_scan,
+        "op2_language_id": op2_language_id,
         "op3_simhash": op3_simhash,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
+        "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
     }
-    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_license_scan": licenses.oracle(), "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
