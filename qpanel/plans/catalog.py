@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features, labels_joins
+from . import features, labels_joins, scores
 
-MODULES = (features, labels_joins)
+MODULES = (features, labels_joins, scores)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

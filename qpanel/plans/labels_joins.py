@@ -171,12 +171,12 @@ def venues(spark, sf_dir):
     return joins.cross_venue(q).withColumn("net_spread", fixed("net_spread"))
 
 
-@query("j15_basket_premium", f"WITH {BARS}, {BENCH}, n AS (SELECT sector AS fund, date, sum(1.0::DOUBLE * close) AS basket_value, count(*) AS n_held, sum(open) AS price FROM panel JOIN sectors USING (symbol) GROUP BY sector, date) SELECT fund, date, {fx('basket_value', 3)} AS basket_value, n_held, {fx('price', 3)} AS price, {fx('price / basket_value - 1')} AS premium FROM n")
+@query("j15_basket_premium", f"WITH {BARS}, {BENCH}, n AS (SELECT sector AS fund, date, sum(1.0::DOUBLE * close) AS basket_value, count(*) AS n_held, sum(open) AS price FROM panel JOIN sectors USING (symbol) GROUP BY sector, date) SELECT fund, date, n_held, {fx('price / basket_value - 1')} AS premium FROM n")
 def premium(spark, sf_dir):
     p = sample(spark, sf_dir).withColumn("fund", residual.sector_of(F.col("symbol")))
     held = p.select("fund", "symbol").distinct().withColumn("shares", F.lit(1.0))
     df = joins.basket_premium(held, p.select("symbol", "date", "close"), p.groupBy("fund", "date").agg(F.sum("open").alias("price")))
-    return df.select("fund", "date", fixed("basket_value", 3).alias("basket_value"), "n_held", fixed("price", 3).alias("price"), fixed("premium").alias("premium"))
+    return df.select("fund", "date", "n_held", fixed("premium").alias("premium"))
 
 
 @query("j16_basis_carry", f"WITH {BARS}, f AS (SELECT symbol AS underlying, date, close AS spot_price, open AS future_price, last_day(date) + 60 AS expiry FROM panel), y AS (SELECT *, date_diff('day', date, expiry) / 365.0::DOUBLE AS years FROM f WHERE close_ok(spot_price, future_price)) SELECT underlying, date, {fx('future_price / spot_price - 1')} AS basis, {fx('exp(0.03::DOUBLE * years) - 1')} AS fair_basis, {fx('ln(future_price / spot_price) / years')} AS annual_carry, {fx('ln(future_price / spot_price) / years - 0.03::DOUBLE')} AS mispricing FROM y".replace("close_ok(spot_price, future_price)", "spot_price > 0 AND future_price > 0"))
