@@ -23,7 +23,7 @@ from .shared import as_bytes
 THRESHOLD, GRAM = 200, 100
 REACH = THRESHOLD - GRAM
 #: Bytes of text in a chunk, string starts handled at once, and bytes of text for each sorting task.
-CHUNK, BLOCK, PART = 8_000_000, 500_000, 64_000_000
+CHUNK, BLOCK, PART = 3_000_000, 250_000, 64_000_000
 NONE, WHOLE, SEND, BOTH = 0, 1, 2, 3
 
 _rng = np.random.Generator(np.random.PCG64(20))
