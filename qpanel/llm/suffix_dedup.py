@@ -41,6 +41,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def first_digit(anchor: np.ndarray, digit) -> np.ndarray:
+    """Fingerprint of the GRAM bytes at an anchor, mixed anew: those that were smallest would otherwise all go to one sorting task."""
+    return mixed(digit(anchor, anchor + GRAM) + np.uint64(0x94D049BB133111EB))
+
+
 class Chunk:
     """The texts of a chunk in one buffer, visited in blocks of string starts."""
 
@@ -104,7 +109,7 @@ class Chunk:
                 a = a[a > places[-1][-1]]
             if len(a):
                 places.append(a)
-                first.append(digit(a, a + GRAM))
+                first.append(first_digit(a, digit))
                 second.append(self.around(a, digit))
         if not places:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -127,7 +132,7 @@ class Chunk:
             if not len(digits):
                 return
             a, back = np.unique(anchor, return_inverse=True)
-            state = states[np.searchsorted(digits, digit(a, a + GRAM))][back.reshape(-1)]
+            state = states[np.searchsorted(digits, first_digit(a, digit))][back.reshape(-1)]
             mark[starts[(state & WHOLE) > 0]] = True
             s = starts[(state & SEND) > 0]
             if len(s):
