@@ -23,7 +23,7 @@ def is_empty_token(x: Column) -> Column:
 
 def signed_percent(x: Column) -> Column:
     """P12. +1.23%"""
-    return F.format_string("%+.2f%%", x * 100)
+    return F.when(x.isNotNull(), F.format_string("%+.2f%%", x * 100))
 
 
 def grade_score(grade: Column) -> Column:

@@ -136,7 +136,7 @@ def breadth_lines(panel: DataFrame) -> DataFrame:
         frame["mcclellan"] = pd.Series(value).astype(object).where(~np.isnan(value), None)
         return frame[["date", "advances", "declines", "net", "ad_line", "ad_ratio", "mcclellan"]]
 
-    return days.groupBy(F.lit(0)).applyInPandas(oscillate, "date date, advances long, declines long, net long, ad_line long, ad_ratio double, mcclellan double")
+    return days.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(oscillate, "date date, advances long, declines long, net long, ad_line long, ad_ratio double, mcclellan double")
 
 
 def higher_timeframe(panel: DataFrame) -> DataFrame:

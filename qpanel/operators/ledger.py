@@ -120,7 +120,7 @@ def weather(grade: Column) -> Column:
 def freshness(symbols: DataFrame, bars: DataFrame, as_of: str, stale_days: int = 4) -> DataFrame:
     """B10. symbols(symbol, signal_date): last bar, rows, bars after the signal, and whether the data are missing or stale at a given date."""
     agg = bars.groupBy("symbol").agg(F.max("date").alias("last_date"), F.count(F.lit(1)).alias("rows"))
-    df = symbols.join(agg, "symbol", "left")
+    df = symbols.join(agg, "symbol", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     after = bars_after(symbols, bars, WINDOW_BARS).groupBy("symbol", "signal_date").agg(F.count(F.lit(1)).alias("bars_after"))
     df = df.join(after, ["symbol", "signal_date"], "left").withColumn("bars_after", F.coalesce("bars_after", F.lit(0)))
     status = F.when(F.col("last_date").isNull(), "MISSING").when(F.date_diff(F.to_date(F.lit(as_of)), "last_date") > stale_days, "STALE").otherwise("FRESH")

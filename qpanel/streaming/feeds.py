@@ -103,27 +103,44 @@ ALARM_OUT = "symbol string, last_tick timestamp, alarm_at timestamp"
 
 
 class StaleAlarm(StatefulProcessor):
-    """T-6. A row when no tick has come for a while of event time; each tick sets the timer anew."""
+    """A row for each hour without a tick: from the gaps between ticks, and from an event-time timer when no tick follows at all.
 
-    quiet_ms = 3_600_000
+    State: the last tick, and whether its timer has raised the alarm already.
+    """
+
+    quiet = 3_600_000_000  # in microseconds, as the times below
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
+        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType()), T.StructField("raised", T.BooleanType())]))
+
+    def timer(self, us: int) -> int:
+        """The first millisecond at which the alarm is due."""
+        return -(-(us + self.quiet) // 1000)
+
+    def alarms(self, key, ticks: list[int]) -> pd.DataFrame:
+        at = pd.Series(ticks, dtype="int64")
+        return pd.DataFrame({"symbol": pd.Series([key[0]] * len(at), dtype=object), "last_tick": pd.to_datetime(at, unit="us"), "alarm_at": pd.to_datetime(at + self.quiet, unit="us")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(f["ts"].max().timestamp() * 1000) for f in rows)
+        times = sorted(t for f in rows for t in f["ts"].astype("datetime64[us]").astype("int64").tolist())
+        gone = []
         if self.last.exists():
-            old = self.last.get()[0]
-            self.handle.deleteTimer(old + self.quiet_ms)
-            newest = max(newest, old)
-        self.last.update((newest,))
-        self.handle.registerTimer(newest + self.quiet_ms)
-        yield pd.DataFrame(columns=["symbol", "last_tick", "alarm_at"])
+            old, raised = self.last.get()
+            if not raised:
+                self.handle.deleteTimer(self.timer(old))
+            gone = [old] if raised else []
+            times = sorted([old, *times])
+        found = [a for a, b in zip(times, times[1:]) if b - a >= self.quiet and a not in gone]
+        self.last.update((times[-1], times[-1] in gone))
+        if times[-1] not in gone:
+            self.handle.registerTimer(self.timer(times[-1]))
+        yield self.alarms(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        yield pd.DataFrame({"symbol": [key[0]], "last_tick": [pd.Timestamp(at - self.quiet_ms, unit="ms")], "alarm_at": [pd.Timestamp(at, unit="ms")]})
+        us = self.last.get()[0]
+        self.last.update((us, True))
+        yield self.alarms(key, [us])
 
     def close(self) -> None:
         pass
@@ -133,8 +150,19 @@ def stale_alarms(t: DataFrame) -> DataFrame:
     return t.withWatermark("ts", DELAY).groupBy("symbol").transformWithStateInPandas(statefulProcessor=StaleAlarm(), outputStructType=ALARM_OUT, outputMode="Append", timeMode="EventTime")
 
 
+#: The state store that timers and several states of one key need.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now, into a table in memory, and returns that."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    conf = df.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
     return df.sparkSession.table(name)
