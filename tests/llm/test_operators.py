@@ -251,20 +251,19 @@ def test_packing_groups_and_balance(make):
     assert packing.packed(make([(k, "a b c") for k in range(50)]), group_tokens=16).selectExpr("sum(length)").first()[0] == 50 * 4
     rng = random.Random(2)
     lengths = [rng.randint(1, 2000) for _ in range(400)]
-    cost = [sum(n + n * n / 2048 for _, _, n in s) for s in packing.balanced(lengths, 2048) if sum(n for _, _, n in s) == 2048]
-    in_order, at = [], 0
-    room = 2048
-    current = 0.0
-    for n in lengths:
-        while n:
-            m = min(n, room)
-            current += m + m * m / 2048
-            n, room = n - m, room - m
-            if not room:
-                in_order.append(current)
-                room, current = 2048, 0.0
-    del at
-    assert np.std(cost) < 0.7 * np.std(in_order)
+    got = packing.balanced(lengths, 2048)
+    # the rule itself, each step a search of all sequences
+    room = packing.capacities(sum(lengths), 2048)
+    cost, want = [2048.0 - c for c in room], [[] for _ in room]
+    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+        start, left = 0, lengths[d]
+        while left:
+            k = min((k for k in range(len(room)) if room[k]), key=lambda k: (cost[k], k))
+            n = min(left, room[k])
+            want[k].append((d, start, n))
+            room[k], cost[k], start, left = room[k] - n, cost[k] + n + n * n / 2048, start + n, left - n
+    assert got == want and not any(room)
+    assert packing.capacities(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
 
 
 # op6
