@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import as_texts, batch
@@ -15,7 +15,7 @@ from .shared import as_texts, batch
 #: Bins for the presence of 1-, 2- and 3-grams of characters.
 BINS = (2048, 8192, 32768)
 WIDTH = sum(BINS)
-#: Bounds of the sample that the classifier is fitted on: documents of each language, languages, landmarks of each and in all.
+#: Size of the sample that the classifier is fitted on: expected documents of each language, languages, landmarks of each and in all.
 PER_LANGUAGE, LANGUAGES, LANDMARKS, MOST_LANDMARKS = 400, 64, 24, 192
 RIDGE, SHARPNESS = 1e-3, 6.0
 #: Documents in one matrix product, and characters of a text handled at once.
@@ -102,13 +102,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """At most PER_LANGUAGE documents of each of at most LANGUAGES languages, those with the smallest hashes."""
+    """About PER_LANGUAGE documents of each of at most LANGUAGES languages: those whose hash is below the language's share.
+
+    Only counts are shuffled, combined within map tasks; no language's rows meet in a task.
+    """
     df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     df = df.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("_id")))
-    common = df.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).select("_lang")
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = df.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= PER_LANGUAGE).join(F.broadcast(common), "_lang").select("_id").distinct()
-    return df.join(F.broadcast(ids), "_id")
+    common = df.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(LANGUAGES)
+    place = F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) / 1_000_003.0
+    return df.join(F.broadcast(common), "_lang").filter(place < PER_LANGUAGE / F.col("_n"))
 
 
 def trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | None:
