@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -37,9 +38,9 @@ def shared_root(spark) -> str:
     """A folder that all executors reach, for stores that a query writes and reads again."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="qpanel-")
-    import uuid
-
     return f"{folder}/store-{uuid.uuid4().hex}"
 
 
@@ -372,3 +373,52 @@ def set_operations(spark, sf_dir):
         out = out.join(F.broadcast(part))
     return out
 
+
+
+@query("s10_s12_store_summary", f"WITH {FEATS}, u AS (SELECT f.category, f.feature, f.v FROM feats, LATERAL (VALUES ('statistical', 'mom_5d', mom_5d), ('statistical', 'mom_20d', mom_20d), ('technical', 'rvol_20', rvol_20)) f(category, feature, v)), v(version) AS (VALUES ('v1'), ('v2')) SELECT version, category, count(DISTINCT feature) AS n_features, count(*) AS n_values FROM u, v GROUP BY version, category")
+def store_summary(spark, sf_dir):
+    """Two versions written; counts of each category by version."""
+    s = store.FeatureStore(spark, shared_root(spark))
+    wide = scored_input(spark, sf_dir, ["mom_5d", "mom_20d", "rvol_20"]).select("symbol", "date", "mom_5d", "mom_20d", "rvol_20")
+    for version in ("v1", "v2"):
+        s.write(wide, {"mom_5d": "statistical", "mom_20d": "statistical", "rvol_20": "technical"}, version)
+    parts = [s.summary(v).withColumn("version", F.lit(v)) for v in ("v1", "v2")]
+    return parts[0].unionByName(parts[1]).select("version", "category", "n_features", "n_values")
+
+
+@query("s16_s17_ledger_round_trip", f"WITH {OBSERVED} SELECT observation_id, symbol, CAST(signal_date AS VARCHAR) AS signal_date, amount, 'run1' AS run_id FROM obs")
+def ledger_round_trip(spark, sf_dir):
+    """A ledger written as CSV, read with a fixed schema, and sent to a report as JSON."""
+    root = shared_root(spark)
+    observations(spark, sf_dir).select("observation_id", "symbol", "signal_date", "amount").write.option("header", True).csv(f"{root}/ledger")
+    read = store.read_ledger(spark, f"{root}/ledger", "observation_id long, symbol string, signal_date string, amount double").drop("_corrupt_record")
+    store.write_report(read, f"{root}/report", "run1")
+    return spark.read.schema("observation_id long, symbol string, signal_date string, amount double, run_id string").json(f"{root}/report")
+
+
+@query("s18_feature_cache", f"WITH {FEATS} SELECT symbol, count(*) AS n, {fx('avg(mom_5d)')} AS mean_momentum, {fx('avg(forward_return_5d)')} AS mean_return FROM feats GROUP BY symbol")
+def feature_cache(spark, sf_dir):
+    """A slim cache bucketed by symbol, aggregated without another shuffle by symbol."""
+    s = store.FeatureStore(spark, shared_root(spark))
+    slim = s.cache(scored_input(spark, sf_dir, ["mom_5d"]).select("symbol", "date", "mom_5d", "forward_return_5d"), f"cache_{uuid.uuid4().hex}")
+    return slim.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("mom_5d")).alias("mean_momentum"), fixed(F.avg("forward_return_5d")).alias("mean_return"))
+
+
+@query("v4_cluster_representative", f"WITH {FEATS}, u AS (SELECT f.cluster, f.feature, f.v FROM feats, LATERAL (VALUES ('trend', 'mom_5d', mom_5d), ('trend', 'mom_20d', mom_20d), ('flow', 'rvol_20', rvol_20), ('flow', 'close_location', close_location)) f(cluster, feature, v)), g AS (SELECT cluster, feature, count(*) FILTER (v IS NULL) / count(*) AS missing FROM u GROUP BY cluster, feature) SELECT cluster, arg_max(feature, (-0.5 * missing, feature)) AS representative FROM g GROUP BY cluster")
+def representatives(spark, sf_dir):
+    """The most complete member of each cluster, where IC and stability are the same."""
+    from qpanel.operators import scoring, validation
+
+    names = ["mom_5d", "mom_20d", "rvol_20", "close_location"]
+    st = scoring.statistics(scored_input(spark, sf_dir), names).groupBy("feature").agg((F.sum("n_nan") / F.sum("n_values")).alias("missing_rate"))
+    scores = st.withColumns({"ic": F.lit(0.0), "stability": F.lit(0.0)})
+    clusters = spark.createDataFrame([("trend", "mom_5d"), ("trend", "mom_20d"), ("flow", "rvol_20"), ("flow", "close_location")], "cluster string, feature string")
+    return validation.representative(scores, clusters)
+
+
+@query("a2_category_counts", f"WITH {FEATS}, u AS (SELECT f.category, f.v FROM feats, LATERAL (VALUES ('statistical', mom_5d), ('statistical', mom_20d), ('technical', rvol_20), ('microstructure', close_location)) f(category, v)) SELECT category, count(v) AS n_present, count(*) AS n_values FROM u GROUP BY category")
+def category_counts(spark, sf_dir):
+    kinds = {x.name: x.category for x in every_spec()}
+    names = ["mom_5d", "mom_20d", "rvol_20", "close_location"]
+    rows = F.array(*[F.struct(F.lit(kinds[n]).alias("category"), F.col(n).alias("v")) for n in names])
+    return scored_input(spark, sf_dir, names).select(F.explode(rows).alias("r")).select("r.*").groupBy("category").agg(F.count("v").alias("n_present"), F.count(F.lit(1)).alias("n_values"))
