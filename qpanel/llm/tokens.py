@@ -16,8 +16,8 @@ from .shared import as_texts, batch
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary and merges as ranks: a faster way to the same ids for plain words.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: The table of frequent pre-tokens: its entries, and the texts it is gathered from. It only saves work; results don't depend on it.
-TABLE_ENTRIES, TABLE_TEXTS = 20_000, 1_000
+#: Entries of the table of frequent pre-tokens, and counters that a task holds while it counts them. The table only saves work; results don't depend on it.
+TABLE_ENTRIES, COUNTERS = 20_000, 400_000
 #: Entries that a worker's cache holds; rarer ones are encoded again for each group of texts.
 CACHE_ENTRIES = 300_000
 #: Characters of text that are looked up together.
@@ -122,21 +122,27 @@ class Encoder:
             at = upto
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, path: str, ranks: str | None, entries: int = TABLE_ENTRIES, texts: int = TABLE_TEXTS) -> tuple[str, bytes]:
-    """The most frequent pieces of some texts, joined by null characters, and a byte for the length of each."""
+def frequent_lengths(docs: DataFrame, text_col: str, path: str, ranks: str | None, entries: int = TABLE_ENTRIES, counters: int = COUNTERS) -> tuple[str, bytes]:
+    """The most frequent pieces of all texts, joined by null characters, and a byte for the length of each.
+
+    Pieces are counted within the tasks, and only a task's most frequent ones leave it.
+    A task beyond its counters forgets the rarer half of its pieces.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder(path, ranks, {}), Counter()
         for b in batches:
             for text in as_texts(b.column(0)):
                 seen.update(encoder.pieces(text) or ())
+                if len(seen) > counters:
+                    seen = Counter(dict(seen.most_common(counters // 2)))
         top = seen.most_common(entries)
         sizes = encoder.looked_up({p for p, _ in top})
         schema = pa.schema([("piece", pa.string()), ("n", pa.int64()), ("size", pa.int32())])
         yield batch(schema, [p for p, _ in top], [n for _, n in top], [sizes[p] for p, _ in top])
 
-    some = docs.select(F.substring(F.col(text_col), 1, 20_000).alias("text")).limit(texts)
-    rows = some.mapInArrow(count, "piece string, n long, size int").filter("size < 256").groupBy("piece", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries).collect()
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "piece string, n long, size int").filter("size < 256")
+    rows = found.groupBy("piece", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries).collect()
     return "\0".join(r["piece"] for r in rows), bytes(r["size"] for r in rows)
 
 
@@ -144,9 +150,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Tokens of each whole text, as the library counts them, without a shuffle of texts or pre-tokens.
 
     A table with the lengths of at most TABLE_ENTRIES frequent pre-tokens is broadcast
-    (a few hundred KB, whatever the input); it comes from the starts of TABLE_TEXTS
-    texts and changes only how often the library is asked. Other pre-tokens are encoded
-    once per worker. Texts with the string of an added token go to the library whole.
+    (a few hundred KB, whatever the input); it comes from the counts of all texts and
+    changes only how often the library is asked. Other pre-tokens are encoded once per
+    worker. Texts with the string of an added token go to the library whole.
 
     Null text is the empty text, with 0 bytes and tokens; null ids stay null; repeated
     rows are counted each; an empty table gives an empty result.

@@ -212,6 +212,17 @@ def test_token_counts(make, prose, edge):
     assert tokens.token_counts(make([])).count() == 0
 
 
+def test_frequent_lengths_count_all_texts(make):
+    docs = [(k, "start " + " ".join(["common"] * 5 + [f"w{k}"] * 2)) for k in range(50)] + [(50, "x" * 30_000 + " late" * 400)]
+    df = make(docs)
+    names, sizes = tokens.frequent_lengths(df, "text", tokens.TOKENIZER, tokens.RANKS, entries=2)
+    assert names.split("\0") == [" late", " common"] and list(sizes) == [len(library(p)) for p in names.split("\0")]
+    # few counters: rarer pieces are forgotten, frequent ones found all the same
+    names, _ = tokens.frequent_lengths(df, "text", tokens.TOKENIZER, tokens.RANKS, entries=1, counters=8)
+    assert names == " late"
+    assert tokens.frequent_lengths(make([]), "text", tokens.TOKENIZER, tokens.RANKS) == ("", b"")
+
+
 def test_encoder_is_the_library_on_random_strings():
     rng = random.Random(1)
     alphabet = [*"abcXYZ  \n'.,!0129", "'s", "'re", "<|endoftext|>", "é", "ß", "  ", "\t", "日", "😀", " ", "²", "̀", "\x85", "\x1c"]
