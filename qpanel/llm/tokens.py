@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_texts, batch
+from .shared import as_texts, batch, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary and merges as ranks: a faster way to the same ids for plain words.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Entries of the table of frequent pre-tokens, and counters that a task holds while it counts them. The table only saves work; results don't depend on it.
 TABLE_ENTRIES, COUNTERS = 20_000, 400_000
+#: A piece below 1 / SHARE of an entry's mean count stays out of the table: no more than SHARE * TABLE_ENTRIES pieces reach the last sort, whatever the input.
+SHARE = 20
 #: Entries that a worker's cache holds; rarer ones are encoded again for each group of texts.
 CACHE_ENTRIES = 300_000
 #: Characters of text that are looked up together.
@@ -126,7 +128,9 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, ranks: str | Non
     """The most frequent pieces of all texts, joined by null characters, and a byte for the length of each.
 
     Pieces are counted within the tasks, and only a task's most frequent ones leave it.
-    A task beyond its counters forgets the rarer half of its pieces.
+    A task beyond its counters forgets the rarer half of its pieces. Pieces below
+    1 / (SHARE * entries) of all that was counted are left out before the last sort, so
+    that what reaches the driver doesn't grow with the number of partitions.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +146,9 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, ranks: str | Non
         yield batch(schema, [p for p, _ in top], [n for _, n in top], [sizes[p] for p, _ in top])
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "piece string, n long, size int").filter("size < 256")
-    rows = found.groupBy("piece", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries).collect()
+    totals = written(found.groupBy("piece", "size").agg(F.sum("n").alias("n")))
+    least = (totals.agg(F.sum("n")).first()[0] or 0) / (SHARE * entries)
+    rows = totals.filter(F.col("n") >= least).orderBy(F.desc("n"), "piece").limit(entries).collect()
     return "\0".join(r["piece"] for r in rows), bytes(r["size"] for r in rows)
 
 
