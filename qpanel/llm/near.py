@@ -1,0 +1,266 @@
+"""Near copies by word shingles: all pairs of texts whose sets are as similar as asked, by a prefix-filtered self-join."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .shared import as_bytes, batch, written
+from .simhash import LOWER
+
+#: Words of a shingle, and the least Jaccard similarity of a link as a fraction.
+WIDTH, SHARE = 5, (4, 5)
+#: Documents whose shingles are counted, and common shingles that come last in the order of all. Links don't depend on them.
+COUNTED, COMMON = 20_000, 200_000
+#: Pairs that a task holds at once, pairs of one node that are joined in one task, and bits of the filter of nodes with pairs.
+HELD, PAIRS_OF_NODE, BITS = 1_000_000, 500, 2**23
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The sorted distinct hashes of the shingles; fewer than WIDTH words are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(words) - WIDTH + 1)
+    s = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(min(WIDTH, len(words))):
+        s = (s ^ h[k : k + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        s ^= s >> np.uint64(29)
+    return np.unique(s)
+
+
+def named(s: np.ndarray) -> int:
+    """The hash of a set, as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(s.tobytes())
+    return h - 2**64 if h >= 2**63 else h
+
+
+def nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and fp, the hash of the text's set."""
+    schema = pa.schema([("id", pa.string()), ("fp", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(schema, b.column(0), [named(shingles(t)) for t in as_bytes(b.column(1))])
+
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "id string, fp long")
+
+
+def keys(docs: DataFrame, rows: int, text_col: str) -> DataFrame:
+    """key, fp, n, pos: the first shingles of each set in one order of all, of which two linked sets share one at least.
+
+    The order is that of the hashes, with shingles that are common among COUNTED sets
+    behind all others; any order finds all links, this one keeps groups small.
+    """
+    texts = docs.select(F.col(text_col).alias("text"))
+    sample = texts if rows <= COUNTED else texts.filter(F.pmod(F.xxhash64("text"), F.lit(rows)) < COUNTED)
+    one = pa.schema([("k", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in as_bytes(b.column(0)):
+                yield batch(one, pa.array(shingles(t).view(np.int64)))
+
+    top = sample.mapInArrow(cut, "k long").groupBy("k").count().filter("count > 3").orderBy(F.desc("count"), "k").limit(COMMON)
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["k"] for r in top.collect()], dtype=np.int64)))
+    num, den = SHARE
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = common.value
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                out = []
+                for t in as_bytes(part.column(0)):
+                    s = shingles(t)
+                    fp, s = named(s), s.view(np.int64)
+                    n = len(s)
+                    if not n:
+                        continue
+                    is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(n, bool)
+                    k = np.concatenate([s[~is_late], s[is_late]])[: n - (num * n + den - 1) // den + 1]
+                    out.append((k, np.full(len(k), fp, np.int64), np.full(len(k), n, np.int32), np.arange(len(k), dtype=np.int32)))
+                if out:
+                    yield batch(schema, *(pa.array(np.concatenate(c)) for c in zip(*out)))
+
+    return texts.mapInArrow(first, "key long, fp long, n int, pos int")
+
+
+def partition(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    """A task's rows as columns, by key, n and fp, each node once for a key; the column after them has where each key begins."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if not parts:
+        return None
+    cols = [np.concatenate(c) for c in zip(*parts)]
+    order = np.lexsort((cols[1], cols[2], cols[0]))
+    cols = [c[order] for c in cols]
+    once = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])][: len(order)]
+    cols = [c[once] for c in cols]
+    new = np.r_[True, cols[0][1:] != cols[0][:-1]][: len(cols[0])]
+    return [*cols, np.flatnonzero(new)]
+
+
+def possible(n1, p1, n2, p2):
+    """Whether sets of these sizes whose first common shingle has these places can be linked."""
+    num, den = SHARE
+    return (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & ((num + den) * np.minimum(n1 - p1, n2 - p2).astype(np.int64) >= num * (n1.astype(np.int64) + n2))
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def distinct_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        a, b = (np.concatenate(c) for c in zip(*found))
+        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        for at in range(0, len(both), 100_000):
+            yield batch(PAIR, pa.array(both[at : at + 100_000, 0].copy()), pa.array(both[at : at + 100_000, 1].copy()))
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key has more than one node."""
+    got = partition(batches)
+    if got is None:
+        return
+    *cols, first = got
+    size = np.diff(np.r_[first, len(cols[0])])
+    keep = np.repeat(size > 1, size)
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    cols = [c[keep] for c in cols]
+    for at in range(0, len(cols[0]), 100_000):
+        yield batch(schema, *(pa.array(c[at : at + 100_000]) for c in cols))
+
+
+def few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each key, its nodes with the smallest one and with the next by size: a number of pairs linear in the rows."""
+    got = partition(batches)
+    if got is None:
+        return
+    key, fp, n, pos, first = got
+    size = np.diff(np.r_[first, len(key)])
+    order = np.lexsort((fp, key))
+    least = np.repeat(order[first], size)
+    at = np.arange(len(key))
+    then = at[:-1][key[1:] == key[:-1]]
+    a, b = np.r_[at, then], np.r_[least, then + 1]
+    ok = (fp[a] != fp[b]) & possible(n[a], pos[a], n[b], pos[b])
+    yield from distinct_pairs([(fp[a[ok]], fp[b[ok]])])
+
+
+def other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each key, all pairs of nodes that are not yet in one component."""
+    got = partition(batches)
+    if got is None:
+        return
+    key, fp, n, pos, root, first = got
+    last = np.r_[first[1:], len(key)]
+    mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+    held, out = 0, []
+    for lo, hi in zip(first[mixed].tolist(), last[mixed].tolist()):
+        for i in range(lo, hi - 1):
+            # sorted by size, so that those which can be linked come first
+            upto = i + 1 + int(np.searchsorted(n[i + 1 : hi], n[i] * SHARE[1] // SHARE[0], side="right"))
+            j = np.arange(i + 1, upto)
+            j = j[(root[j] != root[i]) & possible(n[j], pos[j], n[i], pos[i])]
+            if len(j):
+                out.append((np.full(len(j), fp[i]), fp[j]))
+                held += len(j)
+            if held > HELD:
+                yield from distinct_pairs(out)
+                held, out = 0, []
+    yield from distinct_pairs(out)
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """fp and text, once for each node of pairs."""
+    fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    at = F.pmod(F.col("fp"), F.lit(BITS))
+    # a bounded filter before the join: nodes without a pair mostly don't reach it
+    found = fps.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("bits")).collect()
+    table = np.zeros(BITS // 64, np.int64)
+    for r in found:
+        table[r["word"]] = r["bits"]
+    table = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    bits, schema = BITS, pa.schema([("fp", pa.int64()), ("text", pa.string())])
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([named(shingles(t)) for t in as_bytes(b.column(0))], dtype=np.int64)
+            at = fp % bits
+            ok = (table.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield batch(schema, pa.array(fp[ok]), b.column(0).cast(pa.string()).filter(pa.array(ok)))
+
+    df = docs.select(F.col(text_col).alias("text")).mapInArrow(passed, "fp long, text string")
+    return df.join(fps, "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def linked(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of SHARE or more, counted in full."""
+    pairs = written(pairs.distinct())
+    own = written(texts_of(pairs, docs, text_col))
+    df = pairs
+    for side in ("a", "b"):
+        # a node of very many pairs is dealt to several tasks
+        busy = F.broadcast(pairs.groupBy(side).agg(F.floor(F.count(F.lit(1)) / PAIRS_OF_NODE).cast("int").alias("parts")).filter("parts > 0"))
+        p = df.join(busy, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(0)) + 1).cast("int")).drop("parts")
+        s = own.select(F.col("fp").alias(side), F.col("text").alias(f"text_{side}")).join(busy, side, "left")
+        s = s.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
+        df = p.join(s, [side, "part"]).drop("part")
+    num, den = SHARE
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok, last = [], (None, None)
+            for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3))):
+                # joined rows with the same b follow each other
+                last = last if last[0] == y else (y, shingles(y))
+                s = shingles(x)
+                both = len(np.intersect1d(s, last[1], assume_unique=True))
+                ok.append(den * both >= num * (len(s) + len(last[1]) - both))
+            yield batch(PAIR, b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_())))
+
+    return df.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The smallest id reachable from each document over links of SHARE similarity.
+
+    A text is the set of its WIDTH-word shingles (A-Z lower-cased), by 64-bit hashes.
+    Linked sets share one of their first shingles in an order of all, so the join by
+    these finds every link; each is checked on the whole sets. Pairs linear in the rows
+    come first, and then only pairs that these have not yet brought into one component.
+    Equal sets are one node; texts without words are equal. Null ids never name a
+    component unless all ids in it are null; repeated rows are returned each; an empty
+    table gives an empty result. Returns id_col, component_id.
+    """
+    kind = docs.schema[id_col].dataType
+    found = written(nodes(docs, id_col, text_col))
+    rows = written(keys(docs, found.count(), text_col).repartition("key").mapInArrow(shared_keys, "key long, fp long, n int, pos int"))
+    few = written(linked(rows.repartition("key").mapInArrow(few_pairs, "a long, b long"), docs, text_col))
+    roots = written(components(few))
+    rows = rows.join(roots, rows["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    more = written(linked(rows.repartition("key").mapInArrow(other_pairs, "a long, b long"), docs, text_col))
+    roots = written(components(few.unionByName(more)))
+    ids = found.select(F.col("id").cast(kind).alias(id_col), "fp")
+    names = ids.groupBy("fp").agg(F.min(id_col).alias("least"))
+    names = written(names.join(roots, names["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = names.groupBy("root").agg(F.min("least").alias("component_id"))
+    return ids.join(names.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its component; rows with a null id stay."""
+    found = near_copies(docs, id_col, text_col)
+    away = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_away")).distinct())
+    return docs.join(away, F.col(f"`{id_col}`") == F.col("_away"), "left_anti")

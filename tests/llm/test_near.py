@@ -1,0 +1,77 @@
+"""Near copies of the pipeline against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from qpanel.llm import near
+
+
+def slow_set(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def slow_classes(texts):
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = {i: slow_set(t) for i, t in texts.items()}
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                r, s = sorted((find(a), find(b)))
+                parent[s] = r
+    return {i: find(i) for i in ids}
+
+
+def edited(words, edits, rng):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"new{rng.random()}"
+    return out
+
+
+def copies(prose):
+    """Texts with copies around the threshold, chains, a large group, a common line, and edges."""
+    rng, texts = random.Random(4), {}
+    for k in range(40):
+        words = prose(rng.randint(60, 400), k, 3000).split()
+        texts[k] = " ".join(words)
+        for e in range(4):
+            texts[100 * (e + 1) + k] = " ".join(edited(words, rng.randint(1, max(1, len(words) // 35)), rng))
+    for k in range(80):
+        texts[1000 + k] = " ".join(edited(texts[0].split(), 1, rng))
+    for k in range(80):
+        texts[2000 + k] = "the same line of ten words in all of these " + prose(rng.randint(1, 40), 500 + k, 3000)
+    return texts | {3000: None, 3001: "", 3002: "a b", 3003: "A  b", 3004: "a b c"}
+
+
+@pytest.mark.parametrize("common", [0, 200_000])
+def test_near_copies_brute_force(make, prose, monkeypatch, common):
+    monkeypatch.setattr(near, "COMMON", common)
+    texts = copies(prose)
+    found = near.near_copies(make(list(texts.items()))).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == slow_classes(texts) and len(found) == len(texts)
+
+
+def test_stage_removes_copies_with_a_few_edits(spark, make, prose, tmp_path):
+    rng = random.Random(6)
+    words = prose(300, 1, 3000).split()
+    texts = {1: " ".join(words), **{k: " ".join(edited(words, 5, rng)) for k in range(2, 30)}, 30: prose(300, 2, 3000)}
+    stage = dict(corpus_pipeline.STAGES)["near dedup"]
+    kept = [r["doc_id"] for r in stage(spark, make([*texts.items(), (None, texts[1])]), str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == [1, 30, None]
+
+
+def test_near_copies_empty(make):
+    assert near.kept_rows(make([])).count() == 0
