@@ -20,8 +20,8 @@ PER_CLASS, FEATURES = 5_000, 20_000
 DRAWN, LEAST = 4.0, 3
 #: Lengths of word starts that are features besides whole words.
 STARTS = (5, 6)
-#: The longest token that is decoded, and the costs of reading a character as another, dropping a separator or a repeat.
-LONGEST, SUBSTITUTE, SEPARATOR, REPEAT = 48, 1.2, 0.7, 0.5
+#: The longest token whose reading is kept for reuse, and the costs of reading a character as another, dropping a separator or a repeat.
+REUSED, SUBSTITUTE, SEPARATOR, REPEAT = 64, 1.2, 0.7, 0.5
 #: What a character may stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = set(" .-_*~'`,/\\")
@@ -29,8 +29,11 @@ SEPARATORS = set(" .-_*~'`,/\\")
 SIZE = 28
 END, ELSE = 0, 27
 
-#: Tokens worth decoding: a sign among letters, a letter three times, single letters in a row.
-SUSPECT = re.compile(r"[A-Za-z][0-9@$!|+(.*_~`\-]+[A-Za-z]|([A-Za-z])\1\1|(?<!\S)[0-9@$!|+(][A-Za-z]|(?<!\S)[A-Za-z](?: [A-Za-z]){2,}(?!\S)")
+#: Characters that may also end a word within a token.
+ENDS = SEPARATORS | set("()[]{}<>|")
+
+#: Tokens worth decoding: a sign next to a letter, a letter twice, signs alone, single letters or signs in a row.
+SUSPECT = re.compile(r"[A-Za-z](?:[^\w\s]|[\d_])+[A-Za-z]|[A-Za-z][0-9@$|+(]|[0-9@$!|+(][A-Za-z]|([A-Za-z])\1|(?<!\S)[0-9@$!|+(]{3,}(?!\S)|(?<!\S)[A-Za-z0-9@$!|+(](?: [A-Za-z0-9@$!|+(]){2,}(?!\S)")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -75,16 +78,25 @@ class Decoder:
         self.codes = {chr(97 + k): k + 1 for k in range(26)}
         self.known: dict[str, str] = {}
 
-    def decoded(self, token: str) -> str:
+    def decoded(self, token: str) -> list[str]:
+        if len(token) > REUSED:
+            return self.read(token.lower())
         if token not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[token] = self.search(token.lower())
+            self.known[token] = self.read(token.lower())
         return self.known[token]
 
-    def search(self, token: str) -> str:
+    def read(self, token: str) -> list[str]:
+        """The token as one word, and as words that end at separators."""
+        found = [self.search(token, False)]
+        if not ENDS.isdisjoint(token):
+            found += self.search(token, True).split(" ")
+        return found
+
+    def search(self, token: str, ends: bool) -> str:
         cost = self.cost
-        states: dict[tuple[int, int], tuple[float, str]] = {(END, END): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(END, END): (0.0, None)}
         previous = ""
         for ch in token:
             options: list[tuple[str, float]] = []
@@ -95,18 +107,27 @@ class Decoder:
             options += [(x, SUBSTITUTE) for x in LEET.get(ch, "")]
             if ch in SEPARATORS or not options:
                 options.append(("", SEPARATOR))
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+            if ends and ch in ENDS:
+                options.append((" ", 0.0))
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (so_far, letters) in states.items():
                 for x, extra in options:
-                    if x:
+                    if x == " ":
+                        key, total, read = (END, END), so_far + float(cost[a, b, END]), (letters, x)
+                    elif x:
                         k = self.codes.get(x, ELSE)
-                        key, total, read = (b, k), so_far + extra + float(cost[a, b, k]), letters + x
+                        key, total, read = (b, k), so_far + extra + float(cost[a, b, k]), (letters, x)
                     else:
                         key, total, read = (a, b), so_far + extra, letters
                     if key not in following or total < following[key][0]:
                         following[key] = (total, read)
             states, previous = following, ch
-        return min(((total + float(cost[a, b, END]), letters) for (a, b), (total, letters) in states.items()), default=(0.0, ""))[1]
+        best = min(states.items(), key=lambda kv: kv[1][0] + float(cost[kv[0][0], kv[0][1], END]))[1][1]
+        read = []
+        while best:
+            best, x = best
+            read.append(x)
+        return "".join(reversed(read))
 
 
 def tokens_around(text: str) -> Iterator[str]:
@@ -116,19 +137,19 @@ def tokens_around(text: str) -> Iterator[str]:
         if m.start() < upto:
             continue
         a, b = m.start(), m.end()
-        while a > 0 and b - a <= LONGEST and not text[a - 1].isspace():
+        while a > 0 and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and b - a <= LONGEST and not text[b].isspace():
+        while b < len(text) and not text[b].isspace():
             b += 1
         upto = b
-        if b - a <= LONGEST:
-            yield text[a:b]
+        yield text[a:b]
 
 
 def words_of(text: str, decoder: Decoder) -> set[str]:
     """The words of a text, and those that its suspect tokens decode to."""
     found = set(WORDS.findall(text.lower()))
-    found.update(decoder.decoded(t.rstrip(".,;:!?*")) for t in tokens_around(text))
+    for t in tokens_around(text):
+        found.update(decoder.decoded(t.rstrip(".,;:!?*")))
     found.discard("")
     return found
 
