@@ -37,6 +37,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, most: int = 200_000) -> DataFrame:
+    """many with the columns of one, which has each key once at most.
+
+    Keys with more than most rows of many are dealt to several tasks; the table of them,
+    which is broadcast, has no more than rows / most rows of a key and a number.
+    """
+    busy = written(many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")).filter("_parts > 1"))
+    if busy.isEmpty():
+        return many.join(one, key)
+    busy = F.broadcast(busy)
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = many.join(busy, key, "left").withColumn("_part", deal).drop("_parts")
+    right = one.join(busy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -131,24 +131,121 @@ def test_simhash_brute_force(make, prose, edge, most):
             docs.append((1000 + 10 * k + j, "\n".join(copy).upper() if j == 1 else " ".join(copy)))
     got = rows(simhash.near_duplicates(make(docs), most_in_pair=most))
     fps = {i: slow_fingerprint(t) for i, t in docs}
-    assert {i: int(r["fingerprint"], 16) for i, r in got.items()} == fps
+    assert {i: int(r["fingerprint"], 16) for i, r in got.items()} == fps and all(len(r["fingerprint"]) == 16 for r in got.values())
     assert {i: r["component_id"] for i, r in got.items()} == slow_components(fps)
     assert len(set(slow_components(fps).values())) < len(fps)
 
 
-def test_simhash_empty_and_pipeline_rows(make):
-    assert simhash.near_duplicates(make([])).count() == 0
-    kept = simhash.kept_rows(make([(2, "a b c d"), (1, "a b c d"), (3, "other words entirely here"), (1, "a b c d")]))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 3] and "n_chars" in kept.columns
+def test_simhash_empty_and_pipeline_rows(make, spark):
+    assert simhash.near_duplicates(make([])).count() == 0 and simhash.kept_rows(make([])).count() == 0
+    docs = make([(2, "a b c d"), (1, "a b c d"), (3, "other words entirely here"), (1, "a b c d"), (None, "a b c d"), (4, None), (5, "")])
+    clashing = docs.selectExpr("*", "1 AS _away", "2 AS _stays", "3 AS _row", "4 AS _id", "6 AS component_id")
+    kept = simhash.kept_rows(clashing)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 3, 4] and kept.columns == clashing.columns
 
 
-def test_trie_pairs_all_found():
+def test_simhash_hot_fingerprints_are_dealt(make, spark):
+    from qpanel.llm.shared import spread_join
+
+    many = spark.createDataFrame([("h", k) for k in range(50)] + [("c", 99)], "k string, v long")
+    one = spark.createDataFrame([("h", 1), ("c", 2), ("x", 3)], "k string, w long")
+    got = spread_join(many, one, "k", most=7).collect()
+    assert sorted((r["k"], r["v"], r["w"]) for r in got) == sorted([("h", k, 1) for k in range(50)] + [("c", 99, 2)])
+
+
+def distances(prints):
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1).astype(np.int32)
+    return bits @ (1 - bits.T) + (1 - bits) @ bits.T
+
+
+def least_members(linked):
+    """The smallest member of each component of a matrix of links."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.where(linked | np.eye(len(linked), dtype=bool), label[None, :], len(linked)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("budget, words", [(3, 1), (9, 1), (38, 4)])
+def test_forest_is_that_of_all_pairs(budget, words):
     rng = np.random.default_rng(5)
-    centres = rng.integers(0, 2**48, 30, dtype=np.uint64)
-    low = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 48, 20, dtype=np.uint64)) for c in centres]))
-    found = {tuple(sorted((int(i), int(j)))) for a, b in simhash.trie_pairs(np.zeros(len(low), int), np.zeros(len(low), int), low) for i, j in zip(a, b)}
-    want = {(i, j) for i in range(len(low)) for j in range(i + 1, len(low)) if int(low[i] ^ low[j]).bit_count() <= 3}
-    assert found == want
+    centres = rng.integers(0, 2**64, (30, words), dtype=np.uint64)
+    prints = np.repeat(centres, 20, axis=0)
+    for k in range(len(prints)):
+        for _ in range(int(rng.integers(0, budget))):
+            prints[k, rng.integers(words)] ^= np.uint64(1) << rng.integers(0, 48, dtype=np.uint64)
+    prints = np.unique(prints, axis=0)
+    zeros = np.zeros(len(prints), np.int64)
+    forest = simhash.Forest(zeros, zeros, prints[:, 0] & np.uint64(2**48 - 1), prints, budget, 48)
+    got = np.arange(len(prints))
+    child, root = forest.edges()
+    linked = np.zeros((len(prints), len(prints)), bool)
+    linked[child, root] = linked[root, child] = True
+    got = least_members(linked)
+    agree = np.ones((len(prints), len(prints)), bool)
+    assert (got == least_members((distances([p.astype(">u8").tobytes() for p in prints]) <= budget) & agree)).all()
+
+
+def edited(words, edits, rng):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"new{rng.random()}"
+    return out
+
+
+def similar_texts(prose):
+    """Texts with copies on both sides of the threshold, a large group, a common line, and edges."""
+    rng, texts = random.Random(4), {}
+    for k in range(60):
+        words = prose(rng.randint(100, 400), k, 3000).split()
+        texts[k] = " ".join(words)
+        for e in range(3):
+            texts[100 * (e + 1) + k] = " ".join(edited(words, rng.randint(1, max(1, len(words) // 35)), rng))
+    for k in range(80):
+        texts[1000 + k] = " ".join(edited(texts[0].split(), 1, rng))
+        texts[2000 + k] = "the same line of ten words in all of these " + prose(rng.randint(60, 90), 500 + k, 3000)
+    return texts | {3000: None, 3001: "", 3002: "a b", 3003: "A  b", 3004: "a b c"}
+
+
+def slow_similar(texts, scheme):
+    """Classes over fingerprints within the budget that agree on a leading block."""
+    ids = sorted(texts)
+    prints = [simhash.fingerprint((texts[i] or "").encode(), scheme) for i in ids]
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(ids), -1), axis=1)
+    near = distances(prints) <= scheme.budget
+    lead = np.zeros_like(near)
+    for t in range(scheme.turns):
+        block = bits[:, scheme.lead * t : scheme.lead * (t + 1)]
+        lead |= (block[:, None, :] == block[None, :, :]).all(axis=2)
+    label = least_members(near & lead)
+    return {i: ids[label[k]] for k, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize("most", [50_000, 20])
+def test_similar_scheme_brute_force(make, prose, most):
+    texts = similar_texts(prose)
+    found = simhash.near_duplicates(make(list(texts.items())), scheme=simhash.SIMILAR, most_in_pair=most).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == slow_similar(texts, simhash.SIMILAR) and len(found) == len(texts)
+
+
+def shingle_set(text, width=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def test_similar_scheme_finds_jaccard_links(prose):
+    """Recall of pairs by their Jaccard similarity of five-word shingles, and no class of unlike texts."""
+    texts = similar_texts(prose)
+    sets, classes = {i: shingle_set(t) for i, t in texts.items()}, slow_similar(texts, simhash.SIMILAR)
+    ids, found = sorted(texts), defaultdict(list)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            j = len(x & y) / len(x | y) if x | y else 1.0
+            found["over 0.9" if j >= 0.9 else "over 0.8" if j >= 0.8 else "under 0.5" if j < 0.5 else "between"].append(classes[a] == classes[b])
+    assert np.mean(found["over 0.9"]) > 0.98 and np.mean(found["over 0.8"]) > 0.7 and np.mean(found["under 0.5"]) == 0, {k: np.mean(v) for k, v in found.items()}
 
 
 def test_components_of_chains(spark):

@@ -6,7 +6,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from test_operators import library, slow_components, slow_fingerprint, slow_measures
+from qpanel.llm import simhash
+from test_operators import library, slow_measures, slow_similar
 
 
 def test_stages_in_order():
@@ -42,9 +43,22 @@ def test_pipeline_brute_force(spark, make, prose, tmp_path):
     for i in good:
         best[text[i]] = max(i, best.get(text[i], -1))
     assert Counter(r["doc_id"] for r in kept[1]) == Counter(best.values())
-    classes = slow_components({i: slow_fingerprint(text[i]) for i in best.values()})
+    classes = slow_similar({i: text[i] for i in best.values()}, simhash.SIMILAR)
     assert Counter(r["doc_id"] for r in kept[2]) == Counter(set(classes.values()))
     mixed = Counter(r["doc_id"] for r in kept[3])
     assert mixed.keys() <= set(classes.values()) and max(mixed.values()) <= 2
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(p["length"] for p in pieces) == sum(n * (len(library(text[i])) + 1) for i, n in mixed.items())
+
+
+def test_pipeline_of_an_empty_table_and_clashing_columns(spark, make, prose, tmp_path):
+    extra = make([]).selectExpr("*", "1 AS _away", "2 AS _row", "3 AS _id", "4 AS kept", "5 AS _text")
+    extra.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    rows = make([(k, prose(100 + k, k, 3000), "en", None) for k in range(5)] + [(None, prose(90, 77, 3000), "en", "a"), (3, prose(103, 3, 3000), "en", None)])
+    step = rows.selectExpr("*", "1 AS _away", "2 AS _row", "3 AS _id", "4 AS kept", "5 AS _text")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        columns = step.columns
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == columns, name
+    assert {r["doc_id"] for r in step.collect()} <= {0, 1, 2, 3, 4, None}
