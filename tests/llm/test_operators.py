@@ -437,17 +437,40 @@ def test_quality_brute_force(make, prose, edge):
 
 
 def test_em_learns_rule_accuracy():
+    """Rules of unlike accuracy, one of them no better than chance: EM tells them apart, and beats both all-must-pass and a count of votes."""
     rng = random.Random(4)
-    patterns = Counter()
-    truth = defaultdict(Counter)
-    for _ in range(4000):
+    right_when = [(0.99, 0.7), (0.99, 0.8), (0.97, 0.6), (0.98, 0.9), (0.55, 0.5)]  # of good documents, of bad ones
+    patterns, truth = Counter(), defaultdict(Counter)
+    for _ in range(6000):
         good = rng.random() < 0.85
-        p = "".join(rng.choices("gb-", weights=(90, 0.3, 10) if good else (w, 100 - w, 10))[0] for w in (30, 20, 60, 95))
+        p = "".join("-" if rng.random() < 0.1 else "gb"[(rng.random() < (g if good else b)) != good] for g, b in right_when)
         patterns[p] += 1
         truth[p][good] += 1
-    post = quality.posteriors(patterns)
-    right = sum(c for p, t in truth.items() for g, c in t.items() if (post[p] >= 0.5) == g)
-    assert right / 4000 > 0.95
+
+    def right(verdict):
+        return sum(c for p, t in truth.items() for g, c in t.items() if verdict(p) == g) / 6000
+
+    model = quality.Model(patterns)
+    em = right(lambda p: model.posterior(p) >= 0.5)
+    assert em > 0.97 and em > right(lambda p: "b" not in p) + 0.2 and em > right(lambda p: p.count("g") > p.count("b"))
+    got = model.accuracies()
+    want = [0.85 * g + 0.15 * b for g, b in right_when]
+    assert all(abs(x - y) < 0.05 for x, y in zip(got, want)), (got, want)
+    # one bad vote decides neither way by itself
+    one = [p for p in patterns if p.count("b") == 1]
+    assert {model.posterior(p) >= 0.5 for p in one} == {True, False}
+
+
+def test_quality_posterior_replaces_all_must_pass(make, prose):
+    """Good prose whose lines often have no end mark: that rule's bad votes are overruled, those of marks all over are not."""
+    docs = []
+    for k in range(300):
+        text = prose(random.Random(k).randint(60, 300), k, 3000).capitalize()
+        docs.append((k, text + ("" if k % 3 == 0 else ".")))
+    docs += [(500 + k, junk(prose, k)) for k in range(30)]
+    got = rows(quality.quality(make(docs)))
+    overruled = [i for i, r in got.items() if "b" in r["votes"] and r["kept"]]
+    assert len([i for i in overruled if i < 500]) >= 90 and all(got[k]["kept"] for k in range(300)) and not any(got[500 + k]["kept"] for k in range(30))
 
 
 # op9
