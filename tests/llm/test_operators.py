@@ -25,21 +25,64 @@ def rows(df, key="doc_id"):
 
 # op1
 def test_licenses_rules(make, edge):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    first, second = mit.split("\n\n")
-    docs = [*edge, (20, "Text. Licensed under the Apache License, Version 2.0.\nmore"), (21, "x\n" + mit), (22, second + "\n" + first), (23, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (24, "not licensed under anything")]
+    first, second = licenses.MIT_GRANT, licenses.MIT_NOTICE
+    docs = [*edge, (20, "Text. Licensed under the Apache License, Version 2.0.\nmore"), (21, f"x\n\n{first}\n\n{second}"), (22, f"{second} {first}"), (23, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (24, "not licensed under anything"), (25, "// SPDX-License-Identifier: MPL-2.0\nint x;"), (26, "a mit license, spdx")]
     got = rows(licenses.scanned(make(docs)))
+    number = {s: licenses.SENTENCES[licenses.cut(s)[0]] for s in (first, second)}
     assert len(got) == len({d[0] for d in docs})
     assert got[20]["license"] == "Apache-2.0" and got[20]["n_known"] == 1
-    assert got[21]["license"] == "MIT" and got[21]["sentence_ids"] == "3,4"
-    assert got[22]["license"] is None and got[22]["sentence_ids"] == "4,3"  # order matters
-    assert got[23]["licenses"] == "MIT,CC-BY-NC-4.0"
+    assert got[21]["license"] == "MIT" and got[21]["sentence_ids"] == f"{number[first]},{number[second]}"
+    assert got[22]["license"] is None and got[22]["sentence_ids"] == f"{number[second]},{number[first]}"  # order matters
+    assert got[23]["licenses"] == "MIT,CC-BY-NC-4.0" and got[25]["license"] == "MPL-2.0" and got[26]["license"] is None
     assert got[24]["licenses"] == "" and got[1]["n_sentences"] == 0 and got[2]["n_sentences"] == 0
+    assert licenses.scanned(make([])).count() == 0
 
 
-def test_licenses_sentences_all_reachable():
-    used = {s for _, rule in licenses.RULES for s in rule}
-    assert used == set(licenses.SENTENCES)
+def test_licenses_wrapped_texts(make):
+    """Each rule's wording, wrapped at 72 columns, bare and behind comment prefixes, amid other text."""
+    import textwrap
+
+    texts = [(name, parts) for name, parts in licenses.TEXTS]
+    docs = []
+    for k, (_, parts) in enumerate(texts):
+        wrapped = "\n\n".join(textwrap.fill(f"{n + 1}. {p}" if len(parts) > 2 and n else p, 72) for n, p in enumerate(parts))
+        for j, prefix in enumerate(("", "# ", " * ", "//  ")):
+            body = "\n".join(prefix + line for line in f"Copyright (c) 2020 Someone\n\n{wrapped}\n\nTHE REST IS OTHER TEXT".split("\n"))
+            docs.append((10 * k + j, ("/*\n" if j == 2 else "") + body + "\ncode = 1;\n"))
+    got = rows(licenses.scanned(make(docs)))
+    missed = [(texts[i // 10][0], i % 10, r["license"]) for i, r in got.items() if texts[i // 10][0] not in r["licenses"].split(",")]
+    assert not missed
+
+
+def test_licenses_of_very_many_sentences(make):
+    many = f"{licenses.MIT_GRANT} " + "All rights reserved.\n" * 50_000
+    got = rows(licenses.scanned(make([(1, many), (2, many + licenses.MIT_NOTICE), (3, licenses.BSD_GRANT + " x. " + (licenses.BSD_SOURCE + "\n") * 20_000)])))
+    assert got[1]["n_known"] == 50_001 and got[1]["license"] == "LicenseRef-AllRightsReserved"
+    assert got[2]["licenses"] == "MIT,LicenseRef-AllRightsReserved" and got[3]["license"] is None
+
+
+def slow_rules(ids):
+    def fits(rule):
+        it = iter(ids)
+        return all(x in it for x in rule)
+
+    return list(dict.fromkeys(name for name, rule in licenses.RULES if fits(rule)))
+
+
+def test_licenses_brute_force_and_sql(make):
+    import duckdb
+
+    rng = random.Random(3)
+    pool = [p for _, parts in licenses.TEXTS for p in parts] + ["SPDX-License-Identifier: ISC\n", "Other words; and more:", "x"]
+    docs = [(k, rng.choice([" ", "\n", "\n\n", "\r\n# "]).join(rng.choices(pool, k=rng.randint(0, 9)))) for k in range(200)] + [(900, None)]
+    got = rows(licenses.scanned(make(docs)))
+    for i, t in docs:
+        ids = [licenses.SENTENCES[s] for s in licenses.cut(t or "") if s in licenses.SENTENCES]
+        assert got[i]["sentence_ids"] == ",".join(map(str, ids)) and got[i]["licenses"] == ",".join(slow_rules(ids)), t
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert sorted(con.execute(licenses.oracle()).fetchall()) == sorted(tuple(r) for r in got.values())
 
 
 # op2
