@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -14,40 +14,68 @@ from pyspark.sql import functions as F
 from .shared import as_texts, batch
 from .tokens import RANKS, TOKENIZER, Encoder
 
-#: Tokens that one packing group gathers before its sequences are closed: bounds a task's memory, and with it the short sequences (at most 11 in a group).
+#: Tokens that one packing group gathers before its sequences are closed: bounds a task's memory, and with it the short sequences (one in a group).
 GROUP_TOKENS = 4_000_000
+#: The fewest tokens that a cut leaves on either side, where documents are long enough.
+LEAST = 16
 END = (1).to_bytes(4, "little")
 
 
-def capacities(tokens: int, limit: int) -> list[int]:
-    """Full sequences, and the rest as powers of two, which are not padded."""
-    full, rest = divmod(tokens, limit)
-    return [limit] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
-
-
 def balanced(lengths: list[int], limit: int, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length).
 
     A piece of n tokens costs linear * n + quadratic * n * n, the work of its attention.
-    Documents in descending cost go to the sequence of lowest cost that has room; what
-    does not fit there goes on to the next one. All sequences end up full.
+    A document beyond limit first fills sequences of its own; what is left of it, and all
+    other documents, go whole and in descending order to the sequence of lowest cost that
+    has room for them. Those that fit nowhere whole are cut into the room that is left,
+    the largest room first, in pieces of LEAST tokens or more, and what is still left
+    gets more sequences. So cuts are fewer than sequences, and besides the last sequence
+    none lacks as many as LEAST tokens.
     """
-    room = capacities(sum(lengths), limit)
+    full, items = [], []
+    for d, n in enumerate(lengths):
+        whole, rest = divmod(n, limit)
+        if whole and 0 < rest < LEAST:
+            # two pieces alike instead of a full one and a scrap
+            whole, tail = whole - 1, [(limit + rest) // 2, limit + rest - (limit + rest) // 2]
+        else:
+            tail = [rest] if rest else []
+        full += [(d, limit * k, limit) for k in range(whole)]
+        items += [(d, limit * whole + (tail[0] if k else 0), x) for k, x in enumerate(tail)]
+    total = sum(n for _, _, n in items)
+    room = np.full(-(-total // limit), limit, dtype=np.int64)
+    if total % limit:
+        room[-1] = total % limit
     # a short sequence starts with the cost of the tokens that it has no room for
-    heap = [(linear * (limit - c), k) for k, c in enumerate(room)]
-    heapq.heapify(heap)
-    sequences: list[list[tuple[int, int, int]]] = [[] for _ in room]
-    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
-        start, left = 0, lengths[d]
+    cost = linear * (limit - room).astype(float)
+    shared: list[list[tuple[int, int, int]]] = [[] for _ in room]
+    over = []
+    for d, start, n in sorted(items, key=lambda x: (-x[2], x[0], x[1])):
+        fits = room >= n
+        if not fits.any():
+            over.append((d, start, n))
+            continue
+        k = int(np.where(fits, cost, np.inf).argmin())
+        shared[k].append((d, start, n))
+        room[k] -= n
+        cost[k] += linear * n + quadratic * n * n
+    if len(room):
+        # the short sequence comes last, with all the room that it has up to limit
+        room[-1] += -total % limit
+    gaps = [(int(room[k]), k) for k in [len(room) - 1, *np.argsort(room[:-1], kind="stable").tolist()] if k >= 0 and room[k] >= LEAST]
+    for d, start, left in over:
         while left:
-            cost, k = heapq.heappop(heap)
-            n = min(left, room[k])
-            sequences[k].append((d, start, n))
-            room[k] -= n
+            space, k = gaps.pop() if gaps else (limit, len(shared))
+            if k == len(shared):
+                shared.append([])
+            n = min(left, space)
+            if 0 < left - n < LEAST:
+                n = max(left - LEAST, min(n, LEAST))
+            shared[k].append((d, start, n))
             start, left = start + n, left - n
-            if room[k]:
-                heapq.heappush(heap, (cost + linear * n + quadratic * n * n, k))
-    return sequences
+            if space - n >= LEAST:
+                gaps.append((space - n, k))
+    return [[piece] for piece in full] + shared
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, ranks: str | None = RANKS, limit: int = 2048, group_tokens: int = GROUP_TOKENS) -> DataFrame:
@@ -56,11 +84,12 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     Each task packs the documents of its own partition in groups of about group_tokens
     tokens, so nothing is shuffled and no key can be hot; a document longer than that
     closes its group by itself. A document is its ids and id 1 at the end. Sequences are
-    full, but for a group's last few, whose lengths are powers of two; nothing is padded.
-    sequence_id holds the partition in its upper bits and the place in it below.
+    full but for some tokens, and one of each group, which is padded; documents that fit
+    into one are seldom cut (see balanced). sequence_id holds the partition in its upper bits and the place in it below.
 
     Null text is the empty text: a document of one id. Null ids stay null; repeated rows
-    are packed each; an empty table gives an empty result.
+    are packed each; of equally long documents the one read first goes first; columns
+    beside id_col and text_col are not read; an empty table gives an empty result.
     Returns id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     kind = docs.schema[id_col].dataType

@@ -388,33 +388,56 @@ def test_packing_round_trip(make, prose, edge):
     for i, ps in by_doc.items():
         ps.sort(key=lambda p: p["start"])
         assert [p["start"] for p in ps] == np.cumsum([0, *[p["length"] for p in ps]])[:-1].tolist() and sum(p["length"] for p in ps) == len(ids[i])
-    padding = 0
-    for ps in by_sequence.values():
+    short = Counter()
+    for sequence, ps in by_sequence.items():
         ps.sort(key=lambda p: p["offset"])
         total = sum(p["length"] for p in ps)
         assert [p["offset"] for p in ps] == np.cumsum([0, *[p["length"] for p in ps]])[:-1].tolist() and total <= 2048
-        padding += 0 if total.bit_count() == 1 else 2048 - total
-    assert padding == 0
+        short[sequence >> 40] += total <= 2048 - packing.LEAST
+    assert max(short.values()) <= 1  # one group in each partition, one short sequence in each group
     assert packing.packed(make([])).count() == 0
 
 
 def test_packing_groups_and_balance(make):
     assert packing.packed(make([(k, "a b c") for k in range(50)]), group_tokens=16).selectExpr("sum(length)").first()[0] == 50 * 4
     rng = random.Random(2)
-    lengths = [rng.randint(1, 2000) for _ in range(400)]
+    lengths = [min(9000, int(rng.lognormvariate(5.5, 1.1)) + 1) for _ in range(3000)] + [2048, 4096, 2049]
     got = packing.balanced(lengths, 2048)
+    # every id once, no sequence too long, one short one at most
+    pieces = defaultdict(list)
+    for s in got:
+        assert s and sum(n for _, _, n in s) <= 2048
+        for d, start, n in s:
+            pieces[d].append((start, n))
+    for d, ps in pieces.items():
+        at = 0
+        for start, n in sorted(ps):
+            assert start == at and n > 0
+            at += n
+        assert at == lengths[d]
+    assert len(pieces) == len(lengths) and sum(sum(n for _, _, n in s) <= 2048 - packing.LEAST for s in got) <= 1
+    assert 2048 * len(got) - sum(lengths) < 2048 + 0.002 * sum(lengths)
+    assert min(n for d, ps in pieces.items() for _, n in ps if lengths[d] >= 2 * packing.LEAST) >= packing.LEAST
+    # cuts beyond those of documents over the limit: fewer than sequences, and few documents
+    needed = sum(-(-n // 2048) for n in lengths)
+    assert sum(map(len, pieces.values())) - needed < len(got)
+    assert sum(len(ps) > 1 for d, ps in pieces.items() if lengths[d] <= 2048) < 0.02 * len(lengths)
     # the rule itself, each step a search of all sequences
-    room = packing.capacities(sum(lengths), 2048)
-    cost, want = [2048.0 - c for c in room], [[] for _ in room]
-    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
-        start, left = 0, lengths[d]
-        while left:
-            k = min((k for k in range(len(room)) if room[k]), key=lambda k: (cost[k], k))
-            n = min(left, room[k])
-            want[k].append((d, start, n))
-            room[k], cost[k], start, left = room[k] - n, cost[k] + n + n * n / 2048, start + n, left - n
-    assert got == want and not any(room)
-    assert packing.capacities(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
+    got = packing.balanced([n for n in lengths if n < 2048], 2048)
+    rest = dict(enumerate(n for n in lengths if n < 2048))
+    room = [2048] * (sum(rest.values()) // 2048) + [sum(rest.values()) % 2048]
+    cost, want = [2048.0 - c for c in room], [set() for _ in room]
+    for d in sorted(rest, key=lambda d: (-rest[d], d)):
+        fits = [k for k in range(len(room)) if room[k] >= rest[d]]
+        if fits:
+            k = min(fits, key=lambda k: (cost[k], k))
+            want[k].add(d)
+            room[k], cost[k] = room[k] - rest[d], cost[k] + rest[d] + rest[d] ** 2 / 2048
+    assert all(w <= {d for d, start, n in s if n == rest[d]} for w, s in zip(want, got)) and sum(map(len, want)) > 0.98 * len(rest)
+    spread = np.std([sum(n + n * n / 2048 for _, _, n in s) for s in got[:-1]])
+    dealt = [sum(n + n * n / 2048 for n in chunk) for chunk in np.array_split(list(rest.values()), len(room))]
+    assert spread < np.std(dealt)  # better balanced than dealing documents as they come
+    assert packing.balanced([], 2048) == [] and packing.balanced([2048], 2048) == [[(0, 0, 2048)]]
 
 
 # op6
