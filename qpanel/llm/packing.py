@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ def balanced(lengths: list[int], limit: int, linear: float = 1.0, quadratic: flo
     other documents, go whole and in descending order to the sequence of lowest cost that
     has room for them. Those that fit nowhere whole are cut into the room that is left,
     the largest room first, in pieces of LEAST tokens or more, and what is still left
-    gets more sequences. So cuts are fewer than sequences, and besides the last sequence
-    none lacks as many as LEAST tokens.
+    gets more sequences. So cuts are fewer than sequences, and besides one sequence
+    none lacks as many as 2 * LEAST tokens.
     """
     full, items = [], []
     for d, n in enumerate(lengths):
@@ -59,22 +60,27 @@ def balanced(lengths: list[int], limit: int, linear: float = 1.0, quadratic: flo
         shared[k].append((d, start, n))
         room[k] -= n
         cost[k] += linear * n + quadratic * n * n
-    if len(room):
-        # the short sequence comes last, with all the room that it has up to limit
-        room[-1] += -total % limit
-    gaps = [(int(room[k]), k) for k in [len(room) - 1, *np.argsort(room[:-1], kind="stable").tolist()] if k >= 0 and room[k] >= LEAST]
+    gaps = [(int(room[k]), k) for k in np.argsort(room[:-1], kind="stable") if room[k] >= LEAST]
+    # the short sequence comes last, with all the room that it has up to limit
+    spare = (int(room[-1]) + -total % limit, len(room) - 1) if len(room) else (0, 0)
     for d, start, left in over:
         while left:
-            space, k = gaps.pop() if gaps else (limit, len(shared))
-            if k == len(shared):
-                shared.append([])
+            if gaps and (left <= gaps[-1][0] or left >= 2 * LEAST):
+                space, k = gaps.pop()
+            else:
+                if spare[0] < min(left, 2 * LEAST):
+                    spare = (limit, len(shared))
+                    shared.append([])
+                (space, k), spare = spare, (0, 0)
             n = min(left, space)
             if 0 < left - n < LEAST:
-                n = max(left - LEAST, min(n, LEAST))
+                n = left - LEAST
             shared[k].append((d, start, n))
-            start, left = start + n, left - n
-            if space - n >= LEAST:
-                gaps.append((space - n, k))
+            start, left, space = start + n, left - n, space - n
+            if not spare[0]:
+                spare = (space, k)
+            elif space >= LEAST:
+                insort(gaps, (space, k))
     return [[piece] for piece in full] + shared
 
 

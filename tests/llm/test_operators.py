@@ -393,7 +393,7 @@ def test_packing_round_trip(make, prose, edge):
         ps.sort(key=lambda p: p["offset"])
         total = sum(p["length"] for p in ps)
         assert [p["offset"] for p in ps] == np.cumsum([0, *[p["length"] for p in ps]])[:-1].tolist() and total <= 2048
-        short[sequence >> 40] += total <= 2048 - packing.LEAST
+        short[sequence >> 40] += total <= 2048 - 2 * packing.LEAST
     assert max(short.values()) <= 1  # one group in each partition, one short sequence in each group
     assert packing.packed(make([])).count() == 0
 
@@ -415,7 +415,7 @@ def test_packing_groups_and_balance(make):
             assert start == at and n > 0
             at += n
         assert at == lengths[d]
-    assert len(pieces) == len(lengths) and sum(sum(n for _, _, n in s) <= 2048 - packing.LEAST for s in got) <= 1
+    assert len(pieces) == len(lengths) and sum(sum(n for _, _, n in s) <= 2048 - 2 * packing.LEAST for s in got) <= 1
     assert 2048 * len(got) - sum(lengths) < 2048 + 0.002 * sum(lengths)
     assert min(n for d, ps in pieces.items() for _, n in ps if lengths[d] >= 2 * packing.LEAST) >= packing.LEAST
     # cuts beyond those of documents over the limit: fewer than sequences, and few documents
