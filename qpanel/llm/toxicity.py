@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from .shared import as_bytes, as_texts, batch, written
 
-#: Bounds of the sample that weights are fitted on: labelled rows of each class, and features kept.
-PER_CLASS, FEATURES = 5_000, 20_000
+#: Bounds of the sample that weights are fitted on: labelled rows of each class, and features kept, the most toxic first.
+PER_CLASS, FEATURES = 5_000, 50_000
 #: Pseudo-documents that draw a feature's share of toxic ones to the base rate, and the fewest toxic documents of a feature.
 DRAWN, LEAST = 4.0, 3
 #: Lengths of word starts that are features besides whole words.
 STARTS = (5, 6)
-#: The longest token whose reading is kept for reuse, and the costs of reading a character as another, dropping a separator or a repeat.
-REUSED, SUBSTITUTE, SEPARATOR, REPEAT = 64, 1.2, 0.7, 0.5
+#: The longest token whose reading is kept for reuse, how many are kept, and the costs of reading a character as another, dropping a separator or a repeat.
+REUSED, KEPT, SUBSTITUTE, SEPARATOR, REPEAT = 64, 200_000, 1.2, 0.7, 0.5
+#: Letters of a decoded run from which known words within it count too, and the fewest letters of such a word.
+RUN, WITHIN = 12, 5
 #: What a character may stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = set(" .-_*~'`,/\\")
@@ -32,8 +34,12 @@ END, ELSE = 0, 27
 #: Characters that may also end a word within a token.
 ENDS = SEPARATORS | set("()[]{}<>|")
 
-#: Tokens worth decoding: a sign next to a letter, a letter twice, signs alone, single letters or signs in a row.
-SUSPECT = re.compile(r"[A-Za-z](?:[^\w\s]|[\d_])+[A-Za-z]|[A-Za-z][0-9@$|+(]|[0-9@$!|+(][A-Za-z]|([A-Za-z])\1|(?<!\S)[0-9@$!|+(]{3,}(?!\S)|(?<!\S)[A-Za-z0-9@$!|+(](?: [A-Za-z0-9@$!|+(]){2,}(?!\S)")
+#: Tokens worth decoding: a sign next to a letter, a letter twice, signs alone. Single characters in a row are read together besides.
+SUSPECT = re.compile(r"[A-Za-z](?:[^\w\s]|[\d_])+[A-Za-z]|[A-Za-z][0-9@$|+(]|[0-9@$!|+(][A-Za-z]|([A-Za-z])\1|^[0-9@$!|+(]{3,}$")
+DOUBLED = re.compile(r"([a-z])\1").search
+#: Marks after a word, and the most doubled letters of a word whose readings are all looked up before it is decoded.
+AFTER, LOOKED_UP = ".,;:!?*", 4
+SINGLE = re.compile(r"[A-Za-z0-9@$!|+(]")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -76,16 +82,6 @@ class Decoder:
         low = (pair + 0.1) / (pair.sum(axis=1, keepdims=True) + 0.1 * SIZE)
         self.cost = -np.log((c + 2.0 * low[None]) / (two + 2.0))
         self.codes = {chr(97 + k): k + 1 for k in range(26)}
-        self.known: dict[str, str] = {}
-
-    def decoded(self, token: str) -> list[str]:
-        if len(token) > REUSED:
-            return self.read(token.lower())
-        if token not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[token] = self.read(token.lower())
-        return self.known[token]
 
     def read(self, token: str) -> list[str]:
         """The token as one word, and as words that end at separators."""
@@ -130,28 +126,92 @@ class Decoder:
         return "".join(reversed(read))
 
 
-def tokens_around(text: str) -> Iterator[str]:
-    """Suspect tokens: matches of SUSPECT, out to white space on both sides."""
-    upto = -1
-    for m in SUSPECT.finditer(text):
-        if m.start() < upto:
-            continue
-        a, b = m.start(), m.end()
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        upto = b
-        yield text[a:b]
-
-
-def words_of(text: str, decoder: Decoder) -> set[str]:
-    """The words of a text, and those that its suspect tokens decode to."""
-    found = set(WORDS.findall(text.lower()))
-    for t in tokens_around(text):
-        found.update(decoder.decoded(t.rstrip(".,;:!?*")))
-    found.discard("")
-    return found
+class Reader:
+    """Features of texts, all or only wanted ones. What a token gives is kept for reuse; the store is emptied when it is full."""
+
+    def __init__(self, counts: np.ndarray, wanted: dict | None = None):
+        self.decoder, self.wanted = Decoder(counts), wanted
+        #: for each token its features and long runs; None if it has neither
+        self.known: dict[str, tuple | None] = {}
+
+    def of(self, text: str) -> tuple[set[str], set[str]]:
+        """Words and word starts of a text, those that its suspect tokens decode to included, and its long decoded runs."""
+        features, runs, known = set(), set(), self.known
+        tokens = text.split()
+        for t in set(tokens):
+            w = t.lower().rstrip(AFTER)
+            if w.isalpha() and not DOUBLED(w):
+                self.add(w, features)
+                continue
+            try:
+                found = known[t]
+            except KeyError:
+                found = self.read(w, bool(SUSPECT.search(t)))
+                if len(t) <= REUSED:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    known[t] = found
+            if found:
+                features.update(found[0])
+                runs.update(found[1])
+        for t in spaced(tokens):
+            if found := self.read(t.lower(), True):
+                features.update(found[0])
+                runs.update(found[1])
+        return features, runs
+
+    def add(self, word: str, features: set[str]) -> None:
+        """A plain word's features."""
+        wanted = self.wanted
+        if wanted is None:
+            features.update(features_of({word}))
+            return
+        if word in wanted:
+            features.add(word)
+        for n in STARTS:
+            if len(word) > n and (start := word[:n] + "~") in wanted:
+                features.add(start)
+
+    def read(self, low: str, suspect: bool) -> tuple | None:
+        words, runs = set(WORDS.findall(low)), ()
+        if suspect and self.may_matter(low):
+            decoded = self.decoder.read(low.rstrip(AFTER))
+            words.update(decoded)
+            words.discard("")
+            runs = tuple(w for w in decoded[:1] if len(w) >= RUN)
+        features = features_of(words)
+        if self.wanted is not None:
+            features = self.wanted.keys() & features
+        return (tuple(features), runs) if features or runs else None
+
+    def may_matter(self, low: str) -> bool:
+        """False if no reading of a word of letters only has a wanted feature: it needn't be decoded then."""
+        if self.wanted is None or not low.isalpha():
+            return True
+        if low in self.wanted:
+            return True
+        found = {""}
+        drops = 0
+        for k, ch in enumerate(low):
+            again = k and ch == low[k - 1]
+            drops += bool(again)
+            if drops > LOOKED_UP:
+                return True
+            found = {x + ch for x in found} | (found if again else set())
+        return any(f in self.wanted for f in features_of(found))
+
+
+def spaced(tokens: list[str]) -> Iterator[str]:
+    """Three or more single characters in a row, with a blank between each two."""
+    at = [i for i, t in enumerate(tokens) if len(t) == 1 and SINGLE.match(t)]
+    k = 0
+    while k < len(at):
+        upto = k + 1
+        while upto < len(at) and at[upto] == at[upto - 1] + 1:
+            upto += 1
+        if upto - k >= 3:
+            yield " ".join(tokens[at[k] : at[upto - 1] + 1])
+        k = upto
 
 
 def features_of(words: set[str]) -> set[str]:
@@ -172,8 +232,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     # each class by a bounded top-k, which is merged within the tasks
     first = [y.filter(F.col("_y") == v).orderBy(F.xxhash64("_id"), "_id").limit(PER_CLASS) for v in (0, 1)]
     y = first[0].unionByName(first[1])
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return d.join(F.broadcast(y), "_id").select("_y", "_text")
+    # of rows that repeat an id the first text counts, so that neither class grows or is cut
+    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    return d.join(F.broadcast(y), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_y", "_text")
 
 
 class Evidence:
@@ -182,12 +243,17 @@ class Evidence:
     def __init__(self, table: dict[str, tuple[int, int]], base: float):
         self.table, self.base, self.zero = table, base, math.log(base / (1 - base))
         self.logits = {f: self.logit(a, b) for f, (a, b) in table.items()}
+        self.lengths = sorted({len(f) for f in table if len(f) >= WITHIN and f[-1] != "~"})
 
     def logit(self, toxic: float, clean: float) -> float:
         p = (toxic + DRAWN * self.base) / (toxic + clean + DRAWN)
         return math.log(p / (1 - p))
 
-    def of(self, features: set[str], label: int | None = None) -> tuple[float, float]:
+    def within(self, run: str) -> set[str]:
+        """The words of the table that lie in a run of letters."""
+        return {w for n in self.lengths for i in range(len(run) - n + 1) if (w := run[i : i + n]) in self.table}
+
+    def of(self, features: set[str], runs: set[str], label: int | None = None) -> tuple[float, float]:
         """The largest and second largest logit above the base; with a label, as if that text had not been counted."""
         found = self.logits.keys() & features
         if label is None:
@@ -195,6 +261,8 @@ class Evidence:
         else:
             counts = [(self.table[f][0] - label, self.table[f][1] - (1 - label)) for f in found]
             values = [self.logit(a, b) - self.zero for a, b in counts if a >= LEAST]
+        for run in runs:
+            values += [self.logits[f] - self.zero for f in self.within(run) - found]
         top = sorted((v for v in values if v > 0), reverse=True)[:2] + [0.0, 0.0]
         return top[0], top[1]
 
@@ -227,8 +295,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null text is empty; a text without words gets the score of no evidence; without
     labels of both classes all scores are 0. Null ids stay null; labels that repeat an
-    id count as toxic if one of them does; repeated rows are scored each; an empty table
-    gives an empty result. Returns id_col, held_out, score, predicted.
+    id count as toxic if one of them does; of texts that repeat an id one is learned
+    from; repeated rows are scored each; tokens and runs of any length are decoded; other
+    columns are not read; an empty table gives an empty result.
+    Returns id_col, held_out, score, predicted.
     """
     sc = docs.sparkSession.sparkContext
     counts = sc.broadcast(letter_counts(docs, text_col))
@@ -240,10 +310,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         base = toxic / (toxic + clean)
 
         def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            decoder, ones, zeros = Decoder(counts.value), Counter(), Counter()
+            reader, ones, zeros = Reader(counts.value), Counter(), Counter()
             for b in batches:
                 for y, t in zip(b.column(0).to_pylist(), as_texts(b.column(1))):
-                    (ones if y == 1 else zeros).update(features_of(words_of(t, decoder)))
+                    (ones if y == 1 else zeros).update(reader.of(t)[0])
             names = [*ones, *(zeros.keys() - ones.keys())]
             schema = pa.schema([("f", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
             for at in range(0, len(names), 50_000):
@@ -256,14 +326,15 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         table = sc.broadcast({r["f"]: (r["a"], r["b"]) for r in rows})
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            decoder, evidence = Decoder(counts.value), Evidence(table.value, base)
+            reader, evidence = Reader(counts.value, table.value), Evidence(table.value, base)
             schema = pa.schema([("y", pa.int32()), ("x1", pa.float64()), ("x2", pa.float64())])
             for b in batches:
                 y = [int(v == 1) for v in b.column(0).to_pylist()]
-                x = [evidence.of(features_of(words_of(t, decoder)), v) for v, t in zip(y, as_texts(b.column(1)))]
+                x = [evidence.of(*reader.of(t), v) for v, t in zip(y, as_texts(b.column(1)))]
                 yield batch(schema, y, [v[0] for v in x], [v[1] for v in x])
 
-        known = train.mapInArrow(measure, "y int, x1 double, x2 double").orderBy("y", "x1", "x2").limit(2 * PER_CLASS).toPandas()
+        # 2 * PER_CLASS rows of three numbers at most
+        known = train.mapInArrow(measure, "y int, x1 double, x2 double").toPandas().sort_values(["y", "x1", "x2"])
         beta = fitted(known[["x1", "x2"]].to_numpy(), known["y"].to_numpy())
         model = (table, base, [float(v) for v in beta])
 
@@ -271,7 +342,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = pa.schema([("id", pa.string()), ("score", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(counts.value)
+        reader = Reader(counts.value, model[0].value) if model else None
         evidence = Evidence(model[0].value, model[1]) if model else None
         for b in batches:
             found = []
@@ -279,7 +350,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 if evidence is None:
                     found.append(0.0)
                     continue
-                x = evidence.of(features_of(words_of(t, decoder)))
+                x = evidence.of(*reader.of(t))
                 found.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model[2][0] + model[2][1] * x[0] + model[2][2] * x[1])))))
             yield batch(schema, b.column(0), found)
 
