@@ -124,6 +124,57 @@ def test_kernel_is_that_of_presence():
     assert p.of("12 34 !") is None
 
 
+def slow_regressions(docs, test):
+    """Ridge regression in the space of all n-grams, one language against the rest; the language of each test text."""
+    presence = language.Presence()
+    unit = lambda t: (lambda r: r / math.sqrt(max(r.sum(), 1)))(presence.of(t).astype(float))
+    names = sorted({lang for _, _, lang, _ in docs})
+    x = np.array([unit(t) for _, t, _, _ in docs])
+    w = np.array([len(docs) / (len(names) * sum(d[2] == lang for d in docs)) for _, _, lang, _ in docs])
+    c = x.mean(axis=0)
+    xc = x - c
+    gram = (xc * w[:, None]) @ xc.T  # the solution lies in the span of the rows
+    scores = []
+    for name in names:
+        y = np.array([1.0 if d[2] == name else -1.0 for d in docs])
+        level = (w * y).mean()
+        alpha = np.linalg.solve(gram + language.RIDGE * len(docs) * np.eye(len(docs)), w * (y - level))
+        scores.append([level + (unit(t) - c) @ (xc.T @ alpha) for t in test])
+    return names, np.array(scores).T
+
+
+def test_language_is_kernel_ridge_regression(make, monkeypatch):
+    """With all of the sample as landmarks the scores are those of regressions on the n-grams themselves."""
+    monkeypatch.setattr(language, "LANDMARKS", 10_000)
+    monkeypatch.setattr(language, "MOST_LANDMARKS", 10_000)
+    monkeypatch.setattr(language, "PER_LANGUAGE", 1_000_003)
+    monkeypatch.setattr(language, "SAMPLE", 10**9)
+    docs = languages(60)
+    model = language.trained(make(docs), "doc_id", "text", "lang")
+    learned = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 4 != 2]
+    names, want = slow_regressions(learned, [t for _, t, _, _ in docs])
+    assert model[0] == names and len(model[1]) == len({t for _, t, _, _ in learned})
+    presence = language.Presence()
+    rows_ = np.array([presence.of(t) for _, t, _, _ in docs]).astype(np.float32)
+    got = language.kernel(rows_, np.unpackbits(model[1], axis=1, count=language.WIDTH).astype(np.float32)) @ model[2] + model[3]
+    assert (got.argmax(axis=1) == want.argmax(axis=1)).all() and np.abs(got - want).max() < 0.02
+
+
+def test_language_every_language_is_learned(make, monkeypatch):
+    """Null and repeated ids, and more languages than the sample has rows for."""
+    rng = random.Random(2)
+    docs = [(None if k % 2 else 7, " ".join("".join(rng.choices(lang * 3 + "aeiou", k=5)) for _ in range(20)), lang * 2, "s") for k in range(600) for lang in [chr(97 + k % 3 * 7)]]
+    monkeypatch.setattr(language, "PER_LANGUAGE", 20)
+    got = language.predicted(make([d for d in docs if zlib.crc32(b"7") % 4 != 2 or d[0] is None])).collect()
+    assert {r["lang_pred"] for r in got} == {"aa", "hh", "oo"}
+    many = [(k, " ".join("".join(rng.choices(chr(0x4E00 + k % 100) + "aeiou", k=6)) for _ in range(30)), f"l{k % 100:03}", "s") for k in range(800)]
+    monkeypatch.setattr(language, "SAMPLE", 250)
+    names = language.trained(make(many), "doc_id", "text", "lang")[0]
+    assert len(names) == 100
+    pred = rows(language.predicted(make(many)))
+    assert np.mean([pred[d[0]]["lang_pred"] == d[2] for d in many]) > 0.9
+
+
 def test_language_nothing_to_learn(make):
     got = rows(language.predicted(make([(1, "abc"), (2, None)])))
     assert got[1]["lang_pred"] == "und" and got[1]["score"] == 0 and got[2]["score"] == 1
