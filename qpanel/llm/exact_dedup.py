@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import text_or_empty, written
 
-#: No more than this many groups are treated as hot.
-MOST_HOT = 4096
+#: No more than this many groups are treated as hot, with no more bytes of text in sum; larger ones first.
+MOST_HOT, HOT_BYTES = 4096, 64_000_000
 #: Bytes of text that the range splitters see, besides the hash of the whole text.
 LEAD = 16
 
@@ -31,14 +31,16 @@ def content_sort(
     (LEAD characters and a hash), so that the sample does not grow with the texts.
 
     A group that holds more than 1/partitions of all rows would overload one range.
-    There are fewer than ``partitions`` such groups, and the texts of all of them
-    together are no longer than ``partitions`` mean texts (each counts at least
-    rows/partitions times in the table's bytes). They are reduced within the map
-    tasks, and the few results broadcast; their rows are never shuffled.
+    There are fewer than ``partitions`` such groups. As long as their texts have
+    HOT_BYTES in sum (groups beyond that are sorted like others), they are reduced
+    within the map tasks, and the few results broadcast; their rows are never shuffled.
+    Of a hot group's rows with the id that stays, however many repeat it, the first in a
+    written table is kept.
 
     Null text is the empty text. keep: "min" or "max", which id of a group stays;
     ids that are null come last. Rows that repeat both id and text count in
-    group_size, and just one of them is kept. An empty table gives an empty result.
+    group_size, and just one of them is kept. Other columns may have any names. An
+    empty table gives an empty result.
     Returns id_col, keep_id, group_size, kept, text_sha256 and, with carry, the
     input row as the struct _row.
     """
@@ -53,7 +55,12 @@ def content_sort(
     base = base.withColumn("_key", F.xxhash64("_text"))
 
     total = docs.count()
-    hot = [r[0] for r in base.groupBy("_key").count().filter(F.col("count") * parts > max(total, 64 * parts)).select("_key").collect()]
+    counts = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max(F.octet_length("_text")).alias("_bytes"))
+    hot, size = [], 0
+    for r in counts.filter(F.col("_n") * parts > max(total, 64 * parts)).orderBy(F.desc("_n"), "_key").collect():
+        size += r["_bytes"]
+        if size <= HOT_BYTES:
+            hot.append(r["_key"])
 
     def finished(df: DataFrame) -> DataFrame:
         row = []
@@ -85,7 +92,8 @@ def content_sort(
     groups = rows.groupBy("_key", "_text").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     rows = rows.join(F.broadcast(groups), ["_key", "_text"])
     first = F.col("_id").eqNullSafe(F.col("keep_id"))
-    once = Window.partitionBy("_key", "_text", "_id").orderBy("group_size")
-    return result.unionByName(finished(rows.filter(~first).withColumn("kept", F.lit(False)))).unionByName(
-        finished(rows.filter(first).withColumn("kept", F.row_number().over(once) == 1))
-    )
+    # one row of each group, or as many as repeat the id; their places in the written table are the same whenever it is read
+    candidates = written(rows.filter(first)).withColumn("_at", F.monotonically_increasing_id())
+    stays = candidates.groupBy("_key", "_text").agg(F.min("_at").alias("_stays"))
+    candidates = candidates.join(F.broadcast(stays), ["_key", "_text"]).withColumn("kept", F.col("_at") == F.col("_stays"))
+    return result.unionByName(finished(rows.filter(~first).withColumn("kept", F.lit(False)))).unionByName(finished(candidates))

@@ -518,6 +518,21 @@ def test_exact_dedup_hot_groups(make):
     assert all(r["_row"]["doc_id"] == r["doc_id"] and r["_row"]["votes"] == "y" for r in got)
 
 
+def test_exact_dedup_hot_rows_without_ids(make):
+    docs = [(None, "hot")] * 900 + [(7, "warm")] * 500 + [(5000 + k, f"cold {k}") for k in range(300)]
+    df = exact_dedup.content_sort(make(docs).repartition(5), keep="max", carry=True)
+    got = df.collect()
+    assert len(got) == len(docs) and sum(r["kept"] for r in got) == 302
+    assert [r["group_size"] for r in got if r["kept"] and r["text_sha256"] == hashlib.sha256(b"hot").hexdigest()] == [900]
+
+
+def test_exact_dedup_hot_texts_beyond_the_broadcast(make, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_BYTES", 3)
+    docs = [(k, "hot") for k in range(900)] + [(2000 + k, "warm") for k in range(500)] + [(5000 + k, f"cold {k}") for k in range(300)]
+    got = exact_dedup.content_sort(make(docs), keep="max").collect()
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == [899, 2499, *range(5000, 5300)] and len(got) == len(docs)
+
+
 # op7
 def slow_measures(text):
     words = [w for w in (text or "").translate(str.maketrans(dict.fromkeys(WS, " "))).split(" ") if w]
