@@ -2,14 +2,19 @@
 
 Suffixes are ordered by their first THRESHOLD bytes only, in passes of digits: first the
 GRAM bytes at an anchor, then all that the THRESHOLD-byte strings around the anchor can
-reach, then the strings themselves. A digit is the 64-bit fingerprint of its bytes, as
-only equality matters. A pass sorts just those suffixes that the passes before left in a
-group with others, and groups that are equal at full depth are the repeated strings.
+reach, then the strings themselves. A pass sorts just those suffixes that the passes
+before left in a group with others, and groups that are equal at full depth are the
+repeated strings.
+
+Only equality matters, so digits travel as hashes of their bytes. The first is a 64-bit
+fingerprint, which only says what is to be compared; those that decide are 128-bit
+BLAKE2b digests, so that equal digests are equal bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes
+from .shared import as_bytes, batch
 
 #: Length of the strings, and of the first digit.
 THRESHOLD, GRAM = 200, 100
@@ -53,7 +58,8 @@ class Chunk:
         self.sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.bytes = b"".join(texts)
+        self.data = np.frombuffer(self.bytes, dtype=np.uint8)
         self.valid = np.zeros(len(self.data), dtype=bool)
         for a, b in zip(self.starts.tolist(), self.ends.tolist()):
             if b - a >= THRESHOLD:
@@ -94,40 +100,48 @@ class Chunk:
             anchor = (least[starts - lo] & np.uint64(0xFFFFFF)).astype(np.int64) + lo
             yield starts, anchor, digit
 
-    def around(self, anchor: np.ndarray, digit) -> np.ndarray:
-        """Fingerprint of all that strings with this anchor can reach in its text, and of how far that is."""
+    def around(self, anchor: np.ndarray) -> np.ndarray:
+        """Digests of all that strings with these anchors can reach in their texts, and of how far that is: two words each, never zero."""
         k = np.searchsorted(self.ends, anchor, side="right")
         a, b = np.maximum(anchor - REACH, self.starts[k]), np.minimum(anchor + THRESHOLD, self.ends[k])
-        return mixed(digit(a, b) + (anchor - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (b - anchor).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and second digit of each anchor."""
-        places, first, second = [], [], []
+        data, digest = self.bytes, hashlib.blake2b
+        keys = [bytes((x - i, j - x)) for x, i, j in zip(anchor.tolist(), a.tolist(), b.tolist())]
+        found = b"".join([digest(data[i:j], digest_size=16, salt=key).digest() for i, j, key in zip(a.tolist(), b.tolist(), keys)])
+        return np.frombuffer(found, np.uint64).reshape(-1, 2) | np.uint64(1)
+
+    def anchors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each anchor once, with its first digit, block by block."""
+        last = -1
         for _, anchor, digit in self.blocks():
             a = np.unique(anchor)
-            if places:
-                a = a[a > places[-1][-1]]
+            a = a[a > last]
             if len(a):
-                places.append(a)
-                first.append(first_digit(a, digit))
-                second.append(self.around(a, digit))
-        if not places:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return np.concatenate(first), np.concatenate(second)
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each first digit once, with its second digit (0: several) and whether the pair occurs again."""
-        first, second = self.anchors()
-        order = np.lexsort((second, first))
+                last = a[-1]
+                yield a, first_digit(a, digit)
+
+    def digits(self) -> np.ndarray:
+        """The first digits that occur, in order."""
+        found = [f for _, f in self.anchors()]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each first digit once, with its second digit's two words (0: several) and whether the pair occurs again."""
+        found = [(f, self.around(a)) for a, f in self.anchors()]
+        first = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.uint64)
+        second = np.concatenate([s for _, s in found]) if found else np.zeros((0, 2), np.uint64)
+        order = np.lexsort((second[:, 1], second[:, 0], first))
         first, second = first[order], second[order]
         new = np.r_[True, first[1:] != first[:-1]] if len(first) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         counts = np.diff(np.r_[at, len(first)])
-        same = second[at] == second[at + counts - 1] if len(at) else np.zeros(0, bool)
-        return first[at], np.where(same, second[at], np.uint64(0)), (counts > 1).astype(np.uint8)
+        # sorted by all words: a group's first and last are equal if all are
+        same = (second[at] == second[at + counts - 1]).all(axis=1)
+        second = np.where(same[:, None], second[at], np.uint64(0))
+        return first[at], second[:, 0].copy(), second[:, 1].copy(), (counts > 1).astype(np.uint8)
 
     def strings(self, digits: np.ndarray, states: np.ndarray, mark: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Marks strings whose anchor is in state WHOLE or BOTH; starts and fingerprints of those to send."""
+        """Marks strings whose anchor is in state WHOLE or BOTH; starts and digests of those to send."""
+        data, digest = self.bytes, hashlib.blake2b
         for starts, anchor, digit in self.blocks():
             if not len(digits):
                 return
@@ -136,7 +150,8 @@ class Chunk:
             mark[starts[(state & WHOLE) > 0]] = True
             s = starts[(state & SEND) > 0]
             if len(s):
-                yield s, digit(s, s + THRESHOLD)
+                found = b"".join([digest(data[i : i + THRESHOLD], digest_size=16).digest() for i in s.tolist()])
+                yield s, np.frombuffer(found, np.uint64).reshape(-1, 2)
 
     def cleaned(self, mark: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
         """Bytes, bytes removed, removed runs and the digest of what is left, of each text."""
@@ -174,18 +189,19 @@ def dealt(chunk: int, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, i
         start = end
 
 
-def first_pass(first: np.ndarray, second: np.ndarray, again: np.ndarray) -> np.ndarray:
+def first_pass(first: np.ndarray, second: np.ndarray, more: np.ndarray, again: np.ndarray) -> np.ndarray:
     """States of the entries of all chunks, sorted by both digits."""
-    order = np.lexsort((second, first))
-    f, s, again = first[order], second[order], again[order].astype(bool)
+    order = np.lexsort((more, second, first))
+    f, s, t, again = first[order], second[order], more[order], again[order].astype(bool)
     state = np.zeros(len(f), dtype=np.uint8)
     if len(f):
         new = np.r_[True, f[1:] != f[:-1]]
         group = np.cumsum(new) - 1
-        size, low, high = np.bincount(group), s[new], s[np.r_[np.flatnonzero(new)[1:] - 1, len(f) - 1]]
-        several = (low == 0) | (low != high)
+        last = np.r_[np.flatnonzero(new)[1:] - 1, len(f) - 1]
+        size = np.bincount(group)
+        several = (s[new] == 0) | (s[new] != s[last]) | (t[new] != t[last])
         repeated = (size > 1) | (np.bincount(group, weights=again) > 0)
-        pair = new | np.r_[True, s[1:] != s[:-1]]
+        pair = new | np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])]
         number = np.cumsum(pair) - 1
         twice = (np.bincount(number)[number] > 1) | (np.bincount(number, weights=again)[number] > 0)
         state[repeated[group] & ~several[group]] = WHOLE
@@ -199,14 +215,22 @@ def first_pass(first: np.ndarray, second: np.ndarray, again: np.ndarray) -> np.n
     return out
 
 
-def last_pass(strings: np.ndarray, again: np.ndarray) -> np.ndarray:
+def distinct(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different digests in order, the place of each given one among them, and how often each occurs."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    d = digests[order]
+    new = np.r_[True, (d[1:] != d[:-1]).any(axis=1)][: len(d)]
+    place = np.empty(len(d), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return d[new], place, np.diff(np.r_[np.flatnonzero(new), len(d)])
+
+
+def last_pass(one: np.ndarray, two: np.ndarray, again: np.ndarray) -> np.ndarray:
     """1 for the strings that occur in several chunks, or again in one."""
-    order = np.argsort(strings, kind="stable")
-    s = strings[order]
-    same = s[1:] == s[:-1]
-    out = np.zeros(len(s), dtype=np.uint8)
-    out[order] = np.r_[same, False] | np.r_[False, same] if len(s) else out
-    return out | again
+    if not len(one):
+        return again
+    _, place, counts = distinct(np.stack([one, two], axis=1))
+    return (counts[place] > 1).astype(np.uint8) | again
 
 
 ANSWER = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
@@ -215,7 +239,7 @@ PIECE = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("blob", pa.bina
 
 def sorting_task(kind: str):
     """One range of digits from all chunks: answers each chunk with a byte for each of its entries."""
-    width = 17 if kind == "first" else 9
+    width = 25 if kind == "first" else 17
 
     def sort(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["chunk"].to_pylist(), table["blob"].to_pylist()))
@@ -243,19 +267,42 @@ def texts_of(table: pa.Table) -> list[bytes]:
     return as_bytes(table["text"].combine_chunks()) if table.num_rows else []
 
 
+def dealt_to(chunks: int):
+    """Rows with a chunk for each, by a hash; rows that repeat id and text go elsewhere from the ninth in a partition on, and so on.
+
+    What row goes where depends only on what is in its partition, not on its order, so
+    a partition that is read again deals alike.
+    """
+    schema = pa.schema([("chunk", pa.int32()), ("id", pa.string()), ("text", pa.string())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        from xxhash import xxh64_intdigest
+
+        seen, part = Counter(), TaskContext.get().partitionId()
+        for b in batches:
+            chunk = []
+            for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+                h = xxh64_intdigest(t, xxh64_intdigest(repr(i).encode()))
+                seen[h] += 1
+                turn = (seen[h] - 1) // 8
+                chunk.append((h if not turn else xxh64_intdigest(f"{h} {part} {turn}".encode())) % chunks)
+            yield batch(schema, chunk, b.column(0), b.column(1))
+
+    return deal
+
+
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What is left of each text without the bytes of any THRESHOLD-byte string that starts at two places or more.
 
     Texts are dealt once to chunks; each chunk's tasks exchange only digits with the
     sorting tasks. A chunk sends each digit once, however often it holds it, so a string
     that fills a third of the corpus gives a sorting task one entry for each chunk.
-    Three passes over the texts, two sorts. Equal fingerprints count as equal strings
-    (64 bits; the last digit is compared only between strings whose first digit agrees
-    with that of a string elsewhere).
+    Three passes over the texts, two sorts.
 
     Null text is empty; texts under THRESHOLD bytes stay whole; repeated rows are
-    copies of each other, so of long ones nothing is left; null ids stay null; an empty
-    table gives an empty result.
+    copies of each other, so of long ones nothing is left, and are dealt to many chunks;
+    null ids stay null; other columns are not read; an empty table gives an empty result.
     Returns id_col, n_bytes, n_removed, n_spans, kept_sha256.
     """
     spark = docs.sparkSession
@@ -264,8 +311,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chunks = max(1, -(-total // CHUNK))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     df = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    df = df.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "id", "text")
-    df = df.repartition("chunk")
+    df = df.mapInArrow(dealt_to(chunks), "chunk int, id string, text string").repartition("chunk")
 
     def send_digits(table: pa.Table) -> pa.Table:
         number = table["chunk"][0].as_py()
@@ -273,17 +319,17 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.Table.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(PIECE.names)}, schema=PIECE)
 
     def sent_strings(c: Chunk, states: np.ndarray, mark: np.ndarray) -> tuple[list, np.ndarray]:
-        digits = c.entries()[0]
-        sent = list(c.strings(digits, states, mark))
-        return sent, np.concatenate([h for _, h in sent]) if sent else np.zeros(0, np.uint64)
+        sent = list(c.strings(c.digits(), states, mark))
+        return sent, np.concatenate([h for _, h in sent]) if sent else np.zeros((0, 2), np.uint64)
 
     def send_strings(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if table.num_rows and answers.num_rows:
             c = Chunk(texts_of(table))
             _, hashes = sent_strings(c, answered(answers), np.zeros(len(c.data), bool))
-            found, n = np.unique(hashes, return_counts=True)
-            rows = list(dealt(table["chunk"][0].as_py(), parts, found, (n > 1).astype(np.uint8)))
+            if len(hashes):
+                found, _, n = distinct(hashes)
+                rows = list(dealt(table["chunk"][0].as_py(), parts, found[:, 0].copy(), found[:, 1].copy(), (n > 1).astype(np.uint8)))
         return pa.Table.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(PIECE.names)}, schema=PIECE)
 
     result = pa.schema([("id", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -297,9 +343,8 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             by_pass = [answers.filter(pa.array([p == k for p in answers["pass"].to_pylist()])) for k in (1, 2)]
             sent, hashes = sent_strings(c, answered(by_pass[0]), mark)
             if len(hashes):
-                found, state = np.unique(hashes), answered(by_pass[1]).astype(bool)
-                for s, h in sent:
-                    mark[s[state[np.searchsorted(found, h)]]] = True
+                state = answered(by_pass[1]).astype(bool)[distinct(hashes)[1]]
+                mark[np.concatenate([s for s, _ in sent])[state]] = True
         rows = list(c.cleaned(mark))
         return pa.Table.from_pydict({"id": table["id"].to_pylist(), **{n: [r[k] for r in rows] for k, n in enumerate(result.names[1:])}}, schema=result)
 

@@ -382,6 +382,24 @@ def test_suffix_blocks_and_chunks_do_not_matter(make, prose, monkeypatch):
     assert sorted((tuple(r) for r in suffix_dedup.repeated_strings(make(docs)).collect()), key=repr) == want == slow_suffix(docs)
 
 
+def test_suffix_colliding_fingerprints_do_not_matter(make, prose, monkeypatch):
+    """With a fingerprint that is the same for all strings, and with one of two values, bytes still decide."""
+    docs = [(k, prose(60, k % 5) + prose(60, k) + prose(60, 100 + k % 3)) for k in range(12)] + [(50, "a" * 200), (51, "b" * 200)]
+    want = slow_suffix(docs)
+    for table in (np.zeros(256, np.uint64), (np.arange(256) % 2).astype(np.uint64) << np.uint64(63)):
+        monkeypatch.setattr(suffix_dedup, "BYTES", table)
+        assert sorted((tuple(r) for r in suffix_dedup.repeated_strings(make(docs)).collect()), key=repr) == want
+
+
+def test_suffix_repeated_rows_are_dealt_out(spark, make, prose, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 20_000)
+    docs = [(None, prose(100, 1))] * 300 + [(k, prose(100, k)) for k in range(50)]
+    df = make(docs).selectExpr("cast(doc_id as string) AS id", "text").coalesce(1)
+    sizes = [r["count"] for r in df.mapInArrow(suffix_dedup.dealt_to(16), "chunk int, id string, text string").groupBy("chunk").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 80
+    assert sorted((tuple(r) for r in suffix_dedup.repeated_strings(make(docs)).collect()), key=repr) == slow_suffix(docs)
+
+
 # op5, op8
 def library(text):
     from tokenizers import Tokenizer
