@@ -20,8 +20,10 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TABLE_ENTRIES, COUNTERS = 20_000, 400_000
 #: A piece below 1 / SHARE of an entry's mean count stays out of the table: no more than SHARE * TABLE_ENTRIES pieces reach the last sort, whatever the input.
 SHARE = 20
-#: Entries that a worker's cache holds; rarer ones are encoded again for each group of texts.
+#: Entries of a worker's cache besides the table; when it is full, those that the texts at hand don't need are forgotten.
 CACHE_ENTRIES = 300_000
+#: Before a pre-token in the library's own spelling of bytes; no plain text holds it.
+MAPPED = "\x01"
 #: Characters of text that are looked up together.
 TOGETHER = 4_000_000
 #: Characters on whose class the library and the ranks' pattern agree, with no white space but spaces and line feeds.
@@ -33,8 +35,10 @@ class Encoder:
 
     A space starts a new pre-token unless white space surrounds it. Plain texts are
     therefore cut at spaces, and the pieces, space included, looked up: in the cache, or
-    else encoded all together, a line feed between each two. Other texts, and those that
-    hold the string of an added token, go to the library whole.
+    else encoded all together, a line feed between each two. Other texts are cut by the
+    library's pattern, if it takes each of their characters as the library does (which is
+    tried once for each), or else by its pre-tokenizer; their pieces are looked up alike.
+    Only texts that hold the string of an added token go to the library whole.
     """
 
     def __init__(self, path: str, ranks: str | None = None, sizes: dict[str, int] | None = None):
@@ -50,6 +54,8 @@ class Encoder:
         self.special = regex.compile("|".join(apart[:-2]) or "(?!)").search
         self.apart = regex.compile("|".join(apart)).search
         self.plain = regex.compile(PLAIN).fullmatch
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.agreed: dict[str, bool] = {}
         self.fast = None
         if ranks:
             with open(ranks, "rb") as f:
@@ -57,7 +63,8 @@ class Encoder:
             self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(k): int(v) for k, v in pairs.items()}, special_tokens={})
         self.line = self.encoded("\n")
         self.lengths = sizes is not None
-        self.cache: dict[str, bytes] | dict[str, int] = dict(sizes or {})
+        self.table = sizes or {}
+        self.cache: dict[str, bytes] | dict[str, int] = dict(self.table)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -72,17 +79,38 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str] | None:
         """The text's pieces, or None if it goes to the library whole."""
-        if not text or self.apart(text) or not self.plain(text):
+        if not text or self.special(text):
             return None
+        if self.apart(text) or not self.plain(text):
+            if all(map(self.agrees, set(text))):
+                return self.cut(text)
+            return [MAPPED + p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return text.replace(" ", "\0 ").split("\0")
 
+    def agrees(self, char: str) -> bool:
+        """Whether the pattern and the library cut alike around a character, next to each kind of other."""
+        if char not in self.agreed:
+            tries = [a + char + b for a in ("a", "1", "!", " ", "") for b in ("a", "1", "!", " ", "")]
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.agreed[char] = char != MAPPED and all([t[a:b] for _, (a, b) in split(t)] == self.cut(t) for t in tries)
+        return self.agreed[char]
+
+    def of_model(self, mapped: str) -> int | bytes:
+        """Number or ids of a pre-token in the library's spelling."""
+        found = self.tokenizer.model.tokenize(mapped)
+        return len(found) if self.lengths else np.array([t.id for t in found], dtype="<u4").tobytes()
+
     def looked_up(self, pieces: set[str]) -> dict:
         """A mapping that has all of pieces."""
         missing = sorted(pieces.difference(self.cache))
         if not missing:
             return self.cache
-        single = [p for p in missing if "\n" not in p and len(self.line) == 1]
-        found = {}
+        if len(self.cache) + len(missing) > CACHE_ENTRIES + len(self.table):
+            self.cache = self.table | {p: self.cache[p] for p in pieces.intersection(self.cache)}
+        found = self.cache
+        found.update((p, self.of_model(p[1:])) for p in missing if p[:1] == MAPPED)
+        missing = [p for p in missing if p[:1] != MAPPED]
+        single = [p for p in missing if p.strip() and "\n" not in p and len(self.line) == 1 and self.plain(p)]
         if single:
             # each piece begins with a space or, at the start of a text, with another character
             for group in ([p for p in single if p[:1] == " "], [p for p in single if p[:1] != " "]):
@@ -97,12 +125,9 @@ class Encoder:
                         found.update((p, data[4 * a : 4 * b]) for p, a, b in zip(group, starts.tolist(), ends.tolist(), strict=True))
         for p in missing:
             if p not in found:
-                ids = self.encoded(p)
+                ids = self.encoded(p) if self.plain(p) else self.whole(p)
                 found[p] = len(ids) if self.lengths else ids.tobytes()
-        if len(self.cache) + len(found) <= CACHE_ENTRIES:
-            self.cache.update(found)
-            return self.cache
-        return self.cache | found
+        return found
 
     def each(self, texts: list[str]) -> Iterator[bytes | int]:
         """Ids of each text, or their numbers if lengths are looked up."""
@@ -153,15 +178,16 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, ranks: str | Non
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, ranks: str | None = RANKS, limit: int = 1024) -> DataFrame:
-    """Tokens of each whole text, as the library counts them, without a shuffle of texts or pre-tokens.
+    """Tokens of each whole text, as the library counts them, without a shuffle of texts or of their pre-tokens.
 
     A table with the lengths of at most TABLE_ENTRIES frequent pre-tokens is broadcast
-    (a few hundred KB, whatever the input); it comes from the counts of all texts and
-    changes only how often the library is asked. Other pre-tokens are encoded once per
-    worker. Texts with the string of an added token go to the library whole.
+    (a few hundred KB, whatever the input); it comes from each task's counts of its most
+    frequent ones, over all texts, and changes only how often the library is asked.
+    Other pre-tokens are encoded once per worker, unless its cache has to forget them.
+    Texts with the string of an added token go to the library whole.
 
     Null text is the empty text, with 0 bytes and tokens; null ids stay null; repeated
-    rows are counted each; an empty table gives an empty result.
+    rows are counted each; other columns are not read; an empty table gives an empty result.
     Returns id_col, n_bytes, n_tokens, over_limit (n_tokens > limit).
     """
     names, sizes = frequent_lengths(docs, text_col, path, ranks)

@@ -443,6 +443,24 @@ def test_encoder_is_the_library_on_random_strings():
         assert next(plain.each([t])) == len(want), t
 
 
+def test_every_kind_of_text_meets_the_table(monkeypatch):
+    """Tabs, dashes, Cyrillic, wide blanks: pieces, not whole texts; with a cache that must forget all the time."""
+    kinds = ["a\tb  c", "word — word", "слово и ещё слово", "x\r\ny  z", "“quoted” text…", "日本語 です", "a\u00a0b", "   \n\n  x   ", "don't  we'll\tgo", "1 234\u2009567", "\x01 a\x01b"]
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 3)
+    lengths, ids = tokens.Encoder(tokens.TOKENIZER, tokens.RANKS, {tokens.MAPPED + "Ġword": 1, " word": 1}), tokens.Encoder(tokens.TOKENIZER, tokens.RANKS)
+    for t in kinds * 2:
+        assert lengths.pieces(t) is not None and len(lengths.pieces(t)) > 1
+        assert next(lengths.each([t])) == len(library(t)), t
+        assert np.frombuffer(next(ids.each([t])), "<u4").tolist() == library(t), t
+        assert len(lengths.cache) <= 3 + 2 + len(lengths.pieces(t))
+    assert list(lengths.each(kinds)) == [len(library(t)) for t in kinds]
+    together = tokens.Encoder(tokens.TOKENIZER, tokens.RANKS, {})
+    rng = random.Random(5)
+    texts = ["".join(rng.choices([" ", "  ", "\t", "a", " b", "'s", "—", "\n", "д", "1", ".", "\r\n"], k=30)) for _ in range(300)]
+    assert list(together.each(texts)) == [len(library(t)) for t in texts]
+    assert lengths.pieces("a <|endoftext|> b") is None
+
+
 def test_packing_round_trip(make, prose, edge):
     docs = [*edge, *[(100 + k, prose(random.Random(k).randint(1, 900), k)) for k in range(60)]]
     pieces = packing.packed(make(docs)).collect()
