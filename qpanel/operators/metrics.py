@@ -86,9 +86,9 @@ def classification_pack(scores: DataFrame, by: Sequence[str], score: str = "scor
 
 
 def concentration_index(weights: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """A31. Herfindahl index of shares."""
-    w = Window.partitionBy(*by)
-    return weights.withColumn("_s", F.try_divide(F.abs(value), F.sum(F.abs(value)).over(w))).groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("hhi"))
+    """A31. Herfindahl index of shares, by plain sums: exact for whole numbers, in whatever order they are added."""
+    v = F.abs(value)
+    return weights.groupBy(*by).agg(F.try_divide(F.sum(v * v), F.sum(v) * F.sum(v)).alias("hhi"))
 
 
 def drift(df: DataFrame, feature: str, reference: Column, period: Column, bins: int = 10, floor: float = 1e-4) -> DataFrame:

@@ -91,9 +91,9 @@ def representative(scores: DataFrame, clusters: DataFrame) -> DataFrame:
     return clusters.join(scores, "feature").groupBy("cluster").agg(F.max_by("feature", F.struct(merit, "feature")).alias("representative"))
 
 
-def purged_splits(spark: SparkSession, n: int, k: int = 5, horizon: int = HORIZON, purge: int = HORIZON, embargo: int = HORIZON) -> DataFrame:
-    """V5. Bounds of k walk-forward splits of n bars: (split, role, first, last), 1-based; splits too small are left out."""
-    del horizon
+def purged_splits(spark: SparkSession, n: int, k: int = 5, horizon: int = HORIZON, purge: int | None = None, embargo: int | None = None) -> DataFrame:
+    """V5. Bounds of k walk-forward splits of n bars: (split, role, first, last), 1-based; splits too small are left out. Purge and embargo are the horizon unless given."""
+    purge, embargo = horizon if purge is None else purge, horizon if embargo is None else embargo
     size = n // (k + 1)
     if size < 5:
         raise ValueError(f"{n} bars are too few for {k} splits")
@@ -118,6 +118,15 @@ def verify_splits(splits: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return df.withColumn("overlaps", F.col("train_last") + horizon >= F.col("test_first")).withColumn("chronological", F.col("train_last") < F.col("test_first"))
 
 
+def multi_horizon_splits(spark: SparkSession, n: int, horizons: Sequence[int], k: int = 5) -> DataFrame:
+    """V6b. The splits of each horizon, verified: one row for each horizon and split."""
+    out = None
+    for h in horizons:
+        part = verify_splits(purged_splits(spark, n, k, h), h).withColumn("horizon", F.lit(h))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def lookahead_test(full: DataFrame, truncated: DataFrame, features: Sequence[str]) -> DataFrame:
     """V7. Features of the truncated history that differ from those of the whole: none may."""
     a = long_form(full, features, "feature", "full_value")
@@ -133,26 +142,54 @@ def draw(seed: str, *cols: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def shuffled_label_baseline(df: DataFrame, feature: str, label: str, perms: int = 20, seed: str = "null") -> DataFrame:
-    """V8. Correlations of ranks that are left when labels are dealt out anew within each symbol, per permutation and symbol."""
-    x = df.filter(F.col(feature).isNotNull() & F.col(label).isNotNull()).select("symbol", "date", F.col(feature).alias("x"), F.col(label).alias("y"))
-    by = Window.partitionBy("symbol")
-    x = x.withColumns({"rx": F.rank().over(by.orderBy("x")), "ry": F.rank().over(by.orderBy("y")), "place": F.row_number().over(by.orderBy("date"))})
-    many = x.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    dealt = many.withColumn("place", F.row_number().over(Window.partitionBy("symbol", "perm").orderBy(draw(seed, "perm", "symbol", "date"), "date"))).select("symbol", "perm", "place", F.col("ry").alias("ny"))
-    joined = many.select("symbol", "perm", "place", "rx").join(dealt, ["symbol", "perm", "place"])
-    return joined.groupBy("perm", "symbol").agg(F.corr("rx", "ny").alias("ic")).groupBy("perm").agg(F.avg(F.abs("ic")).alias("mean_abs_ic"))
-
-
-def random_pruning(pool: DataFrame, size: Column, perms: int = 250, seed: str = "prune", group: Sequence[str] = ("strategy",), value: str = "ret", key: Sequence[str] = ("symbol", "date")) -> DataFrame:
-    """V9. Means of random draws without replacement of a given size from a strategy's own pool, per permutation.
+def null_baselines(df: DataFrame, feature: str, labels: Sequence[str], perms: int = 20, seed: str = "null") -> DataFrame:
+    """V8. What rank correlations are left without any relation, for each label: with labels dealt out anew within each symbol, and with a random feature.
 
-    Every pool row meets every permutation (the draws are the result's definition); the
-    smallest hashes of a permutation are its draw.
+    Mean and deviation of their absolute values over permutations and symbols, and their 95th percentile.
     """
-    many = pool.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    w = Window.partitionBy(*group, "perm").orderBy(draw(seed, "perm", *key), *key)
-    return many.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= size).groupBy(*group, "perm").agg(F.avg(value).alias("draw_mean"), F.count(F.lit(1)).alias("n_drawn"))
+    x = df.select("symbol", "date", F.col(feature).alias("x"), F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("y")) for n in labels])).alias("l")).select("symbol", "date", "x", "l.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    by = Window.partitionBy("symbol", "label")
+    x = x.select("symbol", "date", "label", F.rank().over(by.orderBy("x")).alias("rx"), F.rank().over(by.orderBy("y")).alias("ry"), F.row_number().over(by.orderBy("date")).alias("place"))
+    many = x.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+    # a random order of a permutation deals out labels, and is itself a feature's ranks
+    many = many.withColumn("turn", F.row_number().over(Window.partitionBy("symbol", "label", "perm").orderBy(draw(seed, "perm", "symbol", "date"), "date")))
+    key = ["symbol", "label", "perm"]
+    dealt = many.select(*key, F.col("turn").alias("place"), F.col("ry").alias("ny"))
+    shuffled = many.select(*key, "place", "rx").join(dealt, [*key, "place"]).groupBy(*key).agg(F.corr("rx", "ny").alias("ic")).withColumn("baseline", F.lit("shuffled_label"))
+    random_ = many.groupBy(*key).agg(F.corr(F.col("turn").cast("double"), F.col("ry")).alias("ic")).withColumn("baseline", F.lit("random_feature"))
+    a = F.abs("ic")
+    return shuffled.unionByName(random_).groupBy("label", "baseline").agg(F.count("ic").alias("n"), F.avg(a).alias("mean_abs_ic"), F.stddev_pop(a).alias("std_abs_ic"), F.percentile(a, 0.95).alias("p95_abs_ic"))
+
+
+def random_pruning(pool: DataFrame, size: Column, perms: int = 250, seed: str = "prune", group: Sequence[str] = ("strategy",), value: str = "ret", key: Sequence[str] = ("symbol", "date"), first: int = 1, buckets: int = 256) -> DataFrame:
+    """V9. Means of random draws without replacement of a given size from a strategy's own pool, for permutations first to perms.
+
+    The smallest hashes of a permutation are its draw. Hashes fall into buckets, whose
+    counts and sums are combined within map tasks; only the bucket in which a draw ends
+    is sorted, a share of 1 / buckets of the rows.
+    """
+    many = pool.select(*group, *key, F.col(value).alias("_v"), size.alias("_k"), F.explode(F.sequence(F.lit(first), F.lit(perms))).alias("perm")).withColumn("_u", draw(seed, "perm", *key))
+    many = many.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+    by = [*group, "perm"]
+    sums = many.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"), F.max("_k").alias("_k"))
+    sums = sums.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")))
+    whole = sums.filter(F.col("_upto") <= F.col("_k")).select(*by, "_n", "_s")
+    last = sums.filter((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k"))).select(*by, "_b", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_need"))
+    # a row for each strategy and permutation
+    inside = many.join(F.broadcast(last), [*by, "_b"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_u", *key))).filter(F.col("_r") <= F.col("_need"))
+    found = whole.unionByName(inside.select(*by, F.lit(1).cast("long").alias("_n"), F.col("_v").alias("_s")))
+    return found.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("draw_mean"), F.sum("_n").alias("n_drawn"))
+
+
+def two_stage_pruning(pool: DataFrame, size: Column, actual: DataFrame, perms: tuple[int, int] = (250, 750), seed: str = "prune", group: Sequence[str] = ("strategy",)) -> DataFrame:
+    """V9. A verdict from the first permutations; strategies that don't fail there are judged by all of them."""
+    draws = random_pruning(pool, size, perms[0], seed, group)
+    stage = pruning_verdict(draws, actual, group)
+    on = list(group)
+    again = pool.join(F.broadcast(stage.filter("verdict <> 'FAILS'").select(*on)), on, "left_semi")
+    both = draws.unionByName(random_pruning(again, size, perms[1], seed, group, first=perms[0] + 1))
+    final = pruning_verdict(both, actual, group).join(both.groupBy(*on).agg(F.count(F.lit(1)).alias("perms")), on)
+    return final.join(stage.select(*on, F.col("verdict").alias("first_verdict")), on)
 
 
 def pruning_verdict(draws: DataFrame, actual: DataFrame, group: Sequence[str] = ("strategy",)) -> DataFrame:
@@ -180,8 +217,9 @@ def polarity(p: DataFrame, by: Sequence[str] = ("feature", "label")) -> DataFram
 
 
 def duplicate_results(results: DataFrame, metrics: Sequence[str], name: str = "strategy") -> DataFrame:
-    """V12. Names whose metrics are all the same."""
-    return results.groupBy(*metrics).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(name)), ",").alias("names")).filter("n > 1")
+    """V12. Names whose metrics are all the same as another's: a row for each, with the group's first name and size. No group is gathered."""
+    groups = results.groupBy(*metrics).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("same_as")).filter("n > 1")
+    return results.join(groups, list(metrics)).select(*metrics, name, "same_as", "n")
 
 
 def event_flags(panel: DataFrame) -> DataFrame:
@@ -239,9 +277,12 @@ def bootstrap_interval(df: DataFrame, value: str, order: Sequence[str], rounds:
     return means.groupBy(*group).agg(F.count("m").alias("rounds"), F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
 
 
-def walk_forward(spark: SparkSession, first: str, last: str, train: int = 24, validate: int = 6, test: int = 6) -> DataFrame:
-    """V23. Months of each epoch: training, validation and test spans that move on by the test span."""
-    bounds = spark.range(0, 1).select(F.to_date(F.lit(first)).alias("a"), F.to_date(F.lit(last)).alias("z"))
+def walk_forward(bounds: DataFrame, train: int = 24, validate: int = 6, test: int = 6) -> DataFrame:
+    """V23. Months of each epoch: training, validation and test spans that move on by the test span.
+
+    bounds: one row (first, last) of dates; spans run over whole months, and the last epoch is the last whole one.
+    """
+    bounds = bounds.select(F.trunc("first", "month").alias("a"), F.add_months(F.trunc("last", "month"), 1).alias("z"))
     steps = F.floor((F.months_between("z", "a") - train - validate) / test).cast("int")
     df = bounds.withColumn("_n", steps).filter("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     start = F.add_months("a", F.col("epoch") * test)
@@ -249,6 +290,14 @@ def walk_forward(spark: SparkSession, first: str, last: str, train: int = 24, va
     return df.select("epoch", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.add_months(start, b).alias("from_date"), F.add_months(start, e).alias("to_date")) for r, b, e in spans])).alias("s")).select("epoch", "s.*")
 
 
+def epoch_review(rows: DataFrame, ret: str = "returns") -> DataFrame:
+    """V23. Metrics of each epoch and role, and whether the epoch is promoted: a positive mean in validation and in test."""
+    x = F.col(ret)
+    df = rows.groupBy("epoch", "role").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_return"), F.stddev_pop(x).alias("std_return"), F.avg((x > 0).cast("double")).alias("hit_rate"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    good = F.when((F.col("role") != "train") & (F.col("mean_return") > 0), 1).otherwise(0)
+    return df.withColumn("promoted", F.sum(good).over(Window.partitionBy("epoch")) == 2)
+
+
 def in_epochs(df: DataFrame, epochs: DataFrame) -> DataFrame:
     """Rows with their epochs and roles; the epochs are few."""
     return df.join(F.broadcast(epochs), (F.col("date") >= F.col("from_date")) & (F.col("date") < F.col("to_date")))

@@ -208,6 +208,50 @@ SELECT p.symbol, p.date, {sql.fixed('e10')} AS ema_10, {sql.fixed('e20')} AS ema
 FROM panel p LEFT JOIN walk ON walk.symbol = p.symbol AND walk.i = p.i"""
 
 
+# Wilder's means and the second exponential mean, step by step as the kernels take them
+def wilder_seed(x: str, n: int) -> str:
+    return f"avg({x}) FILTER (i BETWEEN 2 AND {n + 1})"
+
+
+def wilder_step(state: str, x: str, n: int) -> str:
+    return f"CASE WHEN p.i = {n + 1} THEN s.{state} WHEN p.i > {n + 1} THEN walk.{state} + (p.{x} - walk.{state}) / {n} END"
+
+
+WILDER = {f"u{n}": ("up", n) for n in (2, 7, 14)} | {f"d{n}": ("down", n) for n in (2, 7, 14)} | {f"a{n}": ("tr", n) for n in (7, 14)}
+QUERIES["w9_w11_rsi_atr"] = family(["rsi_2", "rsi_7", "rsi_14", "atr_7", "atr_14", "atr_7_pct", "atr_14_pct"], 4)
+SQL["w9_w11_rsi_atr"] = f"""WITH RECURSIVE {BARS}, steps AS (
+  SELECT *, greatest(close - lag(close, 1, close) OVER w, 0) AS up, greatest(lag(close, 1, close) OVER w - close, 0) AS down,
+         CASE WHEN i = 1 THEN 0 ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM panel {sql.W}
+), seeds AS (SELECT symbol, {', '.join(f"{wilder_seed(x, n)} AS {k}" for k, (x, n) in WILDER.items())} FROM steps GROUP BY symbol
+), walk(symbol, i, {', '.join(WILDER)}) AS (
+  SELECT symbol, CAST(2 AS BIGINT), {', '.join('CAST(NULL AS DOUBLE)' for _ in WILDER)} FROM seeds
+  UNION ALL
+  SELECT p.symbol, p.i, {', '.join(wilder_step(k, x, n) for k, (x, n) in WILDER.items())}
+  FROM walk JOIN steps p ON p.symbol = walk.symbol AND p.i = walk.i + 1 JOIN seeds s ON s.symbol = p.symbol
+)
+SELECT p.symbol, p.date, {', '.join(f"{sql.fixed(f'CASE WHEN d{n} = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + u{n} / d{n}) END', 4)} AS rsi_{n}" for n in (2, 7, 14))},
+       {', '.join(f"{sql.fixed(f'a{n}', 4)} AS atr_{n}, {sql.fixed(f'CASE WHEN close > 0 THEN a{n} / close END', 4)} AS atr_{n}_pct" for n in (7, 14))}
+FROM panel p LEFT JOIN walk ON walk.symbol = p.symbol AND walk.i = p.i"""
+
+QUERIES["w13_macd"] = family(["macd", "macd_signal", "macd_histogram"], 4)
+SQL["w13_macd"] = f"""WITH RECURSIVE {BARS}, seeds AS (
+  SELECT symbol, avg(close) FILTER (i <= 12) AS e12, avg(close) FILTER (i <= 26) AS e26 FROM panel GROUP BY symbol
+), walk(symbol, i, e12, e26) AS (
+  SELECT symbol, CAST(12 AS BIGINT), e12, CAST(NULL AS DOUBLE) FROM seeds
+  UNION ALL
+  SELECT p.symbol, p.i, 2.0::DOUBLE / 13 * p.close + (1 - 2.0::DOUBLE / 13) * walk.e12,
+         CASE WHEN p.i = 26 THEN s.e26 WHEN p.i > 26 THEN 2.0::DOUBLE / 27 * p.close + (1 - 2.0::DOUBLE / 27) * walk.e26 END
+  FROM walk JOIN panel p ON p.symbol = walk.symbol AND p.i = walk.i + 1 JOIN seeds s ON s.symbol = p.symbol
+), lines AS (SELECT symbol, i, e12 - e26 AS m FROM walk WHERE e26 IS NOT NULL
+), signal(symbol, i, v) AS (
+  SELECT symbol, CAST(34 AS BIGINT), avg(m) FILTER (i <= 34) FROM lines GROUP BY symbol
+  UNION ALL
+  SELECT l.symbol, l.i, 2.0::DOUBLE / 10 * l.m + (1 - 2.0::DOUBLE / 10) * signal.v FROM signal JOIN lines l ON l.symbol = signal.symbol AND l.i = signal.i + 1
+)
+SELECT p.symbol, p.date, {sql.fixed('m', 4)} AS macd, {sql.fixed('v', 4)} AS macd_signal, {sql.fixed('m - v', 4)} AS macd_histogram
+FROM panel p LEFT JOIN lines ON lines.symbol = p.symbol AND lines.i = p.i LEFT JOIN signal ON signal.symbol = p.symbol AND signal.i = p.i"""
+
+
 def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 117 features of all bars."""
     names = feature_names()

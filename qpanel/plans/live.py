@@ -28,10 +28,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def played(spark, sf_dir, make, mode: str = "append"):
-    """The stream's rows: events in order of time form one batch, so that none is late."""
+def played(spark, sf_dir, make):
+    """The stream's rows as a table: events in order of time form one batch, so that none is late."""
     t = feeds.ticks(spark, f"{sf_dir}/events.parquet")
-    return feeds.run_available(make(t), f"live_{uuid.uuid4().hex}", f"{shared_root(spark)}-stream", mode)
+    folder = f"{shared_root(spark)}-stream-{uuid.uuid4().hex}"
+    return feeds.run_available(make(t), f"{folder}/rows", f"{folder}/state")
+
+
+@query("t2_late_events", f"WITH e AS (SELECT *, event_id % 10 = 0 AS behind FROM events), w AS (SELECT max(ts) FILTER (NOT behind) - INTERVAL 10 MINUTE AS passed FROM e), t AS (SELECT e.*, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM e, w WHERE NOT behind OR ts > passed) SELECT event_type AS symbol, s AS start, s + INTERVAL 1 HOUR AS \"end\", arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM t WHERE s + INTERVAL 1 HOUR <= {CLOSED} GROUP BY event_type, s")
+def late(spark, sf_dir):
+    """Events in two deliveries: nine tenths first, then the other tenth, which is late but for its end, with all of the first once more."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = f"{shared_root(spark)}-stream-{uuid.uuid4().hex}"
+    behind = F.col("event_id") % 10 == 0
+    for delivery in (events.filter(~behind), events):
+        delivery.write.mode("append").parquet(f"{folder}/events")
+        found = feeds.run_available(feeds.ohlcv(feeds.deduplicated(feeds.ticks(spark, f"{folder}/events", 1_000_000))), f"{folder}/rows", f"{folder}/state")
+    return found
 
 
 @query("t1_t3_live_bars", f"WITH t AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events) SELECT event_type AS symbol, s AS start, s + INTERVAL 1 HOUR AS \"end\", arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM t WHERE s + INTERVAL 1 HOUR <= {CLOSED} GROUP BY event_type, s")
@@ -39,9 +52,10 @@ def live_bars(spark, sf_dir):
     return played(spark, sf_dir, lambda t: feeds.ohlcv(feeds.deduplicated(t)))
 
 
-@query("t4_sliding_volume", f"WITH t AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(k AS INT)) AS s FROM events, range(24) q(k)) SELECT event_type AS symbol, s AS start, s + INTERVAL 24 HOUR AS \"end\", count(*) AS volume FROM t WHERE s + INTERVAL 24 HOUR <= {CLOSED} GROUP BY event_type, s")
+@query("t4_sliding_volume", f"WITH t AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(k AS INT)) AS s FROM events, range(24) q(k)) SELECT *, {fx('volume / avg(volume) OVER (PARTITION BY symbol ORDER BY start ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)')} AS relative_volume FROM (SELECT event_type AS symbol, s AS start, s + INTERVAL 24 HOUR AS \"end\", count(*) AS volume FROM t WHERE s + INTERVAL 24 HOUR <= {CLOSED} GROUP BY event_type, s)")
 def sliding(spark, sf_dir):
-    return played(spark, sf_dir, lambda t: feeds.sliding_volume(feeds.deduplicated(t)))
+    windows = played(spark, sf_dir, lambda t: feeds.sliding_volume(feeds.deduplicated(t)))
+    return feeds.relative_volume(windows).withColumn("relative_volume", fixed("relative_volume"))
 
 
 @query("t5_sessions", f"WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), g AS (SELECT *, sum(b) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS g FROM a) SELECT event_type AS symbol, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n, min(value) AS low, max(value) AS high FROM g GROUP BY event_type, g HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}")

@@ -104,7 +104,7 @@ def classes(spark, sf_dir):
     return df.select("symbol", *[fixed(c).alias(c) for c in ("brier", "precision", "recall", "auc", "f1")])
 
 
-@query("a31_concentration_index", f"WITH {BARS} SELECT date, {fx('sum(pow(v / t, 2))')} AS hhi FROM (SELECT date, volume AS v, sum(volume) OVER (PARTITION BY date) AS t FROM panel) GROUP BY date")
+@query("a31_concentration_index", f"WITH {BARS} SELECT date, {fx('sum(volume * volume) / (sum(volume) * sum(volume))')} AS hhi FROM panel GROUP BY date")
 def hhi(spark, sf_dir):
     return metrics.concentration_index(sample(spark, sf_dir), ["date"], "volume").withColumn("hhi", fixed("hhi"))
 
@@ -233,9 +233,9 @@ def momentum(spark, sf_dir):
     return df.withColumn("momentum_z", fixed("momentum_z"))
 
 
-@query("w71_breadth_lines", f"WITH {BARS}, d AS (SELECT date, count(*) FILTER (returns > 0) AS advances, count(*) FILTER (returns < 0) AS declines FROM panel WHERE i > 1 GROUP BY date) SELECT date, advances, declines, advances - declines AS net, CAST(sum(advances - declines) OVER (ORDER BY date) AS BIGINT) AS ad_line, {fx('advances / nullif(declines, 0)')} AS ad_ratio FROM d")
+@query("w71_breadth_lines", f"WITH RECURSIVE {BARS}, d AS (SELECT date, count(*) FILTER (returns > 0) AS advances, count(*) FILTER (returns < 0) AS declines, row_number() OVER (ORDER BY date) AS k FROM panel WHERE i > 1 GROUP BY date), seeds AS (SELECT avg(advances - declines) FILTER (k <= 19) AS s19, avg(advances - declines) FILTER (k <= 39) AS s39 FROM d), walk(k, e19, e39) AS (SELECT CAST(19 AS BIGINT), s19, CAST(NULL AS DOUBLE) FROM seeds UNION ALL SELECT d.k, 2.0::DOUBLE / 20 * (advances - declines) + (1 - 2.0::DOUBLE / 20) * walk.e19, CASE WHEN d.k = 39 THEN s39 WHEN d.k > 39 THEN 2.0::DOUBLE / 40 * (advances - declines) + (1 - 2.0::DOUBLE / 40) * walk.e39 END FROM walk JOIN d ON d.k = walk.k + 1, seeds) SELECT date, advances, declines, advances - declines AS net, CAST(sum(advances - declines) OVER (ORDER BY date) AS BIGINT) AS ad_line, {fx('advances / nullif(declines, 0)')} AS ad_ratio, {fx('e19 - e39', 4)} AS mcclellan FROM d LEFT JOIN walk USING (k)")
 def lines(spark, sf_dir):
-    return catalogue.breadth_lines(sample(spark, sf_dir)).drop("mcclellan").withColumn("ad_ratio", fixed("ad_ratio"))
+    return catalogue.breadth_lines(sample(spark, sf_dir)).withColumns({"ad_ratio": fixed("ad_ratio"), "mcclellan": fixed("mcclellan", 4)})
 
 
 # ledgers
@@ -332,11 +332,25 @@ def stored(spark, sf_dir):
     return s.catalog(version="v1").select("feature", "symbol", "n_values", "n_nan", fixed("mean").alias("mean")).join(asof, ["feature", "symbol"], "left")
 
 
-@query("s14_s15_feature_matrix", f"WITH {FEATS} SELECT symbol, date, mom_5d, rvol_20 FROM feats WHERE symbol IN ('Brand#11', 'Brand#12')")
+@query("s14_s15_feature_matrix", f"WITH {FEATS} SELECT symbol, date, mom_5d, rvol_20, forward_return_5d, forward_return_20d, 2 AS vector_size, mom_5d AS vector_first, rvol_20 AS vector_last FROM feats")
 def matrix(spark, sf_dir):
+    """Features of all symbols, also as one array, and their labels, each from the store."""
     s = store.FeatureStore(spark, shared_root(spark))
-    s.write(scored_input(spark, sf_dir, ["mom_5d", "rvol_20"]).select("symbol", "date", "mom_5d", "rvol_20"), {"mom_5d": "statistical", "rvol_20": "technical"}, "v1")
-    return s.matrix(["mom_5d", "rvol_20"], ["Brand#11", "Brand#12"]).drop("vector")
+    kinds = {"mom_5d": "statistical", "rvol_20": "technical", "forward_return_5d": "label", "forward_return_20d": "label"}
+    s.write(scored_input(spark, sf_dir, ["mom_5d", "rvol_20"]).select("symbol", "date", *kinds), kinds, "v1")
+    labels_ = s.matrix(["forward_return_5d", "forward_return_20d"]).drop("vector")
+    df = s.matrix(["mom_5d", "rvol_20"]).join(labels_, ["symbol", "date"])
+    return df.select("*", F.size("vector").alias("vector_size"), F.col("vector")[0].alias("vector_first"), F.col("vector")[1].alias("vector_last")).drop("vector")
+
+
+@query("s13_point_in_time", f"WITH {FEATS}, u AS (SELECT f.feature, date, f.v FROM feats, LATERAL (VALUES ('mom_5d', mom_5d), ('rvol_20', rvol_20)) f(feature, v) WHERE symbol = (SELECT min(symbol) FROM feats) AND f.v IS NOT NULL AND date <= DATE '1997-06-30') SELECT feature, arg_max(v, date) AS value, max(date) AS date FROM u GROUP BY feature")
+def point_in_time(spark, sf_dir):
+    """One symbol's features as they were known at a date: the lookup is the feature."""
+    s = store.FeatureStore(spark, shared_root(spark))
+    df = scored_input(spark, sf_dir, ["mom_5d", "rvol_20"]).select("symbol", "date", "mom_5d", "rvol_20")
+    s.write(df, {"mom_5d": "statistical", "rvol_20": "technical"}, "v1")
+    symbol = s.read().agg(F.min("symbol")).first()[0]
+    return s.at(symbol, "1997-06-30")
 
 
 # scalars and sets

@@ -277,17 +277,43 @@ def lookahead(spark, sf_dir):
 DRAW = lambda seed, *cols: f"CAST('0x' || substr(md5('{seed}' || {' || '.join(chr(39) + ':' + chr(39) + ' || CAST(' + c + ' AS VARCHAR)' for c in cols)}), 1, 13) AS BIGINT)"
 
 
-@query("v8_null_baseline", f"WITH {FEATS}, x AS (SELECT symbol, date, rank() OVER (PARTITION BY symbol ORDER BY mom_5d) AS rx, rank() OVER (PARTITION BY symbol ORDER BY forward_return_5d) AS ry, row_number() OVER (PARTITION BY symbol ORDER BY date) AS place FROM feats WHERE mom_5d IS NOT NULL AND forward_return_5d IS NOT NULL), m AS (SELECT x.*, p.perm FROM x, range(1, 6) p(perm)), d AS (SELECT symbol, perm, ry AS ny, row_number() OVER (PARTITION BY symbol, perm ORDER BY {DRAW('null', 'perm', 'symbol', 'date')}, date) AS place FROM m), c AS (SELECT perm, symbol, corr(rx, ny) AS ic FROM m JOIN d USING (symbol, perm, place) GROUP BY perm, symbol) SELECT CAST(perm AS INT) AS perm, {fx('avg(abs(ic))')} AS mean_abs_ic FROM c GROUP BY perm")
+ALL_FORWARD = [f"forward_return_{k}d" for k in (1, 3, 5, 10, 20)]
+
+
+@query("v8_null_baseline", f"WITH {FEATS}, l AS (SELECT symbol, date, mom_5d AS x, l.label, l.y FROM feats, LATERAL (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {n})' for n in ALL_FORWARD)}) l(label, y) WHERE mom_5d IS NOT NULL AND l.y IS NOT NULL), x AS (SELECT symbol, date, label, rank() OVER (PARTITION BY symbol, label ORDER BY x) AS rx, rank() OVER (PARTITION BY symbol, label ORDER BY y) AS ry, row_number() OVER (PARTITION BY symbol, label ORDER BY date) AS place FROM l), m AS (SELECT x.*, p.perm FROM x, range(1, 21) p(perm)), t AS (SELECT *, row_number() OVER (PARTITION BY symbol, label, perm ORDER BY {DRAW('null', 'perm', 'symbol', 'date')}, date) AS turn FROM m), c AS (SELECT a.label, 'shuffled_label' AS baseline, abs(corr(a.rx, b.ry)) AS ic FROM t a JOIN t b ON a.symbol = b.symbol AND a.label = b.label AND a.perm = b.perm AND a.place = b.turn GROUP BY a.symbol, a.label, a.perm UNION ALL SELECT label, 'random_feature', abs(corr(turn, ry)) FROM t GROUP BY symbol, label, perm) SELECT label, baseline, count(ic) AS n, {fx('avg(ic)')} AS mean_abs_ic, {fx('stddev_pop(ic)')} AS std_abs_ic, {fx('quantile_cont(ic, 0.95)')} AS p95_abs_ic FROM c GROUP BY label, baseline")
 def null_baseline(spark, sf_dir):
-    return validation.shuffled_label_baseline(scored_input(spark, sf_dir), "mom_5d", "forward_return_5d", perms=5).withColumn("mean_abs_ic", fixed("mean_abs_ic"))
+    df = validation.null_baselines(scored_input(spark, sf_dir), "mom_5d", ALL_FORWARD)
+    return df.withColumns({c: fixed(c) for c in ("mean_abs_ic", "std_abs_ic", "p95_abs_ic")})
 
 
-@query("v9_random_pruning", f"WITH {SIG}, pool AS (SELECT variant AS strategy, symbol, date, forward_return_5d AS ret, rvol_20 > 1.5 AS keep FROM variants WHERE forward_return_5d IS NOT NULL), a AS (SELECT strategy, count(*) FILTER (keep) AS k, avg(ret) FILTER (keep) AS filtered_mean FROM pool GROUP BY strategy), d AS (SELECT pool.*, perm, row_number() OVER (PARTITION BY strategy, perm ORDER BY {DRAW('prune', 'perm', 'symbol', 'date')}, symbol, date) AS n FROM pool, range(1, 21) p(perm)), m AS (SELECT strategy, perm, avg(ret) AS v FROM d JOIN a USING (strategy) WHERE n <= k GROUP BY strategy, perm), q AS (SELECT strategy, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99 FROM m GROUP BY strategy) SELECT strategy, {fx('filtered_mean')} AS filtered_mean, {fx('p50')} AS p50, {fx('p95')} AS p95, {fx('p99')} AS p99, CASE WHEN filtered_mean > p95 THEN 'BEATS' WHEN filtered_mean > p50 THEN 'BORDERLINE' ELSE 'FAILS' END AS verdict FROM a JOIN q USING (strategy)")
-def pruning(spark, sf_dir):
+PRUNED = f"{SIG}, pool AS (SELECT variant AS strategy, symbol, date, forward_return_5d AS ret, rvol_20 > 1.5 AS keep FROM variants WHERE forward_return_5d IS NOT NULL), a AS (SELECT strategy, count(*) FILTER (keep) AS k, avg(ret) FILTER (keep) AS filtered_mean FROM pool GROUP BY strategy)"
+
+
+def drawn(perms):
+    return f"{PRUNED}, d AS (SELECT pool.*, perm, row_number() OVER (PARTITION BY strategy, perm ORDER BY {DRAW('prune', 'perm', 'symbol', 'date')}, symbol, date) AS n FROM pool, range(1, {perms + 1}) p(perm)), m AS (SELECT strategy, perm, avg(ret) AS v FROM d JOIN a USING (strategy) WHERE n <= k GROUP BY strategy, perm)"
+
+
+VERDICT = "CASE WHEN filtered_mean > p95 THEN 'BEATS' WHEN filtered_mean > p50 THEN 'BORDERLINE' ELSE 'FAILS' END"
+QUANTILES = "quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99"
+
+
+def pruned(spark, sf_dir):
+    """The pool of each strategy, with the size of what its filter keeps, and the mean of that."""
     pool = variant_signals(spark, sf_dir).select(F.col("variant").alias("strategy"), "symbol", "date", F.col("forward_return_5d").alias("ret"), (F.col("rvol_20") > 1.5).alias("keep")).filter("ret IS NOT NULL")
     actual = pool.groupBy("strategy").agg(F.count_if("keep").alias("_k"), F.avg(F.when(F.col("keep"), F.col("ret"))).alias("filtered_mean"))
-    draws = validation.random_pruning(pool.join(F.broadcast(actual.select("strategy", "_k")), "strategy"), F.col("_k"), perms=20)
-    return validation.pruning_verdict(draws, actual.drop("_k")).withColumns({c: fixed(c) for c in ("filtered_mean", "p50", "p95", "p99")})
+    return pool.join(F.broadcast(actual.select("strategy", "_k")), "strategy"), actual.drop("_k")
+
+
+@query("v9_random_pruning", f"WITH {drawn(250)}, q AS (SELECT strategy, {QUANTILES} FROM m GROUP BY strategy) SELECT strategy, {fx('filtered_mean')} AS filtered_mean, {fx('p50')} AS p50, {fx('p95')} AS p95, {fx('p99')} AS p99, {VERDICT} AS verdict FROM a JOIN q USING (strategy)")
+def pruning(spark, sf_dir):
+    pool, actual = pruned(spark, sf_dir)
+    return validation.pruning_verdict(validation.random_pruning(pool, F.col("_k")), actual).withColumns({c: fixed(c) for c in ("filtered_mean", "p50", "p95", "p99")})
+
+
+@query("v9_two_stage_pruning", f"WITH {drawn(750)}, q1 AS (SELECT strategy, {QUANTILES} FROM m WHERE perm <= 250 GROUP BY strategy), s1 AS (SELECT strategy, {VERDICT} AS first_verdict FROM a JOIN q1 USING (strategy)), q AS (SELECT strategy, first_verdict, {QUANTILES}, count(*) AS perms FROM m JOIN s1 USING (strategy) WHERE perm <= 250 OR first_verdict <> 'FAILS' GROUP BY strategy, first_verdict) SELECT strategy, first_verdict, perms, {fx('filtered_mean')} AS filtered_mean, {fx('p50')} AS p50, {fx('p95')} AS p95, {fx('p99')} AS p99, {VERDICT} AS verdict FROM a JOIN q USING (strategy)")
+def pruning_in_two_stages(spark, sf_dir):
+    pool, actual = pruned(spark, sf_dir)
+    return validation.two_stage_pruning(pool, F.col("_k"), actual).withColumns({c: fixed(c) for c in ("filtered_mean", "p50", "p95", "p99")})
 
 
 @query("v10_v13_subset_audit", f"WITH {SIG}, b AS (SELECT symbol, date FROM sig WHERE v2 IS NOT NULL), f AS (SELECT symbol, date FROM sig WHERE v1 IS NOT NULL) SELECT (SELECT count(*) FROM b) AS n_base, (SELECT count(*) FROM f) AS n_filtered, (SELECT count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM b)) AS n_new, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM f)) AS n_removed, 0::BIGINT AS n_repeated, 'PURE_FILTER' AS verdict")
@@ -296,7 +322,7 @@ def subsets(spark, sf_dir):
     return validation.subset_audit(df.filter("mom_5d < 0"), df.filter("mom_5d < -0.2"))
 
 
-@query("v12_duplicate_results", f"WITH {OBSERVED} SELECT n_obs, n_done, count(*) AS n, array_to_string(list_sort(list(CAST(o_custkey AS VARCHAR))), ',') AS names FROM (SELECT o_custkey, count(*) AS n_obs, count(*) FILTER (o_orderstatus = 'F') AS n_done FROM orders GROUP BY o_custkey) GROUP BY n_obs, n_done HAVING count(*) > 1")
+@query("v12_duplicate_results", "WITH g AS (SELECT CAST(o_custkey AS VARCHAR) AS strategy, count(*) AS n_obs, count(*) FILTER (o_orderstatus = 'F') AS n_done FROM orders GROUP BY o_custkey), k AS (SELECT *, count(*) OVER p AS n, min(strategy) OVER p AS same_as FROM g WINDOW p AS (PARTITION BY n_obs, n_done)) SELECT n_obs, n_done, strategy, same_as, n FROM k WHERE n > 1")
 def duplicates(spark, sf_dir):
     g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("strategy")).agg(F.count(F.lit(1)).alias("n_obs"), F.count_if(F.col("o_orderstatus") == "F").alias("n_done"))
     return validation.duplicate_results(g, ["n_obs", "n_done"])
@@ -332,11 +358,13 @@ def testing(spark, sf_dir):
     return validation.multiple_testing(t).withColumn("p_value", fixed("p_value"))
 
 
-@query("v21_rejected_log", f"WITH {IC}, s AS (SELECT feature, label, avg(rank_ic) AS v, count(*) AS n FROM ic GROUP BY feature, label) SELECT feature AS pattern, label, n AS universe, {fx('v')} AS result, 'mean IC below 0.2' AS reason FROM s WHERE abs(v) < 0.2")
+@query("v21_rejected_log", f"WITH {IC}, s AS (SELECT feature, label, avg(rank_ic) AS v, count(*) AS n FROM ic GROUP BY feature, label), d AS (SELECT feature, label, min(date) AS first_date, max(date) AS last_date FROM pairs GROUP BY feature, label) SELECT feature AS pattern, label, first_date, last_date, n AS universe, {fx('v')} AS result, CASE WHEN v <= 0 THEN 'wrong sign' ELSE 'mean IC below 0.02' END AS reason FROM s JOIN d USING (feature, label) WHERE v < 0.02")
 def rejected(spark, sf_dir):
-    ic = scoring.rank_ic(scoring.pairs(scored_input(spark, sf_dir), FEATURES, LABELS))
-    g = ic.groupBy("feature", "label").agg(F.avg("rank_ic").alias("v"), F.count(F.lit(1)).alias("universe")).filter("abs(v) < 0.2")
-    return g.select(F.col("feature").alias("pattern"), "label", "universe", fixed("v").alias("result"), F.lit("mean IC below 0.2").alias("reason"))
+    """Patterns that were to go up with the label and don't."""
+    p = scoring.pairs(scored_input(spark, sf_dir), FEATURES, LABELS)
+    dates = p.groupBy("feature", "label").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    g = scoring.rank_ic(p).groupBy("feature", "label").agg(F.avg("rank_ic").alias("v"), F.count(F.lit(1)).alias("universe")).filter("v < 0.02").join(dates, ["feature", "label"])
+    return g.select(F.col("feature").alias("pattern"), "label", "first_date", "last_date", "universe", fixed("v").alias("result"), F.when(F.col("v") <= 0, "wrong sign").otherwise("mean IC below 0.02").alias("reason"))
 
 
 CUM = []
@@ -347,15 +375,26 @@ for _k in range(8):
     _t /= _k + 1
 
 
-@query("v22_bootstrap_interval", f"WITH {BARS}, d AS (SELECT symbol, perm, returns, {DRAW('boot', 'perm', 'symbol', 'date')} / {float(16**13)!r}::DOUBLE AS u FROM panel, range(1, 21) p(perm)), w AS (SELECT *, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in CUM)} AS w FROM d), m AS (SELECT symbol, perm, sum(w * returns) / sum(w) AS m FROM w GROUP BY symbol, perm) SELECT symbol, count(m) AS rounds, {fx('quantile_cont(m, 0.025)')} AS low, {fx('quantile_cont(m, 0.975)')} AS high FROM m GROUP BY symbol")
+@query("v22_bootstrap_interval", f"WITH {BARS}, d AS (SELECT symbol, perm, returns, {DRAW('boot', 'perm', 'symbol', 'date')} / {float(16**13)!r}::DOUBLE AS u FROM panel, range(1, 201) p(perm)), w AS (SELECT *, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in CUM)} AS w FROM d), m AS (SELECT symbol, perm, sum(w * returns) / sum(w) AS m FROM w GROUP BY symbol, perm) SELECT symbol, count(m) AS rounds, {fx('quantile_cont(m, 0.025)')} AS low, {fx('quantile_cont(m, 0.975)')} AS high FROM m GROUP BY symbol")
 def bootstrap(spark, sf_dir):
-    df = validation.bootstrap_interval(sample(spark, sf_dir), "returns", ["symbol", "date"], rounds=20)
+    df = validation.bootstrap_interval(sample(spark, sf_dir), "returns", ["symbol", "date"])
     return df.withColumns({"low": fixed("low"), "high": fixed("high")})
 
 
-@query("v23_walk_forward", f"WITH {BARS}, e AS (SELECT CAST(e AS INT) AS epoch, DATE '1995-01-01' + to_months(CAST(6 * e AS INT)) AS a FROM range(6) t(e)), s AS (SELECT epoch, 'train' AS role, a AS f, a + INTERVAL 24 MONTH AS z FROM e UNION ALL SELECT epoch, 'validation', a + INTERVAL 24 MONTH, a + INTERVAL 30 MONTH FROM e UNION ALL SELECT epoch, 'test', a + INTERVAL 30 MONTH, a + INTERVAL 36 MONTH FROM e) SELECT epoch, role, count(*) AS n, {fx('avg(returns)')} AS mean_return, min(date) AS first_date, max(date) AS last_date FROM panel JOIN s ON date >= f AND date < z GROUP BY epoch, role")
+@query("v23_walk_forward", f"WITH {BARS}, z AS (SELECT CAST(date_trunc('month', min(date)) AS DATE) AS a, CAST(date_trunc('month', max(date)) + INTERVAL 1 MONTH AS DATE) AS z FROM panel), e AS (SELECT CAST(e AS INT) AS epoch, a + to_months(CAST(6 * e AS INT)) AS a FROM z, range(1000) t(e) WHERE e < (datediff('month', a, z) - 30) // 6), s AS (SELECT epoch, 'train' AS role, a AS f, a + INTERVAL 24 MONTH AS z FROM e UNION ALL SELECT epoch, 'validation', a + INTERVAL 24 MONTH, a + INTERVAL 30 MONTH FROM e UNION ALL SELECT epoch, 'test', a + INTERVAL 30 MONTH, a + INTERVAL 36 MONTH FROM e), g AS (SELECT epoch, role, count(*) AS n, avg(returns) AS m, stddev_pop(returns) AS d, avg((returns > 0)::INT) AS h, min(date) AS first_date, max(date) AS last_date FROM panel JOIN s ON date >= f AND date < z GROUP BY epoch, role) SELECT epoch, role, n, {fx('m')} AS mean_return, {fx('d')} AS std_return, {fx('h')} AS hit_rate, first_date, last_date, count(*) FILTER (role <> 'train' AND m > 0) OVER (PARTITION BY epoch) = 2 AS promoted FROM g")
 def walk(spark, sf_dir):
-    epochs = validation.walk_forward(spark, "1995-01-01", "2001-01-01").filter("epoch < 6")
-    return validation.in_epochs(sample(spark, sf_dir), epochs).groupBy("epoch", "role").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("returns")).alias("mean_return"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    p = sample(spark, sf_dir)
+    epochs = validation.walk_forward(p.agg(F.min("date").alias("first"), F.max("date").alias("last")))
+    return validation.epoch_review(validation.in_epochs(p, epochs)).withColumns({c: fixed(c) for c in ("mean_return", "std_return", "hit_rate")})
+
+
+@query("v6_multi_horizon_cv", f"WITH {BARS}, n AS (SELECT min(k) AS n FROM (SELECT count(*) AS k FROM panel GROUP BY symbol)), s AS (SELECT h.h AS horizon, CAST(s AS INT) AS split, n - (5 - s) * (n // 6) AS test, n // 6 AS size FROM n, range(5) t(s), (VALUES (1), (3), (5), (10), (20)) h(h)) SELECT split, CAST(test - 2 * horizon AS INT) AS train_last, CAST(test + 1 AS INT) AS test_first, test - 2 * horizon AS n_train, size AS n_test, test - 2 * horizon + horizon >= test + 1 AS overlaps, test - 2 * horizon < test + 1 AS chronological, horizon FROM s WHERE test - 2 * horizon >= 20")
+def multi_horizon(spark, sf_dir):
+    n = sample(spark, sf_dir).groupBy("symbol").count().agg(F.min("count")).first()[0] or 0
+    return validation.multi_horizon_splits(spark, n, (1, 3, 5, 10, 20))
 
 
+@query("v11_decile_polarity", f"WITH {LONG}, d AS (SELECT *, ntile(10) OVER (PARTITION BY feature, label ORDER BY x, symbol, date) AS decile FROM pairs), g AS (SELECT feature, label, avg(x) FILTER (decile = 1) AS a, avg(x) FILTER (decile = 10) AS b, avg(y) FILTER (decile = 1) AS c, avg(y) FILTER (decile = 10) AS d FROM d GROUP BY feature, label) SELECT feature, label, {fx('a')} AS d1_score, {fx('b')} AS d10_score, {fx('c')} AS d1_label, {fx('d')} AS d10_label, sign(d - c)::DOUBLE AS polarity FROM g")
+def polarities(spark, sf_dir):
+    df = validation.polarity(scoring.pairs(scored_input(spark, sf_dir), FEATURES, LABELS))
+    return df.withColumns({c: fixed(c) for c in ("d1_score", "d10_score", "d1_label", "d10_label")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -40,11 +40,17 @@ def ohlcv(t: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def sliding_volume(t: DataFrame, width: str = "1 day", step: str = "1 hour") -> DataFrame:
-    """T-4. Ticks of sliding windows; relative volume is a window's count over the mean of its width."""
+    """T-4. Ticks of sliding windows, the stream's part of relative_volume()."""
     b = t.groupBy("symbol", F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("volume"))
     return b.select("symbol", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "volume")
 
 
+def relative_volume(windows: DataFrame, n: int = 20) -> DataFrame:
+    """T-4. Closed windows with their volume over the mean of the n windows of the symbol before them."""
+    before = Window.partitionBy("symbol").orderBy("start").rowsBetween(-n, -1)
+    return windows.withColumn("relative_volume", F.try_divide(F.col("volume"), F.avg("volume").over(before)))
+
+
 def sessions(t: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """T-5. Spells of activity that end with a gap."""
     b = t.groupBy("symbol", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
@@ -155,14 +161,22 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into a table in memory, and returns that."""
-    conf = df.sparkSession.conf
-    before = conf.get(PROVIDER, None)
-    conf.set(PROVIDER, ROCKSDB)
+def run_available(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there now, into Parquet files in a shared folder, and returns that table.
+
+    Run again with the same folders after more files have come, it goes on where it was.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = df.sparkSession
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
-    return df.sparkSession.table(name)
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    try:
+        return spark.read.schema(df.schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], df.schema)
