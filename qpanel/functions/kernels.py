@@ -64,13 +64,15 @@ def atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int) -> np
 def hurst(close: np.ndarray, lookback: int = 100, sizes: tuple[int, ...] = (10, 20, 40, 60)) -> np.ndarray:
     """Slope of the log rescaled range on the log chunk length, between 0 and 1.
 
-    All windows of a symbol at once: rows of a strided view of the log returns.
+    All windows of a symbol at once: rows of a strided view of the log returns. A window
+    with a close of 0 or less has no value; the others are not touched by it.
     """
     n = len(close)
     out = np.full(n, np.nan)
-    if n <= lookback or (close <= 0).any():
+    if n <= lookback:
         return out
-    r = np.lib.stride_tricks.sliding_window_view(np.diff(np.log(close)), lookback)
+    step = np.diff(np.log(np.where(close > 0, close, np.nan)))
+    r = np.lib.stride_tricks.sliding_window_view(step, lookback)
     y = []
     for size in sizes:
         chunks = r[:, : lookback // size * size].reshape(len(r), -1, size)

@@ -148,6 +148,61 @@ def score(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> Data
     return out.withColumn("status", status(F.col("missing_rate"), F.col("rank_ic"), F.col("mutual_information"), F.col("decile_spread")))
 
 
+SCORES = "symbol string, feature string, label string, n_obs long, n_total long, missing_rate double, inf_rate double, rank_ic double, ic_t_stat double, mutual_information double, top_decile_return double, bottom_decile_return double, decile_spread double, n_segments long, ic_std double, ic_min double, ic_max double, unstable boolean"
+
+
+def all_scores(df: DataFrame, features: Sequence[str], labels: Sequence[str], cost: float = 0.001, role: str = "alpha") -> DataFrame:
+    """The score row of each (symbol, feature, label), as score() states it, for all features and labels at once.
+
+    A symbol's bars come to one task as one table, in which columns are ranked and binned
+    once for all pairs that share their rows; exploding pairs would multiply every bar by
+    features x labels. A symbol has one bar a date, so no group grows with the symbols.
+    Infinite values are missing to the scores and counted in inf_rate.
+    """
+    features, labels = list(features), list(labels)
+
+    def scored(frame):
+        import numpy as np
+        import pandas as pd
+
+        from qpanel.functions.pairs import symbol_scores
+
+        frame = frame.sort_values("date")
+        x, y = frame[features].to_numpy(dtype=float), frame[labels].to_numpy(dtype=float)
+        missing, infinite = np.isnan(x).mean(axis=0), np.isinf(x).mean(axis=0)
+        rows = []
+        for f, label, n, ic, mi, top, bottom, spread, k, std, low, high in symbol_scores(x, y):
+            t = 0.0 if abs(ic) >= 1 else ic * np.sqrt((n - 2) / (1 - ic * ic))
+            rows.append((frame["symbol"].iloc[0], features[f], labels[label], n, len(frame), missing[f], infinite[f], ic, t, mi, top, bottom, spread, k, std, low, high, bool(k >= 2 and std > 0.05)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORES.split(", ")])
+
+    cols = [F.col(c).cast("double").alias(c) for c in (*features, *labels)]
+    out = df.select("symbol", "date", *cols).groupBy("symbol").applyInPandas(scored, SCORES)
+    out = out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("rank_ic", "ic_t_stat", "top_decile_return", "bottom_decile_return", "ic_std", "ic_min", "ic_max")})
+    out = out.withColumn("status", status(F.col("missing_rate"), F.col("rank_ic"), F.col("mutual_information"), F.col("decile_spread")))
+    return out.withColumn("extended_status", extended_status(F.col("rank_ic"), F.col("unstable"), F.col("decile_spread"), F.lit(cost), F.lit(role)))
+
+
+def feature_merits(scores: DataFrame) -> DataFrame:
+    """A14, V4. Each feature over its symbols and labels: mean absolute IC, mutual information, missing rate, shares of dead and of unstable pairs."""
+    return scores.groupBy("feature").agg(
+        F.avg(F.abs("rank_ic")).alias("ic"), F.avg("mutual_information").alias("mi"), F.avg("missing_rate").alias("missing_rate"), F.avg((F.col("status") == "DEAD").cast("double")).alias("dead_share"), F.avg(F.col("unstable").cast("double")).alias("unstable_share"), F.count(F.lit(1)).alias("n_pairs")
+    )
+
+
+def validation_report(scores: DataFrame, clusters: DataFrame, lookahead_differ: int, k: int = 20) -> DataFrame:
+    """A17. One row: counts, the k best features, dead and unstable ones, clusters, the look-ahead status and an overall one. Lists hold names of features only."""
+    m = feature_merits(scores)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("ic"), "feature"))
+    named = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("feature"))))
+    lists = m.withColumn("_k", rank).agg(named(F.col("_k") <= k).alias("top"), named(F.col("dead_share") == 1).alias("dead"), named(F.col("unstable_share") > 0.5).alias("unstable"), F.count(F.lit(1)).alias("n_features"))
+    counts = scores.agg(F.count(F.lit(1)).alias("n_pairs"), *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("BLOCKED", "DEAD", "WEAK", "CANDIDATE")])
+    groups = clusters.agg(F.countDistinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_redundant"))
+    row = counts.join(F.broadcast(lists)).join(F.broadcast(groups))
+    row = row.withColumn("lookahead_status", F.lit("PASS" if lookahead_differ == 0 else "FAIL"))
+    return row.withColumn("overall", F.when(F.col("lookahead_status") == "FAIL", "BLOCKED").when(F.col("n_candidate") == 0, "NO_CANDIDATES").otherwise("OK"))
+
+
 def composite_rank(mi: DataFrame, stability: DataFrame, k: int = 20) -> DataFrame:
     """A14. The k features with the largest 0.7 MI + 0.3 stability, averaged over symbols."""
     df = mi.join(stability.select("symbol", "feature", "stability"), ["symbol", "feature"])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from qpanel.sources.tables import settled
+
 from .labels import long_form
 
 #: Names that speak of the future. Fixed values.
@@ -57,6 +59,52 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], least: int = 20) -
     return out.withColumn("r", F.when(F.col("n") >= least, F.coalesce("r", F.lit(0.0))).otherwise(0.0))
 
 
+def wide_correlations(df: DataFrame, features: Sequence[str], least: int = 20) -> DataFrame:
+    """V3, J10. correlation_pairs() of very many features: (a, b, n, r), and each feature with itself, whose variance is in var.
+
+    Tasks make products of their rows' matrices, batch by batch; what is shuffled and
+    added up has features x features rows from each task. Values are taken from the
+    features' means first, so that large ones keep their digits.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = list(features)
+    values = [F.when(F.abs(F.col(n).cast("double")) < float("inf"), F.col(n).cast("double")) for n in names]
+    means = df.select(*[F.avg(v).alias(n) for v, n in zip(values, names)]).first()
+    shift = np.array([means[n] or 0.0 for n in names])
+    schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), *[(c, pa.float64()) for c in ("n", "x", "y", "xx", "yy", "xy")]])
+
+    def products(batches):
+        total = None
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - shift
+            ok = np.isfinite(x)
+            x, m = np.where(ok, x, 0.0), ok.astype(float)
+            part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]], schema=schema)
+
+    sums = df.select(*[v.alias(n) for v, n in zip(values, names)]).mapInArrow(products, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    vx, vy = F.col("xx") / n - x * x / (n * n), F.col("yy") / n - y * y / (n * n)
+    r = F.try_divide(F.col("xy") / n - x * y / (n * n), F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))))
+    named = F.array(*map(F.lit, names))
+    return sums.filter("n > 0").select(F.get(named, F.col("i")).alias("a"), F.get(named, F.col("j")).alias("b"), n.cast("long").alias("n"), F.when(n >= least, F.coalesce(r, F.lit(0.0))).otherwise(0.0).alias("r"), F.when(F.col("i") == F.col("j"), vx).alias("var"))
+
+
+def cluster_rows(correlations: DataFrame, order: Sequence[str], threshold: float = 0.90) -> DataFrame:
+    """V3. The clusters of redundancy_clusters() as rows (cluster, feature, theme, by_variance), from the result of wide_correlations()."""
+    spark = correlations.sparkSession
+    variances = {r["a"]: r["var"] for r in correlations.filter("a = b").select("a", "var").collect()}
+    found = redundancy_clusters(correlations.filter("a <> b"), variances, order, threshold)
+    rows = [(c["seed"], f, c["theme"], c["representative"]) for c in found for f in c["members"]]
+    return spark.createDataFrame(rows, "cluster string, feature string, theme string, by_variance string")
+
+
 def redundancy_clusters(correlations: DataFrame, variances: dict[str, float], order: Sequence[str], threshold: float = 0.90) -> list[dict]:
     """V3, T22. Greedy clusters in a fixed order; members compare with the seed only.
 
@@ -142,6 +190,11 @@ def draw(seed: str, *cols: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+def dealt_out(df: DataFrame, *key: str) -> DataFrame:
+    """df on as many tasks as the session's shuffles have, before each row is multiplied: small tables are otherwise merged into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def null_baselines(df: DataFrame, feature: str, labels: Sequence[str], perms: int = 20, seed: str = "null") -> DataFrame:
     """V8. What rank correlations are left without any relation, for each label: with labels dealt out anew within each symbol, and with a random feature.
 
@@ -150,7 +203,7 @@ def null_baselines(df: DataFrame, feature: str, labels: Sequence[str], perms: in
     x = df.select("symbol", "date", F.col(feature).alias("x"), F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("y")) for n in labels])).alias("l")).select("symbol", "date", "x", "l.*").filter("x IS NOT NULL AND y IS NOT NULL")
     by = Window.partitionBy("symbol", "label")
     x = x.select("symbol", "date", "label", F.rank().over(by.orderBy("x")).alias("rx"), F.rank().over(by.orderBy("y")).alias("ry"), F.row_number().over(by.orderBy("date")).alias("place"))
-    many = x.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+    many = dealt_out(x, "symbol", "label", "date").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
     # a random order of a permutation deals out labels, and is itself a feature's ranks
     many = many.withColumn("turn", F.row_number().over(Window.partitionBy("symbol", "label", "perm").orderBy(draw(seed, "perm", "symbol", "date"), "date")))
     key = ["symbol", "label", "perm"]
@@ -168,7 +221,8 @@ def random_pruning(pool: DataFrame, size: Column, perms: int = 250, seed: str =
     counts and sums are combined within map tasks; only the bucket in which a draw ends
     is sorted, a share of 1 / buckets of the rows.
     """
-    many = pool.select(*group, *key, F.col(value).alias("_v"), size.alias("_k"), F.explode(F.sequence(F.lit(first), F.lit(perms))).alias("perm")).withColumn("_u", draw(seed, "perm", *key))
+    rows = dealt_out(pool.select(*group, *key, F.col(value).alias("_v"), size.alias("_k")), *key)
+    many = rows.select("*", F.explode(F.sequence(F.lit(first), F.lit(perms))).alias("perm")).withColumn("_u", draw(seed, "perm", *key))
     many = many.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
     by = [*group, "perm"]
     sums = many.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"), F.max("_k").alias("_k"))
@@ -183,11 +237,11 @@ def random_pruning(pool: DataFrame, size: Column, perms: int = 250, seed: str =
 
 def two_stage_pruning(pool: DataFrame, size: Column, actual: DataFrame, perms: tuple[int, int] = (250, 750), seed: str = "prune", group: Sequence[str] = ("strategy",)) -> DataFrame:
     """V9. A verdict from the first permutations; strategies that don't fail there are judged by all of them."""
-    draws = random_pruning(pool, size, perms[0], seed, group)
+    draws = settled(random_pruning(pool, size, perms[0], seed, group))
     stage = pruning_verdict(draws, actual, group)
     on = list(group)
     again = pool.join(F.broadcast(stage.filter("verdict <> 'FAILS'").select(*on)), on, "left_semi")
-    both = draws.unionByName(random_pruning(again, size, perms[1], seed, group, first=perms[0] + 1))
+    both = settled(draws.unionByName(random_pruning(again, size, perms[1], seed, group, first=perms[0] + 1)))
     final = pruning_verdict(both, actual, group).join(both.groupBy(*on).agg(F.count(F.lit(1)).alias("perms")), on)
     return final.join(stage.select(*on, F.col("verdict").alias("first_verdict")), on)
 
@@ -266,7 +320,8 @@ def bootstrap_interval(df: DataFrame, value: str, order: Sequence[str], rounds:
     Each row enters each round as often as its Poisson draw says, the limit of drawing n
     of n with replacement, so that no row numbers, joins or shuffles of rows are needed.
     """
-    many = df.filter(F.col(value).isNotNull()).select(*group, *[c for c in order if c not in group], F.col(value).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    rows = df.filter(F.col(value).isNotNull()).select(*group, *[c for c in order if c not in group], F.col(value).alias("_v"))
+    many = dealt_out(rows, *order).select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     u, weight, total, term = draw(seed, "round", *order), F.lit(0), 0.0, 0.36787944117144233
     for k in range(8):
         total += term

@@ -31,6 +31,11 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(bars_from_lines(spark, sf_dir))
 
 
+def joined_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bars with their benchmarks."""
+    return residual.with_own_benchmark(sample(spark, sf_dir))
+
+
 def features(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     """The named features of all bars; benchmarks are joined only if a residual feature is asked for."""
     df = sample(spark, sf_dir)

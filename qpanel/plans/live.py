@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from qpanel.functions.windows import fixed
+from qpanel.sources.tables import shared_root
 from qpanel.streaming import feeds
 
-from .reports import shared_root
 from .sql import fixed as fx
 
 QUERIES, SQL = {}, {}

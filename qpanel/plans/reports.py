@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from qpanel.functions import text
@@ -13,6 +10,7 @@ from qpanel.operators import catalogue, events, ledger, metrics, regime, residua
 from qpanel.sources import bars as sources
 from qpanel.sources import store
 from qpanel.sources.bars import bars_from_lines, table
+from qpanel.sources.tables import shared_root
 
 from . import features as fq
 from .features import every_spec, sample
@@ -34,16 +32,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def shared_root(spark) -> str:
-    """A folder that all executors reach, for stores that a query writes and reads again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="qpanel-")
-    return f"{folder}/store-{uuid.uuid4().hex}"
-
-
 # metrics: a symbol's close is its equity
 RET = f"{BARS}, eq AS (SELECT symbol, date, close AS equity, CASE WHEN lag(close) OVER w > 0 THEN close / lag(close) OVER w - 1 END AS ret, close / (max(close) OVER (w ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM panel {W})"
 

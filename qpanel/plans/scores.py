@@ -8,6 +8,7 @@ from qpanel.functions.windows import fixed
 from qpanel.operators import events, labels, residual, scoring, spec, validation
 from qpanel.sources import store
 from qpanel.sources.bars import table
+from qpanel.sources.tables import settled
 
 from . import features as fq
 from .features import every_spec, sample
@@ -127,6 +128,73 @@ def summary(spark, sf_dir):
     return df.withColumn("statuses", F.array_join("statuses", ","))
 
 
+# all features against all labels: beyond SQL's reach on whole tables; the tests hold them against the single operators
+def all_labels() -> list[str]:
+    return [f"{kind}_{k}d" for kind in ("forward_return", "log_forward_return", "excess_vs_market", "excess_vs_sector") for k in (1, 3, 5, 10, 20)] + ["triple_barrier"]
+
+
+def numeric(df, names=None) -> list[str]:
+    """The features that are numbers; ladders with names are not scored."""
+    kinds = dict(df.dtypes)
+    return [n for n in names or fq.feature_names() if kinds[n] != "string"]
+
+
+def full_input(spark, sf_dir):
+    """Every feature and label of every bar, as a table."""
+    p = sample(spark, sf_dir)
+    market = p.groupBy("date").agg(F.avg("close").alias("level"))
+    sector = p.groupBy(residual.sector_of(F.col("symbol")).alias("_sector"), "date").agg(F.avg("close").alias("level"))
+    f = fq.features(spark, sf_dir, fq.feature_names())
+    df = labels.triple_barrier(labels.forward_returns(f)).withColumn("_sector", residual.sector_of(F.col("symbol")))
+    df = labels.excess_returns(df, market, ["date"], "level", "market")
+    df = labels.excess_returns(df, sector, ["_sector", "date"], "level", "sector")
+    return settled(df.select("symbol", "date", "i", *fq.feature_names(), *all_labels()))
+
+
+@query("a1_a16_all_scores")
+def every_score(spark, sf_dir):
+    df = full_input(spark, sf_dir)
+    return scoring.all_scores(df, numeric(df), all_labels())
+
+
+@query("a14_v3_v4_clusters")
+def clusters(spark, sf_dir):
+    """Features that say the same, and of each such cluster the one to keep: by variance, and by IC, stability and completeness."""
+    df = full_input(spark, sf_dir)
+    names = numeric(df)
+    rows = validation.cluster_rows(validation.wide_correlations(df, names), names)
+    merits = scoring.feature_merits(scoring.all_scores(df, names, all_labels()))
+    merits = merits.select("feature", F.coalesce("ic", F.lit(0.0)).alias("ic"), (1 - F.col("unstable_share")).alias("stability"), "missing_rate")
+    best = validation.representative(merits, rows.select("cluster", "feature")).withColumnRenamed("representative", "by_merit")
+    return rows.join(best, "cluster").join(merits, "feature")
+
+
+def cut_and_whole(spark, sf_dir, names):
+    """Features of the bars up to the middle date, from the whole history and from that part alone."""
+    whole = fq.features(spark, sf_dir, names).select("symbol", "date", *names)
+    p = fq.joined_panel(spark, sf_dir)
+    middle = p.agg(F.to_date(F.timestamp_seconds(F.percentile(F.unix_seconds(F.col("date").cast("timestamp")), 0.5).cast("long")))).first()[0]
+    return whole, spec.compute(p.filter(F.col("date") <= F.lit(middle)), every_spec(), names)
+
+
+@query("v7_full_lookahead")
+def full_lookahead(spark, sf_dir):
+    """Every feature, recursive and fitted ones included, with and without the second half of the history."""
+    whole, cut = cut_and_whole(spark, sf_dir, fq.feature_names())
+    return validation.lookahead_test(whole, cut, numeric(whole))
+
+
+@query("a17_validation_report")
+def full_report(spark, sf_dir):
+    df = full_input(spark, sf_dir)
+    names = numeric(df)
+    scores = settled(scoring.all_scores(df, names, all_labels()))
+    rows = validation.cluster_rows(validation.wide_correlations(df, names), names)
+    differ = validation.lookahead_test(*cut_and_whole(spark, sf_dir, names), names).agg(F.sum("n_differ")).first()[0] or 0
+    report = scoring.validation_report(scores, rows, differ)
+    return report.withColumns({c: F.array_join(c, ",") for c in ("top", "dead", "unstable")})
+
+
 def pr(f):
     return f"CASE WHEN {f} IS NOT NULL THEN percent_rank() OVER (PARTITION BY symbol, {f} IS NOT NULL ORDER BY {f}) END"
 
@@ -240,13 +308,20 @@ def blocks(spark, sf_dir):
 # validation
 @query("v1_leakage_audit")
 def leakage(spark, sf_dir):
-    """Every feature that the panel holds against the registry made from the specifications."""
+    """Every feature that the whole panel holds against the registry made from the specifications."""
+    names = fq.feature_names()
     reg = store.registry(spark, every_spec())
-    held = spec.compute(sample(spark, sf_dir), every_spec(), FEATURES)
-    counts = held.select(*[F.count(n).alias(n) for n in FEATURES]).unpivot([], FEATURES, "feature", "n_values")
+    held = fq.features(spark, sf_dir, names)
+    counts = held.select(*[F.count(n).alias(n) for n in names]).unpivot([], names, "feature", "n_values")
     return validation.leakage_audit(reg, counts).join(counts, "feature")
 
 
+@query("v2_full_warmup")
+def full_warmup(spark, sf_dir):
+    df = fq.features(spark, sf_dir, fq.feature_names())
+    return validation.warmup_audit(df, store.registry(spark, every_spec()), numeric(df))
+
+
 @query("v2_warmup_audit", f"WITH {FEATS}, u AS (SELECT f.feature, f.lookback, i, f.v FROM feats, LATERAL (VALUES ('mom_5d', 6, mom_5d), ('mom_20d', 21, mom_20d), ('rvol_20', 20, rvol_20), ('close_location', 1, close_location)) f(feature, lookback, v)), g AS (SELECT feature, lookback, count(*) FILTER (i < lookback AND v IS NULL) AS expected_nan, count(*) FILTER (i >= lookback AND v IS NULL) AS unexpected_nan, count(*) FILTER (i >= lookback) AS n_after FROM u GROUP BY feature, lookback) SELECT feature, lookback, expected_nan, unexpected_nan, n_after, {fx('unexpected_nan / n_after')} AS unexpected_rate, CASE WHEN unexpected_nan / n_after <= 0.05 THEN 'WARMUP_ONLY' ELSE 'UNEXPECTED_NAN' END AS verdict FROM g")
 def warmup(spark, sf_dir):
     return validation.warmup_audit(scored_input(spark, sf_dir), store.registry(spark, every_spec()), FEATURES).withColumn("unexpected_rate", fixed("unexpected_rate"))
