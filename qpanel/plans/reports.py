@@ -85,7 +85,7 @@ def risk(spark, sf_dir):
 CLS = f"{FEATS}, s AS (SELECT symbol, close_location AS score, (forward_return_5d > 0)::INT AS label FROM feats WHERE close_location IS NOT NULL AND forward_return_5d IS NOT NULL)"
 
 
-@query("a31_classification_pack", f"WITH {CLS}, k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY score) + (count(*) OVER (PARTITION BY symbol, score) - 1) / 2.0 AS rk FROM s), g AS (SELECT symbol, avg(pow(score - label, 2)) AS brier, count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (score >= 0.5) AS p, count(*) FILTER (label = 1) AS y, count(*) FILTER (label = 0) AS n, sum(rk) FILTER (label = 1) AS ranks FROM k GROUP BY symbol) SELECT symbol, {fx('brier')} AS brier, {fx('tp / p')} AS precision, {fx('tp / y')} AS recall, {fx('(ranks - y * (y + 1) / 2.0) / (y * n)')} AS auc, {fx('2 * (tp / p) * (tp / y) / (tp / p + tp / y)')} AS f1 FROM g")
+@query("a31_classification_pack", f"WITH {CLS}, k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY score) + (count(*) OVER (PARTITION BY symbol, score) - 1) / 2.0 AS rk FROM s), g AS (SELECT symbol, avg(pow(score - label, 2)) AS brier, count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (score >= 0.5) AS p, count(*) FILTER (label = 1) AS y, count(*) FILTER (label = 0) AS n, sum(rk) FILTER (label = 1) AS ranks FROM k GROUP BY symbol) SELECT symbol, {fx('brier')} AS brier, {fx('tp / nullif(p, 0)')} AS precision, {fx('tp / nullif(y, 0)')} AS recall, {fx('(ranks - y * (y + 1) / 2.0) / nullif(y * n, 0)')} AS auc, {fx('2 * (tp / nullif(p, 0)) * (tp / nullif(y, 0)) / nullif(tp / nullif(p, 0) + tp / nullif(y, 0), 0)')} AS f1 FROM g")
 def classes(spark, sf_dir):
     s = scored_input(spark, sf_dir, ["close_location"]).filter("close_location IS NOT NULL AND forward_return_5d IS NOT NULL").select("symbol", F.col("close_location").alias("score"), (F.col("forward_return_5d") > 0).cast("int").alias("label"))
     df = metrics.classification_pack(s, ["symbol"])
