@@ -131,17 +131,20 @@ class Reader:
 
     def __init__(self, counts: np.ndarray, wanted: dict | None = None):
         self.decoder, self.wanted = Decoder(counts), wanted
+        #: wanted features as words, and as starts of each length
+        self.words = {f for f in wanted or () if f[-1:] != "~"}
+        self.starts = {n: {f[:-1] for f in wanted or () if len(f) == n + 1 and f[-1] == "~"} for n in STARTS}
         #: for each token its features and long runs; None if it has neither
         self.known: dict[str, tuple | None] = {}
 
     def of(self, text: str) -> tuple[set[str], set[str]]:
         """Words and word starts of a text, those that its suspect tokens decode to included, and its long decoded runs."""
         features, runs, known = set(), set(), self.known
-        tokens = text.split()
+        tokens, plain = text.split(), []
         for t in set(tokens):
             w = t.lower().rstrip(AFTER)
             if w.isalpha() and not DOUBLED(w):
-                self.add(w, features)
+                plain.append(w)
                 continue
             try:
                 found = known[t]
@@ -158,20 +161,14 @@ class Reader:
             if found := self.read(t.lower(), True):
                 features.update(found[0])
                 runs.update(found[1])
+        if self.wanted is None:
+            features.update(features_of(set(plain)))
+        else:
+            features.update(self.words.intersection(plain))
+            for n, starts in self.starts.items():
+                features.update([x + "~" for x in starts.intersection([w[:n] for w in plain if len(w) > n])])
         return features, runs
 
-    def add(self, word: str, features: set[str]) -> None:
-        """A plain word's features."""
-        wanted = self.wanted
-        if wanted is None:
-            features.update(features_of({word}))
-            return
-        if word in wanted:
-            features.add(word)
-        for n in STARTS:
-            if len(word) > n and (start := word[:n] + "~") in wanted:
-                features.add(start)
-
     def read(self, low: str, suspect: bool) -> tuple | None:
         words, runs = set(WORDS.findall(low)), ()
         if suspect and self.may_matter(low):
@@ -203,6 +200,8 @@ class Reader:
 
 def spaced(tokens: list[str]) -> Iterator[str]:
     """Three or more single characters in a row, with a blank between each two."""
+    if b"\1\1\1" not in bytes(map((1).__eq__, map(len, tokens))):
+        return
     at = [i for i, t in enumerate(tokens) if len(t) == 1 and SINGLE.match(t)]
     k = 0
     while k < len(at):
