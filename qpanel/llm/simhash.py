@@ -17,7 +17,7 @@ LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Fingerprints in one trie pair; larger ones are split at deeper nodes.
 MOST_IN_PAIR = 50_000
 #: Bits by which a large pair is split, shingles that are hashed at once, and rows of a joining task.
-STEP, SHINGLES, TASK_ROWS = 8, 50_000, 1_000_000
+STEP, SHINGLES, TASK_ROWS = 8, 50_000, 250_000
 #: Node pairs of a traversal's level, and fingerprint pairs compared, that are held at once.
 FRONTIER = 1_000_000
 
