@@ -87,30 +87,37 @@ def hurst(close: np.ndarray, lookback: int = 100, sizes: tuple[int, ...] = (10,
     return out
 
 
-def half_life(stock: np.ndarray, bench: np.ndarray, window: int = 60, least: int = 20) -> np.ndarray:
-    """-ln 2 / b of the residual walk's change on its level; infinite if it does not revert."""
-    out = np.full(len(stock), np.nan)
-    for k in range(window, len(stock)):
-        s, e = stock[k - window + 1 : k + 1], bench[k - window + 1 : k + 1]
+def half_life(stock: np.ndarray, bench: np.ndarray, window: int = 60, least: int = 20, block: int = 4096) -> np.ndarray:
+    """-ln 2 / b of the residual walk's change on its level; infinite if it does not revert.
+
+    Windows are the rows of strided views, block of them at once; missing pairs weigh nothing.
+    """
+    n = len(stock)
+    out = np.full(n, np.nan)
+    if n <= window:
+        return out
+    views = [np.lib.stride_tricks.sliding_window_view(x, window)[1:] for x in (stock, bench)]
+    for at in range(0, n - window, block):
+        s, e = (v[at : at + block] for v in views)
         ok = ~(np.isnan(s) | np.isnan(e))
-        s, e = s[ok], e[ok]
-        if len(s) < least:
-            continue
-        de = e - e.mean()
-        den = de @ de
-        if den == 0:
-            continue
-        beta = de @ (s - s.mean()) / den
-        walk = np.cumsum(s - (s.mean() - beta * e.mean()) - beta * e)
-        if len(walk) <= 10:
-            continue
-        level, step = walk[:-1], np.diff(walk)
-        dl = level - level.mean()
-        den = dl @ dl
-        if den == 0:
-            continue
-        b = dl @ (step - step.mean()) / den
-        out[k] = np.inf if b >= 0 else -np.log(2) / b
+        count = ok.sum(axis=1)
+
+        def centred(x, present, number):
+            mean = np.where(present, x, 0.0).sum(axis=1) / np.maximum(number, 1)
+            return np.where(present, x - mean[:, None], 0.0)
+
+        ds, de = centred(s, ok, count), centred(e, ok, count)
+        flat = (de * de).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = ds - ((de * ds).sum(axis=1) / flat)[:, None] * de
+            level = np.cumsum(step, axis=1) - step
+            # a step counts from the second pair on, with the level before it
+            later = ok & (np.cumsum(ok, axis=1) > 1)
+            dl, dc = centred(level, later, count - 1), centred(step, later, count - 1)
+            moved = (dl * dl).sum(axis=1)
+            b = (dl * dc).sum(axis=1) / moved
+            life = np.where(b >= 0, np.inf, -np.log(2) / b)
+        out[window + at : window + at + len(count)] = np.where((count >= least) & (flat != 0) & (moved != 0), life, np.nan)
     return out
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qpanel.functions.windows import trailing
+from qpanel.sources.tables import settled
+
+from .quantiles import quantiles
 
 #: Rebalances per year by horizon, and basis points of a trade. Fixed values.
 REBALANCES = {1: 252, 3: 84, 5: 50, 10: 25, 20: 12}
@@ -43,15 +46,17 @@ def latest_signals(features: DataFrame, least: float = 0.4) -> DataFrame:
     return last.withColumns({"score": score, "direction": F.when(score >= least, "long").otherwise("flat"), "reason_codes": reasons})
 
 
-def event_stats(x: str = "ret") -> list[Column]:
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.avg((F.col(x) > 0).cast("double")).alias("hit_rate")]
+def event_stats(df: DataFrame, by: Sequence[str], x: str = "ret") -> DataFrame:
+    """Count, mean, median and hit rate of each group; the groups are few and may be large."""
+    stats = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg((F.col(x) > 0).cast("double")).alias("hit_rate"))
+    return stats.join(quantiles(df, by, x, [0.5]), list(by), "left").select(*by, "n", "mean", F.get("q", F.lit(0)).alias("median"), "hit_rate")
 
 
 def event_study(signals: DataFrame, by: Sequence[str], horizons: Sequence[int] = (1, 3, 5, 10, 20), cost_bps: float = 10.0) -> DataFrame:
     """A19. For each signal variant and horizon: events, mean, median, hit rate, and the mean after a round trip's cost."""
     rows = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"forward_return_{h}d").alias("ret")) for h in horizons])
     df = signals.select(*by, F.explode(rows).alias("r")).select(*by, "r.*").filter("ret IS NOT NULL")
-    return df.groupBy(*by, "horizon").agg(*event_stats()).withColumn("net_mean", F.col("mean") - cost_bps / 1e4)
+    return event_stats(settled(df), [*by, "horizon"]).withColumn("net_mean", F.col("mean") - cost_bps / 1e4)
 
 
 def horizon_costs(spreads: DataFrame, spark: SparkSession) -> DataFrame:
@@ -102,5 +107,5 @@ def concentration(ics: DataFrame, k: int = 3) -> DataFrame:
 
 def by_fit_class(events: DataFrame, fits: DataFrame, x: str = "ret") -> DataFrame:
     """A26. Event statistics of each fit class and of all."""
-    df = events.join(fits.select("symbol", "fit"), "symbol").rollup("fit").agg(*event_stats(x), F.grouping("fit").alias("_g"))
-    return df.withColumn("fit", F.when(F.col("_g") == 1, "ALL").otherwise(F.col("fit"))).drop("_g")
+    df = events.join(fits.select("symbol", "fit"), "symbol").select(F.explode(F.array("fit", F.lit("ALL"))).alias("fit"), x)
+    return event_stats(settled(df), ["fit"], x)

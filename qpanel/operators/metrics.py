@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qpanel.functions.windows import safe_corr
+from qpanel.sources.tables import settled
+
+from .quantiles import quantiles
 
 YEAR = 252
 
@@ -96,8 +99,8 @@ def drift(df: DataFrame, feature: str, reference: Column, period: Column, bins:
 
     Bins lie between percentiles of the reference; only bin counts are joined.
     """
-    x = df.filter(F.col(feature).isNotNull()).select(F.col(feature).alias("x"), reference.alias("ref"), period.alias("period"))
-    edges = x.filter("ref").agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(k / bins) for k in range(1, bins)]))).alias("e"))
+    x = settled(df.filter(F.col(feature).isNotNull()).select(F.col(feature).alias("x"), reference.alias("ref"), period.alias("period")))
+    edges = quantiles(x.filter("ref"), ["ref"], "x", [k / bins for k in range(1, bins)]).select(F.array_distinct("q").alias("e"))
     binned = x.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda e: e < F.col("x"))))
     cells = binned.groupBy("period", "bin").agg(F.count(F.lit(1)).alias("c"), F.count_if("ref").alias("r"))
     base = cells.groupBy("bin").agg(F.sum("r").alias("base"))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qpanel.functions.windows import safe_corr
+from qpanel.sources.tables import settled
 
 from .labels import long_form
+from .quantiles import quantiles, tiles
 
 LEAST_IC, LEAST_SPREAD, LEAST_STABILITY, SEGMENTS, LEAST_SEGMENT = 50, 100, 500, 3, 20
 BINS = 20
@@ -79,14 +81,14 @@ def decile_spread(p: DataFrame, by: Sequence[str] = PAIR, least: int = LEAST_SPR
     return df.select(*by, "n_obs", F.when(enough, F.col("top")).alias("top_decile_return"), F.when(enough, F.col("bottom")).alias("bottom_decile_return"), F.when(enough, F.col("top") - F.col("bottom")).otherwise(0.0).alias("decile_spread"))
 
 
-def decile_table(p: DataFrame, by: Sequence[str] = ("feature", "label"), digits: int | None = None) -> DataFrame:
+def decile_table(p: DataFrame, by: Sequence[str] = ("feature", "label")) -> DataFrame:
     """A7. Ten groups of equal size: count, mean, median and hit rate of the label, and whether means rise or fall throughout.
 
-    A row's group comes from its rank and the pair's count, so a pair's rows may be
-    sorted outside memory, never gathered.
+    A pair may hold as many rows as the panel, so it is ranked in parts, and no part is gathered.
     """
-    w = Window.partitionBy(*by).orderBy("x", "symbol", "date")
-    t = p.withColumn("decile", F.ntile(10).over(w)).groupBy(*by, "decile").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.percentile("y", 0.5).alias("median"), F.avg((F.col("y") > 0).cast("double")).alias("hit_rate"))
+    rows = settled(tiles(settled(p), by, "x", ("symbol", "date"), 10, "decile"))
+    t = rows.groupBy(*by, "decile").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.avg((F.col("y") > 0).cast("double")).alias("hit_rate"))
+    t = t.join(quantiles(rows, [*by, "decile"], "y", [0.5]), [*by, "decile"]).withColumn("median", F.get("q", F.lit(0))).drop("q")
     d = Window.partitionBy(*by)
     step = F.signum(F.col("mean") - F.lag("mean").over(d.orderBy("decile")))
     t = t.withColumn("_step", step)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from qpanel.sources.tables import settled
 
 from .labels import long_form
+from .quantiles import tiles
 
 #: Names that speak of the future. Fixed values.
 FUTURE_WORDS = ("forward", "future", "next", "lead", "target", "label")
@@ -263,8 +264,7 @@ def subset_audit(base: DataFrame, filtered: DataFrame, keys: Sequence[str] = ("s
 
 def polarity(p: DataFrame, by: Sequence[str] = ("feature", "label")) -> DataFrame:
     """V11. Mean feature and label in the first and last tenth, and the sign of the relation."""
-    w = Window.partitionBy(*by).orderBy("x", "symbol", "date")
-    t = p.withColumn("d", F.ntile(10).over(w)).filter("d IN (1, 10)")
+    t = tiles(settled(p), by, "x", ("symbol", "date"), 10, "d").filter("d IN (1, 10)")
     at = lambda d, c: F.avg(F.when(F.col("d") == d, F.col(c)))
     df = t.groupBy(*by).agg(at(1, "x").alias("d1_score"), at(10, "x").alias("d10_score"), at(1, "y").alias("d1_label"), at(10, "y").alias("d10_label"))
     return df.withColumn("polarity", F.signum(F.col("d10_label") - F.col("d1_label")))

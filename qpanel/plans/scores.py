@@ -114,17 +114,29 @@ def composite(spark, sf_dir):
     return scoring.composite_rank(mi, scoring.stability_score(df, FEATURES))
 
 
-@query("a15_top_candidates", f"WITH {IC} SELECT {KEY}, n_obs, {fx('rank_ic')} AS rank_ic, CASE WHEN abs(rank_ic) < 0.02 THEN 'WEAK' ELSE 'CANDIDATE' END AS status FROM ic WHERE abs(rank_ic) >= 0.01 ORDER BY abs(rank_ic) DESC NULLS LAST, feature, label, symbol LIMIT 20")
+SCORED = f"""{IC}, e AS (
+  SELECT {KEY}, count(*) AS n, list_distinct(quantile_cont(x, {QS})) AS ex, list_distinct(quantile_cont(y, {QS})) AS ey, quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi FROM pairs GROUP BY {KEY}
+), b AS (SELECT {KEY}, n, len(list_filter(ex, lambda q: q <= x)) AS bx, len(list_filter(ey, lambda q: q <= y)) AS by_ FROM pairs JOIN e USING ({KEY})
+), j AS (SELECT {KEY}, n, bx, by_, count(*) AS c FROM b GROUP BY ALL
+), t AS (SELECT *, c / n * ln(c * n / ((sum(c) OVER (PARTITION BY {KEY}, bx)) * (sum(c) OVER (PARTITION BY {KEY}, by_)))) AS t FROM j
+), mi AS (SELECT {KEY}, CASE WHEN max(n) >= 50 THEN greatest(sum(t), 0) ELSE 0 END AS mi FROM t GROUP BY {KEY}
+), sp AS (SELECT {KEY}, CASE WHEN n >= 100 THEN avg(y) FILTER (x >= hi) - avg(y) FILTER (x <= lo) ELSE 0 END AS spread FROM pairs JOIN e USING ({KEY}) GROUP BY {KEY}, n
+), miss AS (SELECT symbol, f.feature, avg((f.v IS NULL)::INT) AS missing FROM feats, LATERAL (VALUES {', '.join(f"('{f}', {f})" for f in FEATURES)}) f(feature, v) GROUP BY symbol, f.feature
+), scored AS (
+  SELECT {KEY}, n_obs, rank_ic, CASE WHEN missing > 0.5 THEN 'BLOCKED' WHEN coalesce(abs(rank_ic), 0) < 0.01 AND mi < 0.001 AND coalesce(abs(spread), 0) < 0.001 THEN 'DEAD' WHEN coalesce(abs(rank_ic), 0) < 0.02 THEN 'WEAK' ELSE 'CANDIDATE' END AS status
+  FROM ic JOIN mi USING ({KEY}) JOIN sp USING ({KEY}) JOIN miss USING (symbol, feature)
+)"""
+
+
+@query("a15_top_candidates", f"WITH {SCORED} SELECT {KEY}, n_obs, {fx('rank_ic')} AS rank_ic, status FROM scored WHERE status IN ('CANDIDATE', 'WEAK') ORDER BY abs(rank_ic) DESC NULLS LAST, feature, label, symbol LIMIT 20")
 def top(spark, sf_dir):
-    ic = scoring.rank_ic(scoring.pairs(scored_input(spark, sf_dir), FEATURES, LABELS)).drop("ic_t_stat")
-    scores = ic.withColumn("status", scoring.status(F.lit(0.0), F.col("rank_ic"), F.lit(0.0), F.lit(0.0)))
+    scores = scoring.score(scored_input(spark, sf_dir), FEATURES, LABELS).select("symbol", "feature", "label", "n_obs", "rank_ic", "status")
     return scoring.top_candidates(scores).withColumn("rank_ic", fixed("rank_ic"))
 
 
-@query("a16_run_summary", f"WITH {IC}, s AS (SELECT *, CASE WHEN coalesce(abs(rank_ic), 0) < 0.01 THEN 'DEAD' WHEN abs(rank_ic) < 0.02 THEN 'WEAK' ELSE 'CANDIDATE' END AS status FROM ic) SELECT count(*) AS n_pairs, count(DISTINCT feature) AS n_features, count(DISTINCT label) AS n_labels, count(*) FILTER (status = 'DEAD') AS n_dead, 0::BIGINT AS n_blocked, array_to_string(list_sort(list(DISTINCT status)), ',') AS statuses FROM s")
+@query("a16_run_summary", f"WITH {SCORED} SELECT count(*) AS n_pairs, count(DISTINCT feature) AS n_features, count(DISTINCT label) AS n_labels, count(*) FILTER (status = 'DEAD') AS n_dead, count(*) FILTER (status = 'BLOCKED') AS n_blocked, array_to_string(list_sort(list(DISTINCT status)), ',') AS statuses FROM scored")
 def summary(spark, sf_dir):
-    ic = scoring.rank_ic(scoring.pairs(scored_input(spark, sf_dir), FEATURES, LABELS))
-    df = scoring.run_summary(ic.withColumn("status", scoring.status(F.lit(0.0), F.col("rank_ic"), F.lit(0.0), F.lit(0.0))))
+    df = scoring.run_summary(scoring.score(scored_input(spark, sf_dir), FEATURES, LABELS))
     return df.withColumn("statuses", F.array_join("statuses", ","))
 
 
@@ -281,7 +293,7 @@ def latest(spark, sf_dir):
 @query("v17_base_signals")
 def base(spark, sf_dir):
     f = labels.forward_returns(fq.features(spark, sf_dir, ["rsi_2", "hurst_100", "regime_score"]), (5,)).withColumn("ret", F.col("forward_return_5d"))
-    return events.base_signals(f).groupBy("strategy").agg(*events.event_stats())
+    return events.event_stats(settled(events.base_signals(f).select("strategy", "ret")), ["strategy"])
 
 
 FLAGS = f"""{BARS}, fl0 AS (
@@ -342,7 +354,11 @@ def purged(spark, sf_dir):
     return validation.assign_splits(p, validation.purged_splits(spark, n)).groupBy("split", "role", "symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@query("v7_lookahead_test", f"WITH {FEATS} SELECT f.feature, count(*) AS n, 0::BIGINT AS n_differ, true AS passed FROM feats, LATERAL (VALUES ('mom_5d'), ('mom_20d'), ('rvol_20'), ('close_location')) f(feature) WHERE date < DATE '1998-01-01' GROUP BY f.feature")
+FEATURES_SQL = f"{mom(5)} AS mom_5d, {mom(20)} AS mom_20d, {ratio('volume', mean0('volume', 20))} AS rvol_20, {ratio('close - low', 'high - low')} AS close_location"
+DIFFER = "count(*) FILTER (a IS DISTINCT FROM b AND NOT coalesce(abs(a - b) <= 1e-9 * greatest(abs(a), 1), false))"
+
+
+@query("v7_lookahead_test", f"WITH {FEATS}, cut AS (SELECT symbol, date, {FEATURES_SQL} FROM panel WHERE date < DATE '1998-01-01' {W}), u AS (SELECT v.feature, v.a, v.b FROM cut JOIN feats USING (symbol, date), LATERAL (VALUES {', '.join(f'({chr(39)}{f}{chr(39)}, feats.{f}, cut.{f})' for f in FEATURES)}) v(feature, a, b)) SELECT feature, count(*) AS n, {DIFFER} AS n_differ, {DIFFER} = 0 AS passed FROM u GROUP BY feature")
 def lookahead(spark, sf_dir):
     p = sample(spark, sf_dir)
     cut = p.filter(F.col("date") < F.to_date(F.lit("1998-01-01")))
