@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, licenses, mixing, packing, quality, simhash, suffix_dedup, tokens, toxicity
+from . import centroids, exact_dedup, language, licenses, mixing, packing, quality, simhash, suffix_dedup, tokens, toxicity
 from .shared import documents
 
 #: Word characters as in shared.WORD, for DuckDB.
@@ -94,6 +94,10 @@ FROM q
 """
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(documents(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -106,8 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op11_centroids": op11_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_license_scan": licenses.oracle(), "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL, "op11_centroids": centroids.oracle()}

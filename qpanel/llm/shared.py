@@ -29,14 +29,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def table_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/qpanel-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts its lineage, and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/qpanel-{uuid.uuid4().hex}"
+    path = path or table_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that no result reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread_join(many: DataFrame, one: DataFrame, key: str, most: int = 200_000) -> DataFrame:
     """many with the columns of one, which has each key once at most.
 
