@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, exact_dedup, language, licenses, mixing, packing, quality, simhash, suffix_dedup, tokens, toxicity
+from . import centroids, exact_dedup, language, licenses, mixing, packing, quality, simhash, suffix_dedup, tokens, toxicity, whitening
 from .shared import documents
 
 #: Word characters as in shared.WORD, for DuckDB.
@@ -98,6 +98,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(documents(spark, sf_dir, "embeddings"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(documents(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -111,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
         "op11_centroids": op11_centroids,
+        "op12_whitening": op12_whitening,
     }
 
 
