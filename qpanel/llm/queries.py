@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, exact_dedup, language, licenses, mixing, packing, quality, simhash, suffix_dedup, tokens, toxicity, whitening
+from . import centroids, exact_dedup, language, licenses, mixing, packing, pieces, quality, simhash, suffix_dedup, tokens, toxicity, whitening
 from .shared import documents
 
 #: Word characters as in shared.WORD, for DuckDB.
@@ -102,6 +102,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(documents(spark, sf_dir, "embeddings"))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -116,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_centroids": op11_centroids,
         "op12_whitening": op12_whitening,
+        "op13_pieces": op13_pieces,
     }
 
 
