@@ -17,23 +17,6 @@ FUTURE_WORDS = ("forward", "future", "next", "lead", "target", "label")
 HORIZON = 20
 
 
-def leakage_audit(registry: DataFrame, used: DataFrame) -> DataFrame:
-    """V1. Name and metadata checks of each used feature against the registry: the failed ones and a verdict."""
-    df = used.select("feature").join(registry, "feature", "left")
-    failed = F.array_compact(
-        F.array(
-            F.when(F.col("category").isNull(), "not_registered"),
-            F.when(F.exists(F.array(*map(F.lit, FUTURE_WORDS)), lambda k: F.contains(F.lower("feature"), k)), "future_in_name"),
-            F.when(~F.coalesce("point_in_time_safe", F.lit(False)), "not_point_in_time_safe"),
-            F.when(F.coalesce("lag_required", F.lit(0)) < 0, "negative_lag"),
-            F.when(F.exists("input_data", lambda x: F.exists(F.array(*map(F.lit, FUTURE_WORDS)), lambda k: F.contains(F.lower(x), k))), "future_input"),
-            F.when(F.coalesce("lookback", F.lit(0)) < 1, "no_lookback"),
-        )
-    )
-    df = df.withColumn("failed", failed)
-    return df.select("feature", "category", F.array_join("failed", ",").alias("failed"), F.when(F.size("failed") == 0, "PASS").otherwise("BLOCKED_LEAKAGE").alias("verdict"))
-
-
 def warmup_audit(df: DataFrame, registry: DataFrame, features: Sequence[str], most: float = 0.05) -> DataFrame:
     """V2. Missing values before and after each feature's warm-up."""
     x = long_form(df, features, "feature", "value", ids=("symbol", "date", "i")).join(F.broadcast(registry.select("feature", "lookback")), "feature")
@@ -177,12 +160,21 @@ def multi_horizon_splits(spark: SparkSession, n: int, horizons: Sequence[int], k
 
 
 def lookahead_test(full: DataFrame, truncated: DataFrame, features: Sequence[str]) -> DataFrame:
-    """V7. Features of the truncated history that differ from those of the whole: none may."""
-    a = long_form(full, features, "feature", "full_value")
-    b = long_form(truncated, features, "feature", "cut_value")
-    differs = ~F.col("full_value").eqNullSafe(F.col("cut_value")) & ~F.coalesce(F.abs(F.col("full_value") - F.col("cut_value")) <= 1e-9 * F.greatest(F.abs("full_value"), F.lit(1.0)), F.lit(False))
-    out = b.join(a, ["symbol", "date", "feature"], "left").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("n_differ"))
-    return out.withColumn("passed", F.col("n_differ") == 0)
+    """V7. Features of the truncated history that differ from those of the whole: none may.
+
+    Whole rows meet once by (symbol, date), and one aggregate counts all features' differences.
+    """
+    keys, names = ["symbol", "date"], list(features)
+    a = full.select(*keys, *[F.col(f).alias(f"full_{k}") for k, f in enumerate(names)])
+    both = truncated.select(*keys, *[F.col(f).alias(f"cut_{k}") for k, f in enumerate(names)]).join(a, keys, "left")
+
+    def differs(k: int) -> Column:
+        x, y = F.col(f"full_{k}").cast("double"), F.col(f"cut_{k}").cast("double")
+        return ~x.eqNullSafe(y) & ~F.coalesce(F.abs(x - y) <= 1e-9 * F.greatest(F.abs(x), F.lit(1.0)), F.lit(False))
+
+    counts = both.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(differs(k)).alias(f"d_{k}") for k in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("n"), F.col(f"d_{k}").alias("n_differ")) for k, f in enumerate(names)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*").withColumn("passed", F.col("n_differ") == 0)
 
 
 def draw(seed: str, *cols: str | Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from qpanel.functions.windows import fixed
-from qpanel.operators import events, labels, residual, scoring, spec, validation
+from qpanel.functions.windows import by_symbol, fixed
+from qpanel.operators import events, labels, lineage, residual, scoring, spec, validation
 from qpanel.sources import store
 from qpanel.sources.bars import table
 from qpanel.sources.tables import settled
@@ -181,9 +182,9 @@ def clusters(spark, sf_dir):
     return rows.join(best, "cluster").join(merits, "feature")
 
 
-def cut_and_whole(spark, sf_dir, names):
-    """Features of the bars up to the middle date, from the whole history and from that part alone."""
-    whole = fq.features(spark, sf_dir, names).select("symbol", "date", *names)
+def cut_and_whole(spark, sf_dir, names, whole=None):
+    """Features of the bars up to the middle date, from the whole history (whole, if it is at hand) and from that part alone."""
+    whole = fq.features(spark, sf_dir, names).select("symbol", "date", *names) if whole is None else whole
     p = fq.joined_panel(spark, sf_dir)
     middle = p.agg(F.to_date(F.timestamp_seconds(F.percentile(F.unix_seconds(F.col("date").cast("timestamp")), 0.5).cast("long")))).first()[0]
     return whole, spec.compute(p.filter(F.col("date") <= F.lit(middle)), every_spec(), names)
@@ -202,7 +203,7 @@ def full_report(spark, sf_dir):
     names = numeric(df)
     scores = settled(scoring.all_scores(df, names, all_labels()))
     rows = validation.cluster_rows(validation.wide_correlations(df, names), names)
-    differ = validation.lookahead_test(*cut_and_whole(spark, sf_dir, names), names).agg(F.sum("n_differ")).first()[0] or 0
+    differ = validation.lookahead_test(*cut_and_whole(spark, sf_dir, names, df), names).agg(F.sum("n_differ")).first()[0] or 0
     report = scoring.validation_report(scores, rows, differ)
     return report.withColumns({c: F.array_join(c, ",") for c in ("top", "dead", "unstable")})
 
@@ -320,12 +321,47 @@ def blocks(spark, sf_dir):
 # validation
 @query("v1_leakage_audit")
 def leakage(spark, sf_dir):
-    """Every feature that the whole panel holds against the registry made from the specifications."""
+    """Each feature's lineage against the loaded registry; what Python makes, which no plan shows, by its values with and without the second half of the history."""
     names = fq.feature_names()
-    reg = store.registry(spark, every_spec())
-    held = fq.features(spark, sf_dir, names)
-    counts = held.select(*[F.count(n).alias(n) for n in names]).unpivot([], names, "feature", "n_values")
-    return validation.leakage_audit(reg, counts).join(counts, "feature")
+    read = lineage.lineage(fq.features(spark, sf_dir, names), names)
+    dark = [r["feature"] for r in read.filter("opaque").select("feature").collect()]
+    return lineage.leakage_audit(read, store.loaded_registry(spark), validation.lookahead_test(*cut_and_whole(spark, sf_dir, dark), dark))
+
+
+def planted(panel):
+    """Features that are sound, that read later bars (at once, by a centred window, through two others, from the whole history), and one whose way into the future is taken back."""
+    w = by_symbol()
+    nxt = F.lead("close").over(w)
+    df = spec.compute(panel, every_spec(), ["mom_5d", "rvol_20"]).withColumn("_step", F.when(F.col("close") > 0, nxt / F.col("close") - 1))
+    df = df.withColumn("_mean", F.avg("_step").over(w.rowsBetween(-2, 0)))
+    return df.withColumns({
+        "peek_direct": F.col("_step"), "peek_centred": F.avg("close").over(w.rowsBetween(-2, 2)), "peek_chain": F.col("_mean") * 2, "peek_whole": F.col("close") - F.avg("close").over(Window.partitionBy("symbol")),
+        "peek_undone": F.lag("_step").over(w),
+    })
+
+
+PLANTED = ["mom_5d", "rvol_20", "peek_direct", "peek_centred", "peek_chain", "peek_whole", "peek_undone"]
+
+
+def planted_sql(name, source):
+    return f"""{name}_1 AS (SELECT *, {mom(5)} AS mom_5d, {ratio('volume', mean0('volume', 20))} AS rvol_20, CASE WHEN close > 0 THEN lead(close) OVER w / close - 1 END AS step, avg(close) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS peek_centred,
+    close - avg(close) OVER (PARTITION BY symbol) AS peek_whole FROM {source} {W}),
+    {name} AS (SELECT *, step AS peek_direct, 2 * avg(step) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS peek_chain, lag(step) OVER w AS peek_undone FROM {name}_1 {W})"""
+
+
+# the SQL reads no plan: it computes the features with and without the later half of all bars, and blocks those whose values differ
+@query("v1_planted_leaks", f"""WITH {BARS}, half AS (SELECT * FROM panel WHERE date <= (SELECT quantile_disc(date, 0.5) FROM panel)), {planted_sql('full_', 'panel')}, {planted_sql('cut_', 'half')}, u AS (
+    SELECT v.feature, v.a, v.b FROM cut_ JOIN full_ USING (symbol, date), LATERAL (VALUES {', '.join(f"('{f}', full_.{f}, cut_.{f})" for f in PLANTED)}) v(feature, a, b)
+  ), d AS (SELECT feature, bool_or(a IS DISTINCT FROM b AND NOT coalesce(abs(a - b) <= 1e-9 * greatest(abs(a), 1), false)) AS differs FROM u GROUP BY feature
+  ), n AS (SELECT v.feature, count(v.x) AS n_values FROM full_, LATERAL (VALUES {', '.join(f"('{f}', {f})" for f in PLANTED)}) v(feature, x) GROUP BY v.feature)
+  SELECT feature, n_values, CASE WHEN differs THEN 'reads_future' ELSE '' END AS failed, CASE WHEN differs THEN 'BLOCKED_LEAKAGE' ELSE 'PASS' END AS verdict FROM d JOIN n USING (feature)""")
+def planted_leaks(spark, sf_dir):
+    """Planted features, all registered as safe, judged by their lineage alone."""
+    df = planted(sample(spark, sf_dir))
+    reg = store.loaded_registry(spark)
+    claims = reg.filter("feature = 'mom_5d'").withColumn("feature", F.explode(F.array(*[F.lit(n) for n in PLANTED[2:]])))
+    counts = df.select(*[F.count(n).alias(n) for n in PLANTED]).unpivot([], PLANTED, "feature", "n_values")
+    return lineage.leakage_audit(lineage.lineage(df, PLANTED), reg.unionByName(claims)).join(counts, "feature").select("feature", "n_values", "failed", "verdict")
 
 
 @query("v2_full_warmup")

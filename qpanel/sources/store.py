@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,3 +115,18 @@ def registry(spark: SparkSession, specs: Sequence) -> DataFrame:
     """The feature registry, made from the specifications that actually run."""
     schema = "feature string, category string, lookback int, input_data array<string>, known_at_time string, lag_required int, point_in_time_safe boolean, version string"
     return spark.createDataFrame([(s.name, s.category, s.lookback, list(s.inputs), "close", 0, True, "1") for s in specs if not s.name.startswith("_")], schema)
+
+
+#: Metadata of each feature as it is registered, independent of the specifications that compute it. Fixed values.
+REGISTERED = Path(__file__).with_name("feature_registry.csv")
+REGISTRY = "feature string, category string, inputs array<string>, lookback int, known_at_time string, lag_required int, point_in_time_safe boolean, missing_policy string, max_nan_after_warmup double"
+
+
+def loaded_registry(spark: SparkSession, path: str | Path = REGISTERED) -> DataFrame:
+    """The registered metadata; read on the driver, as executors don't have the package's folder. A row for each feature."""
+    with open(path, newline="") as f:
+        rows = [
+            (r["feature"], r["category"], r["inputs"].split(), int(r["lookback"]) if r["lookback"] else None, r["known_at_time"], int(r["lag_required"]), r["point_in_time_safe"] == "true", r["missing_policy"], float(r["max_nan_after_warmup"] or 0.05))
+            for r in csv.DictReader(f)
+        ]
+    return spark.createDataFrame(rows, REGISTRY)

@@ -124,13 +124,6 @@ def test_redundancy_and_theme(spark):
     assert validation.theme(["sma_5", "sma_10"]) == "sma"
 
 
-def test_leakage_audit(spark):
-    reg = spark.createDataFrame([("sma_5", "technical", 5, ["close"], 0, True), ("next_gap", "technical", 2, ["close"], 0, True), ("odd", "technical", 2, ["forward_return_1d"], -1, False)], "feature string, category string, lookback int, input_data array<string>, lag_required int, point_in_time_safe boolean")
-    used = spark.createDataFrame([("sma_5",), ("next_gap",), ("odd",), ("ghost",)], "feature string")
-    got = {r["feature"]: (r["verdict"], r["failed"]) for r in validation.leakage_audit(reg, used).collect()}
-    assert got["sma_5"] == ("PASS", "") and got["next_gap"][1] == "future_in_name" and set(got["odd"][1].split(",")) == {"not_point_in_time_safe", "negative_lag", "future_input"} and "not_registered" in got["ghost"][1]
-
-
 def test_subsets_language_and_multiple_testing(spark):
     b = spark.createDataFrame([("A", day(k)) for k in range(5)], "symbol string, date date")
     assert validation.subset_audit(b, b.limit(2)).first().asDict() == {"n_base": 5, "n_filtered": 2, "n_new": 0, "n_removed": 3, "n_repeated": 0, "verdict": "PURE_FILTER"}
