@@ -63,14 +63,65 @@ def spells(spark, sf_dir):
     return played(spark, sf_dir, lambda t: feeds.sessions(feeds.deduplicated(t)))
 
 
-@query("t6_stale_alarms", f"WITH g AS (SELECT event_type AS symbol, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) SELECT symbol, ts AS last_tick, ts + INTERVAL 1 HOUR AS alarm_at FROM g WHERE n - ts >= INTERVAL 1 HOUR OR (n IS NULL AND ts + INTERVAL 1 HOUR <= {CLOSED})")
+def delivered(spark, sf_dir, make, deliveries):
+    """The rows of a stream that gets its events in several deliveries, each a batch: (a condition on the events, for each)."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = f"{shared_root(spark)}-stream-{uuid.uuid4().hex}"
+    for part in deliveries:
+        events.filter(part).write.mode("append").parquet(f"{folder}/events")
+        found = feeds.run_available(make(feeds.ticks(spark, f"{folder}/events", 1_000_000)), f"{folder}/rows", f"{folder}/state")
+    return found
+
+
+#: Deliveries out of order: events come by weeks, a third of them a week late, some two weeks late, and a fifth twice. Those behind the watermark of eight days are lost.
+WEEK = "floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / 10)"
+DISORDER = f"""e AS (SELECT *, CAST({WEEK} AS INT) + CASE WHEN event_id % 17 = 0 THEN 2 WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS d FROM events
+  ), came AS (SELECT *, d AS batch FROM e UNION ALL SELECT *, d + 1 AS batch FROM e WHERE event_id % 5 = 0
+  ), ends AS (SELECT b.batch, (SELECT max(ts) FROM came c WHERE c.batch < b.batch) - INTERVAL 11 DAY AS passed FROM (SELECT DISTINCT batch FROM came) b
+  ), kept AS (SELECT DISTINCT event_id, ts, event_type, value FROM came JOIN ends USING (batch) WHERE passed IS NULL OR ts > passed
+  ), fin AS (SELECT max(ts) - INTERVAL 11 DAY AS w FROM came)"""
+
+
+def disordered(spark, sf_dir, make):
+    d = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 10).cast("int") + F.when(F.col("event_id") % 17 == 0, 2).when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+    again = F.col("event_id") % 5 == 0
+    return delivered(spark, sf_dir, make, [(d == k) | (again & (d + 1 == k)) for k in range(6)])
+
+
+@query("t6_stale_alarms", f"WITH g AS (SELECT event_type AS symbol, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) SELECT symbol, ts AS last_tick, ts + INTERVAL 1 HOUR AS alarm_at FROM g WHERE (n - ts >= INTERVAL 1 HOUR OR n IS NULL) AND ts + INTERVAL 1 HOUR <= {CLOSED}")
 def alarms(spark, sf_dir):
     return played(spark, sf_dir, feeds.stale_alarms)
 
 
-@query("t7_running_features", f"WITH RECURSIVE t AS (SELECT event_type AS symbol, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events), up AS (SELECT *, sum(CASE WHEN value > (SELECT 0) AND i > 1 AND r THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY i) AS g FROM (SELECT *, coalesce(value > lag(value) OVER (PARTITION BY symbol ORDER BY i), false) AS r FROM t)), walk(symbol, i, e) AS (SELECT symbol, CAST(10 AS BIGINT), avg(value) FROM t WHERE i <= 10 GROUP BY symbol HAVING count(*) = 10 UNION ALL SELECT t.symbol, t.i, 2.0::DOUBLE / 11 * value + (1 - 2.0::DOUBLE / 11) * e FROM walk JOIN t ON t.symbol = walk.symbol AND t.i = walk.i + 1) SELECT up.symbol, up.ts, value AS price, {fx('e')} AS ema_10, row_number() OVER (PARTITION BY up.symbol, g ORDER BY up.i) - 1 AS run_up FROM up LEFT JOIN walk ON walk.symbol = up.symbol AND walk.i = up.i".replace("value > (SELECT 0) AND i > 1 AND r", "r"))
+@query("t6_alarms_in_disorder", f"WITH {DISORDER}, g AS (SELECT event_type AS symbol, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM kept) SELECT symbol, ts AS last_tick, ts + INTERVAL 1 HOUR AS alarm_at FROM g, fin WHERE (n - ts >= INTERVAL 1 HOUR OR n IS NULL) AND ts + INTERVAL 1 HOUR <= w")
+def late_alarms(spark, sf_dir):
+    return disordered(spark, sf_dir, lambda t: feeds.stale_alarms(t, "11 days", 120 * feeds.MINUTE))
+
+
+def running_sql(before, source, closed):
+    """Each symbol's rows in order, one after the other: seeds by sums of the first values, then the recursions."""
+    return f"""WITH RECURSIVE {before} t AS (
+    SELECT event_type AS symbol, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM {source} WHERE ts <= {closed}
+  ), walk(symbol, i, ts, last, total, e, gain, loss, up) AS (
+    SELECT symbol, i, ts, value, value, NULL::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT FROM t WHERE i = 1
+    UNION ALL
+    SELECT t.symbol, t.i, t.ts, value, total + value, CASE WHEN t.i = 10 THEN (total + value) / 10 WHEN t.i > 10 THEN 2.0::DOUBLE / 11 * value + (1 - 2.0::DOUBLE / 11) * e END,
+           CASE WHEN t.i < 15 THEN gain + greatest(value - last, 0) WHEN t.i = 15 THEN (gain + greatest(value - last, 0)) / 14 ELSE gain + (greatest(value - last, 0) - gain) / 14 END,
+           CASE WHEN t.i < 15 THEN loss + greatest(last - value, 0) WHEN t.i = 15 THEN (loss + greatest(last - value, 0)) / 14 ELSE loss + (greatest(last - value, 0) - loss) / 14 END,
+           CASE WHEN value > last THEN up + 1 ELSE 0 END
+    FROM walk JOIN t ON t.symbol = walk.symbol AND t.i = walk.i + 1
+  ) SELECT symbol, ts, last AS price, {fx('e')} AS ema_10, {fx('CASE WHEN i >= 15 THEN CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END END')} AS rsi_14, up AS run_up FROM walk"""
+
+
+@query("t7_running_features", running_sql("", "events", CLOSED))
 def running(spark, sf_dir):
-    return played(spark, sf_dir, feeds.running_features).withColumn("ema_10", fixed("ema_10"))
+    return played(spark, sf_dir, feeds.running_features).withColumns({c: fixed(c) for c in ("ema_10", "rsi_14")})
+
+
+@query("t7_features_in_disorder", running_sql(DISORDER + ",", "kept", "(SELECT w FROM fin)"))
+def late_running(spark, sf_dir):
+    """Six deliveries out of order, with repeated and lost events: rows come in order all the same."""
+    return disordered(spark, sf_dir, lambda t: feeds.running_features(t, "11 days", 120 * feeds.MINUTE)).withColumns({c: fixed(c) for c in ("ema_10", "rsi_14")})
 
 
 @query("t8_stream_static_join", "SELECT event_id, event_type AS symbol, value AS price, upper(event_type) AS sector FROM events")
@@ -79,11 +130,7 @@ def joined(spark, sf_dir):
     return played(spark, sf_dir, lambda t: feeds.enriched(t, static).select("event_id", "symbol", "price", "sector"))
 
 
-@query("t9_stream_stream_join", "SELECT s.event_type AS symbol, s.ts AS signal_ts, b.ts AS bar_ts, b.value AS close FROM events s JOIN events b ON s.event_type = b.event_type AND b.ts > s.ts AND b.ts <= s.ts + INTERVAL 4 HOUR WHERE s.user_id = b.user_id")
+@query("t9_stream_stream_join", f"WITH h AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ends FROM events), b AS (SELECT event_type, ends, arg_max(value, (ts, event_id)) AS close FROM h WHERE ends <= {CLOSED} GROUP BY event_type, ends), c AS (SELECT *, ends - INTERVAL 1 MICROSECOND AS bar_ts FROM b) SELECT s.event_type AS symbol, s.ts AS signal_ts, bar_ts, close FROM events s JOIN c ON s.event_type = c.event_type AND bar_ts > s.ts AND bar_ts <= s.ts + INTERVAL 4 HOUR")
 def met(spark, sf_dir):
-    def make(t):
-        s = t.select(F.concat_ws("|", "symbol", F.col("user_id").cast("string")).alias("symbol"), F.col("ts").alias("signal_ts"))
-        b = t.select(F.concat_ws("|", "symbol", F.col("user_id").cast("string")).alias("symbol"), F.col("ts").alias("bar_ts"), F.col("price").alias("close"))
-        return feeds.signals_with_bars(s, b)
-
-    return played(spark, sf_dir, make).withColumn("symbol", F.substring_index("symbol", "|", 1))
+    """Every event as a signal, with the hourly bars of its symbol that close in the four hours after it."""
+    return played(spark, sf_dir, lambda t: feeds.signals_with_bars(t.select("symbol", F.col("ts").alias("signal_ts")), feeds.closed_bars(t)))

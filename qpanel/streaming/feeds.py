@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DELAY = "10 minutes"
+#: In microseconds.
+MINUTE = 60_000_000
 
 
 def ticks(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -63,97 +66,212 @@ def enriched(t: DataFrame, sector_map: DataFrame) -> DataFrame:
 
 
 def signals_with_bars(signals: DataFrame, bars: DataFrame, delay: str = DELAY, hold: str = "4 hours") -> DataFrame:
-    """T-9. Signals (symbol, signal_ts) and later bars (symbol, bar_ts, close) within a span: both sides' state is bounded by the watermarks."""
+    """T-9. Signals (symbol, signal_ts) and later bars (symbol, bar_ts, close) within a span: both sides' state is bounded by the watermarks.
+
+    Bars may be those of closed_bars(), whose time carries the watermark of their ticks.
+    """
     s = signals.withWatermark("signal_ts", delay).alias("s")
-    b = bars.withWatermark("bar_ts", delay).alias("b")
+    b = (bars if bars.isStreaming and "_closed" in bars.columns else bars.withWatermark("bar_ts", delay)).alias("b")
     return s.join(b, F.expr(f"s.symbol = b.symbol AND b.bar_ts > s.signal_ts AND b.bar_ts <= s.signal_ts + INTERVAL {hold}")).select("s.symbol", "signal_ts", "bar_ts", "close")
 
 
-EMA_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("value", T.DoubleType()), T.StructField("up", T.LongType()), T.StructField("last", T.DoubleType())])
-EMA_OUT = "symbol string, ts timestamp, price double, ema_10 double, run_up long"
+def closed_bars(t: DataFrame, width: str = "1 hour", delay: str = DELAY) -> DataFrame:
+    """Bars of closed windows for joins with other streams: bar_ts is the last microsecond of the window."""
+    at = F.struct("ts", "event_id")
+    b = t.withWatermark("ts", delay).groupBy("symbol", F.window("ts", width)).agg(F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("volume"))
+    return b.select("symbol", F.window_time("window").alias("bar_ts"), "close", "volume", F.lit(True).alias("_closed"))
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key in order of time and event, each once, whatever the order of the micro-batches that bring them.
 
+    A row waits in a buffer, which has one entry for each span of time, until the
+    watermark reaches it; then the rows up to there are sorted, repeats are left out, and
+    passed() gets them. Rows at or before the watermark come too late and are dropped, as
+    rows of their time have gone on already. State: the rows within the watermark's delay,
+    and whatever the subclass keeps; incoming rows are taken from the iterator chunk by
+    chunk. The span changes the number of entries, never a result.
+    """
 
-class RunningFeatures(StatefulProcessor):
-    """T-7. EMA and length of the rising run, carried on from the last value; the seed is the mean of the first period values."""
+    row = np.dtype([("us", "<i8"), ("event", "<i8"), ("price", "<f8")])
 
-    period = 10
+    def __init__(self, span: int = MINUTE):
+        # in microseconds, as all times below
+        self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("running", EMA_STATE)
+        self.handle = handle
+        self.buffer = handle.getMapState("buffer", T.StructType([T.StructField("span", T.LongType())]), T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.due = handle.getValueState("due", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def passed(self, key, rows: np.ndarray) -> pd.DataFrame | None:
+        """What rows, which follow all those before, give rise to."""
+        raise NotImplementedError
+
+    def quiet_until(self, key, watermark: int) -> pd.DataFrame | None:
+        """What the absence of rows up to the watermark gives rise to."""
+        return None
+
+    def next_due(self) -> int | None:
+        """The first millisecond at which quiet_until() has something to say, if no row comes."""
+        return None
+
+    def wake(self, ms: int) -> None:
+        """One timer for a key: the earliest of those asked for."""
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is None or ms < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
-        n, total, value, up, last = self.state.get() if self.state.exists() else (0, 0.0, None, 0, None)
-        out = []
-        for ts, price in zip(frame["ts"], frame["price"]):
+        watermark, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        for chunk in rows:
+            found = np.empty(len(chunk), dtype=self.row)
+            found["us"] = chunk["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            found["event"], found["price"] = chunk["event_id"].to_numpy(), chunk["price"].to_numpy(dtype=float, na_value=np.nan)
+            found = found[found["us"] > watermark]
+            spans = found["us"] // self.span
+            for s in np.unique(spans).tolist():
+                before = self.buffer.getValue((s,))
+                self.buffer.updateValue((s,), ((bytes(before[0]) if before else b"") + found[spans == s].tobytes(),))
+            if len(found):
+                first = min(int(found["us"].min()), first or int(found["us"].max()))
+        if first is not None:
+            self.wake(-(-first // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark, waiting = timerValues.getCurrentWatermarkInMs() * 1000, None
+        self.due.clear()
+        for (s,) in sorted(tuple(k) for k in self.buffer.keys()):
+            rows = np.frombuffer(bytes(self.buffer.getValue((s,))[0]), dtype=self.row)
+            rows = rows[np.lexsort((rows["event"], rows["us"]))]
+            ready = int(np.searchsorted(rows["us"], watermark, side="right"))
+            if ready < len(rows):
+                waiting = int(rows["us"][ready])
+            if ready:
+                if waiting is None:
+                    self.buffer.removeKey((s,))
+                else:
+                    self.buffer.updateValue((s,), (rows[ready:].tobytes(),))
+                rows = rows[:ready]
+                once = np.r_[True, (rows["us"][1:] != rows["us"][:-1]) | (rows["event"][1:] != rows["event"][:-1])]
+                out = self.passed(key, rows[once])
+                if out is not None and len(out):
+                    yield out
+            if waiting is not None:
+                self.wake(-(-waiting // 1000))
+                break
+        out = self.quiet_until(key, watermark)
+        if out is not None and len(out):
+            yield out
+        ms = self.next_due()
+        if ms is not None:
+            self.wake(ms)
+
+    def close(self) -> None:
+        pass
+
+
+def times(us) -> pd.Series:
+    return pd.to_datetime(pd.Series(us, dtype="int64"), unit="us")
+
+
+RUNNING = T.StructType([T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("total", "mean", "gain", "loss", "last")], T.StructField("up", T.LongType())])
+RUNNING_OUT = "symbol string, ts timestamp, price double, ema_10 double, rsi_14 double, run_up long"
+
+
+class RunningFeatures(InOrder):
+    """T-7. EMA, Wilder's RSI and the length of the rising run, carried on from the last values, with the batch kernels' seeds: means of the first values."""
+
+    period, strength = 10, 14
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("running", RUNNING)
+
+    def passed(self, key, rows: np.ndarray) -> pd.DataFrame:
+        n, total, mean, gain, loss, last, up = self.state.get() if self.state.exists() else (0, 0.0, None, 0.0, 0.0, None, 0)
+        share, out = 2 / (self.period + 1), []
+        for us, price in zip(rows["us"].tolist(), rows["price"].tolist()):
             n, total = n + 1, total + price
             if n == self.period:
-                value = total / n
+                mean = total / n
             elif n > self.period:
-                value = 2 / (self.period + 1) * price + (1 - 2 / (self.period + 1)) * value
+                mean = share * price + (1 - share) * mean
+            if last is not None:
+                rise, fall = max(price - last, 0.0), max(last - price, 0.0)
+                if n <= self.strength + 1:
+                    gain, loss = gain + rise, loss + fall
+                    if n == self.strength + 1:
+                        gain, loss = gain / self.strength, loss / self.strength
+                else:
+                    gain, loss = gain + (rise - gain) / self.strength, loss + (fall - loss) / self.strength
+            strength = None if n <= self.strength else 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + gain / loss)
             up = up + 1 if last is not None and price > last else 0
             last = price
-            out.append((key[0], ts, price, value, up))
-        self.state.update((n, total, value, up, last))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "price", "ema_10", "run_up"])
+            out.append((price, mean, strength, up))
+        self.state.update((n, total, mean, gain, loss, last, up))
+        price, mean, strength, up = zip(*out)
+        return pd.DataFrame({"symbol": pd.Series([key[0]] * len(out), dtype=object), "ts": times(rows["us"]), "price": price, "ema_10": pd.Series(mean, dtype=float), "rsi_14": pd.Series(strength, dtype=float), "run_up": up})
 
-    def close(self) -> None:
-        pass
+
+def in_order(t: DataFrame, processor: InOrder, out: str, delay: str) -> DataFrame:
+    return t.select("symbol", "ts", "event_id", "price").withWatermark("ts", delay).groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
-def running_features(t: DataFrame) -> DataFrame:
-    return t.withWatermark("ts", DELAY).groupBy("symbol").transformWithStateInPandas(statefulProcessor=RunningFeatures(), outputStructType=EMA_OUT, outputMode="Append", timeMode="None")
+def running_features(t: DataFrame, delay: str = DELAY, span: int = MINUTE) -> DataFrame:
+    """T-7. Running features of all ticks that the watermark has reached; prices are present. Long delays want long spans, as each has an entry of state."""
+    return in_order(t, RunningFeatures(span), RUNNING_OUT, delay)
 
 
 ALARM_OUT = "symbol string, last_tick timestamp, alarm_at timestamp"
 
 
-class StaleAlarm(StatefulProcessor):
-    """A row for each hour without a tick: from the gaps between ticks, and from an event-time timer when no tick follows at all.
+class StaleAlarm(InOrder):
+    """T-6. A row for each hour without a tick, once the watermark has passed that hour: no tick can fill it any more.
 
-    State: the last tick, and whether its timer has raised the alarm already.
+    State: the last tick, and whether its alarm was raised.
     """
 
-    quiet = 3_600_000_000  # in microseconds, as the times below
+    quiet = 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType()), T.StructField("raised", T.BooleanType())]))
 
-    def timer(self, us: int) -> int:
-        """The first millisecond at which the alarm is due."""
-        return -(-(us + self.quiet) // 1000)
+    def alarms(self, key, ticks: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"symbol": pd.Series([key[0]] * len(ticks), dtype=object), "last_tick": times(ticks), "alarm_at": times(np.asarray(ticks) + self.quiet)})
 
-    def alarms(self, key, ticks: list[int]) -> pd.DataFrame:
-        at = pd.Series(ticks, dtype="int64")
-        return pd.DataFrame({"symbol": pd.Series([key[0]] * len(at), dtype=object), "last_tick": pd.to_datetime(at, unit="us"), "alarm_at": pd.to_datetime(at + self.quiet, unit="us")})
+    def passed(self, key, rows: np.ndarray) -> pd.DataFrame:
+        old, raised = self.last.get() if self.last.exists() else (None, True)
+        at = rows["us"] if old is None else np.r_[old, rows["us"]]
+        stale = at[:-1][np.diff(at) >= self.quiet]
+        if raised and old is not None:
+            stale = stale[stale != old]
+        latest = int(at[-1])
+        self.last.update((latest, raised and latest == old))
+        return self.alarms(key, stale)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(t for f in rows for t in f["ts"].astype("datetime64[us]").astype("int64").tolist())
-        gone = []
-        if self.last.exists():
-            old, raised = self.last.get()
-            if not raised:
-                self.handle.deleteTimer(self.timer(old))
-            gone = [old] if raised else []
-            times = sorted([old, *times])
-        found = [a for a, b in zip(times, times[1:]) if b - a >= self.quiet and a not in gone]
-        self.last.update((times[-1], times[-1] in gone))
-        if times[-1] not in gone:
-            self.handle.registerTimer(self.timer(times[-1]))
-        yield self.alarms(key, found)
+    def quiet_until(self, key, watermark: int) -> pd.DataFrame | None:
+        if not self.last.exists():
+            return None
+        latest, raised = self.last.get()
+        if raised or latest + self.quiet > watermark:
+            return None
+        self.last.update((latest, True))
+        return self.alarms(key, np.array([latest]))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        us = self.last.get()[0]
-        self.last.update((us, True))
-        yield self.alarms(key, [us])
 
-    def close(self) -> None:
-        pass
+    def next_due(self) -> int | None:
+        latest, raised = self.last.get() if self.last.exists() else (0, True)
+        return None if raised else -(-(latest + self.quiet) // 1000)
 
 
-def stale_alarms(t: DataFrame) -> DataFrame:
-    return t.withWatermark("ts", DELAY).groupBy("symbol").transformWithStateInPandas(statefulProcessor=StaleAlarm(), outputStructType=ALARM_OUT, outputMode="Append", timeMode="EventTime")
+def stale_alarms(t: DataFrame, delay: str = DELAY, span: int = MINUTE) -> DataFrame:
+    return in_order(t, StaleAlarm(span), ALARM_OUT, delay)
 
 
 #: The state store that timers and several states of one key need.
