@@ -91,6 +91,41 @@ def cross_venue(quotes: DataFrame, fee: float = 0.001, by: str = "symbol", venue
     return df.filter("sell_venue <> buy_venue").withColumn("net_spread", F.col("sell_price") * (1 - fee) / (F.col("buy_price") * (1 + fee)) - 1)
 
 
+def venue_quotes(quotes: DataFrame, venues: Sequence[str], stale: str = "1 day", by: str = "symbol", venue: str = "venue", time: str = "ts") -> DataFrame:
+    """quotes with the latest quote of each venue at or before their time, if no older than stale: an array of (venue, bid, ask).
+
+    A k-way as-of in one sorted pass: each row carries the last quote of every venue. Passes
+    run by day, so that a busy symbol is many tasks; what a day begins with comes from the
+    last quotes of the days before it, a table of a row for each symbol and day. Quotes of
+    one time count in order of their venue; the columns grow with the venues, which are few.
+    """
+    quote = F.struct(F.col(time).alias("t"), "bid", "ask")
+    of = [F.when(F.col(venue) == v, quote) for v in venues]
+    q = quotes.withColumn("_day", F.to_date(time))
+    ends = q.groupBy(by, "_day").agg(*[F.max_by(c, F.when(c.isNotNull(), F.col(time))).alias(f"_end_{k}") for k, c in enumerate(of)])
+    before = Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(by, "_day", *[F.last(f"_end_{k}", ignorenulls=True).over(before).alias(f"_start_{k}") for k in range(len(venues))])
+    w = Window.partitionBy(by, "_day").orderBy(time, venue).rowsBetween(Window.unboundedPreceding, 0)
+    q = q.withColumns({f"_own_{k}": F.last(c, ignorenulls=True).over(w) for k, c in enumerate(of)}).join(starts, [by, "_day"])
+    latest = [F.coalesce(f"_own_{k}", f"_start_{k}") for k in range(len(venues))]
+    fresh = [F.when(x["t"] >= F.col(time) - F.expr(f"INTERVAL {stale}"), F.struct(F.lit(v).alias("venue"), x["bid"].alias("bid"), x["ask"].alias("ask"))) for v, x in zip(venues, latest)]
+    return q.select(*quotes.columns, F.array_compact(F.array(*fresh)).alias("latest"))
+
+
+def venue_spread(quotes: DataFrame, venues: Sequence[str], fee: float = 0.001, stale: str = "1 day", by: str = "symbol", venue: str = "venue", time: str = "ts") -> DataFrame:
+    """J14. At each quote's time the best net spread between two venues: the bid of one, less fees, over the ask of another, with fees.
+
+    Only the two best bids and asks can be part of it, as one venue can't be both sides.
+    """
+    df = venue_quotes(quotes, venues, stale, by, venue, time)
+    bids = F.slice(F.sort_array(F.transform("latest", lambda x: F.struct(x["bid"].alias("bid"), x["venue"].alias("sell_venue"))), asc=False), 1, 2)
+    asks = F.slice(F.sort_array(F.transform("latest", lambda x: F.struct(x["ask"].alias("ask"), x["venue"].alias("buy_venue")))), 1, 2)
+    net = lambda b, a: F.struct((b["bid"] * (1 - fee) / (a["ask"] * (1 + fee)) - 1).alias("net_spread"), b["sell_venue"].alias("sell_venue"), a["buy_venue"].alias("buy_venue"), b["bid"].alias("bid"), a["ask"].alias("ask"))
+    pairs = F.flatten(F.transform(bids, lambda b: F.transform(asks, lambda a: net(b, a))))
+    best = F.array_max(F.filter(pairs, lambda p: p["sell_venue"] != p["buy_venue"]))
+    return df.withColumn("_best", best).filter("_best IS NOT NULL").select(by, time, "_best.*")
+
+
 def basket_premium(holdings: DataFrame, prices: DataFrame, fund_prices: DataFrame) -> DataFrame:
     """J15. holdings(fund, symbol, shares), prices(symbol, date, close), fund_prices(fund, date, price): value of a fund's basket and its premium."""
     nav = holdings.join(prices, "symbol").groupBy("fund", "date").agg(F.sum(F.col("shares") * F.col("close")).alias("basket_value"), F.count(F.lit(1)).alias("n_held"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qpanel.functions import orders
 from qpanel.functions.windows import across, by_symbol
 
 HORIZONS = (1, 3, 5, 10, 20)
@@ -103,3 +105,29 @@ def excursion_report(paths: DataFrame, by: Sequence[str] = ("symbol",)) -> DataF
         F.count(F.lit(1)).alias("n"), F.avg("mae").alias("mean_mae"), F.percentile("mae", 0.5).alias("median_mae"), F.avg("mfe").alias("mean_mfe"), F.percentile("mfe", 0.5).alias("median_mfe"), F.avg("time_to_mfe").alias("mean_time_to_mfe"), F.avg((F.col("mae") <= -STOP).cast("double")).alias("stop_hit_rate"),
     )
     return df.withColumn("mae_mfe_ratio", F.try_divide(F.abs("mean_mae"), F.col("mean_mfe")))
+
+
+def first_passages(panel: DataFrame, stop: Column, target: Column, horizon: int = 60) -> DataFrame:
+    """L10. panel with the stop and the target of a position opened at each bar's close, and how many bars later a low first reaches the one and a high the other.
+
+    Levels are any of the bar's columns, such as the close less a multiple of the ATR;
+    bars to either are null if the next horizon bars don't reach it. hit is 'stop' where
+    the stop comes first or both in one bar, 'profit' where the target does, 'none', or
+    null where a level is missing or the history ends before the horizon and either.
+    """
+    df = panel.withColumns({"stop_level": stop.cast("double"), "target_level": target.cast("double")})
+    df = orders.added(df, {
+        "bars_to_stop": lambda f: orders.first_at_most(orders.numbers(f, "low"), orders.numbers(f, "stop_level"), horizon),
+        "bars_to_profit": lambda f: orders.first_at_least(orders.numbers(f, "high"), orders.numbers(f, "target_level"), horizon),
+        "_left": lambda f: np.arange(len(f), 0, -1) - 1,
+    })
+    s, p = F.col("bars_to_stop"), F.col("bars_to_profit")
+    hit = F.when(s <= F.coalesce(p, s), "stop").when(p.isNotNull(), "profit").when((F.col("_left") >= horizon), "none")
+    return df.withColumn("hit", F.when(F.col("stop_level").isNotNull() & F.col("target_level").isNotNull(), hit)).drop("_left")
+
+
+def passage_report(passages: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """L10. For each group: positions with an outcome, the shares stopped and in profit first, and the mean and median bars to a profit that came first."""
+    won = F.when(F.col("hit") == "profit", F.col("bars_to_profit"))
+    share = lambda k: F.avg((F.col("hit") == k).cast("double"))
+    return passages.filter("hit IS NOT NULL").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share("stop").alias("stop_hit_rate"), share("profit").alias("profit_rate"), F.avg(won).alias("mean_bars_to_profit"), F.percentile(won, 0.5).alias("median_bars_to_profit"))

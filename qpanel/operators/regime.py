@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qpanel.functions import orders
 from qpanel.functions.windows import by_symbol, change, from_bar, high, lag, low, mean0, ratio, std, trailing
 
 from .spec import FeatureSpec
@@ -84,3 +85,8 @@ def trailing_percentile(x: str, n: int) -> Column:
     )
 
 
+
+
+def expanding_percentiles(df: DataFrame, columns: dict[str, str], least: int = 60) -> DataFrame:
+    """W40. df with the percentile of each column's value within its symbol's own history so far, from least values on: columns maps new names to old ones."""
+    return orders.added(df, {new: (lambda f, c=old: orders.expanding_percentile(orders.numbers(f, c), least)) for new, old in columns.items()})

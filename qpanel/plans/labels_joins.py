@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qpanel.functions.windows import fixed
+from qpanel.functions.windows import fixed, lag
+from qpanel.functions.windows import mean0 as rolling_mean
 from qpanel.operators import joins, labels, residual
 from qpanel.operators.spec import compute
 from qpanel.sources.bars import table
 
 from .features import every_spec, sample
-from .sql import BARS, BENCH, W
+from .sql import BARS, BENCH, W, mean0
 from .sql import fixed as fx
 
 H = labels.HORIZONS
@@ -105,6 +106,24 @@ def excursion(spark, sf_dir):
     return df.select("symbol", "n", *[fixed(c).alias(c) for c in df.columns[2:]])
 
 
+TR_SQL = "CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END"
+
+
+@query("l10_first_passage", f"""WITH {BARS}, tr AS (SELECT *, {TR_SQL} AS tr FROM panel {W}), lv AS (SELECT symbol, date, i, close - 2 * atr AS stop, close + 3 * atr AS target FROM (SELECT *, {mean0('tr', 14)} AS atr FROM tr {W}) WHERE atr IS NOT NULL
+  ), last_ AS (SELECT symbol, max(i) AS n FROM panel GROUP BY symbol
+  ), hits AS (SELECT l.symbol, l.i, min(q.i - l.i) FILTER (q.low <= stop) AS s, min(q.i - l.i) FILTER (q.high >= target) AS p FROM lv l LEFT JOIN panel q ON q.symbol = l.symbol AND q.i BETWEEN l.i + 1 AND l.i + 45 GROUP BY l.symbol, l.i
+  ), h AS (SELECT *, CASE WHEN s <= coalesce(p, s) THEN 'stop' WHEN p IS NOT NULL THEN 'profit' WHEN n - i >= 45 THEN 'none' END AS hit FROM hits JOIN last_ USING (symbol))
+  SELECT symbol, count(*) AS n, {fx("avg((hit = 'stop')::INT)")} AS stop_hit_rate, {fx("avg((hit = 'profit')::INT)")} AS profit_rate, {fx("avg(p) FILTER (hit = 'profit')")} AS mean_bars_to_profit, {fx("quantile_cont(p, 0.5) FILTER (hit = 'profit')")} AS median_bars_to_profit FROM h WHERE hit IS NOT NULL GROUP BY symbol""")
+def passages(spark, sf_dir):
+    """Stops two, and targets three average true ranges away from each close, over 45 bars."""
+    p = sample(spark, sf_dir)
+    before = lag("close")
+    tr = F.when(before.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    p = p.withColumn("tr", tr).withColumn("atr", rolling_mean("tr", 14))
+    df = labels.passage_report(labels.first_passages(p, F.col("close") - 2 * F.col("atr"), F.col("close") + 3 * F.col("atr"), 45))
+    return df.select("symbol", "n", *[fixed(c).alias(c) for c in df.columns[2:]])
+
+
 @query("j3_bars_after_signal", f"WITH {BARS}, {OBSERVED}, o AS (SELECT obs.*, coalesce(max(panel.i), 0) AS own FROM obs LEFT JOIN panel ON panel.symbol = obs.symbol AND panel.date <= obs.signal_date GROUP BY ALL) SELECT observation_id, o.symbol, panel.date AS bar_date, panel.close AS bar_close, CAST(panel.i - own AS INT) AS after FROM o JOIN panel ON panel.symbol = o.symbol AND panel.i BETWEEN own + 1 AND own + 5")
 def after_signal(spark, sf_dir):
     return joins.bars_after(observations(spark, sf_dir), sample(spark, sf_dir), 5).select("observation_id", "symbol", "bar_date", "bar_close", "after")
@@ -171,6 +190,24 @@ def venues(spark, sf_dir):
     return joins.cross_venue(q).withColumn("net_spread", fixed("net_spread"))
 
 
+VENUES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+#: Quotes of orders at times of their own: no two are at one time.
+QUOTES_SQL = "quotes AS (SELECT o_orderstatus AS symbol, o_orderpriority AS venue, o_orderdate + to_seconds(o_orderkey % 86400) + to_microseconds(CAST(o_orderkey AS BIGINT)) AS ts, o_totalprice AS bid, o_totalprice * (1.001::DOUBLE + 0.001::DOUBLE * (o_custkey % 4)) AS ask FROM orders)"
+
+
+@query("j14_venue_quotes", f"""WITH {QUOTES_SQL}, v AS (SELECT DISTINCT venue FROM quotes), g AS (SELECT q.symbol, q.ts, v.venue FROM quotes q CROSS JOIN v), l AS (
+    SELECT g.symbol, g.ts, g.venue, q.bid, q.ask FROM g ASOF JOIN quotes q ON g.symbol = q.symbol AND g.venue = q.venue AND g.ts >= q.ts WHERE q.ts >= g.ts - INTERVAL 6 HOUR
+  ), p AS (SELECT s.symbol, s.ts, s.bid, b.ask, s.venue AS sell_venue, b.venue AS buy_venue, s.bid * (1 - 0.001::DOUBLE) / (b.ask * (1 + 0.001::DOUBLE)) - 1 AS net FROM l s JOIN l b ON s.symbol = b.symbol AND s.ts = b.ts AND s.venue <> b.venue
+  ), x AS (SELECT symbol, ts, arg_max({{'bid': bid, 'ask': ask, 'sell': sell_venue, 'buy': buy_venue, 'net': net}}, (net, sell_venue, buy_venue)) AS best FROM p GROUP BY symbol, ts)
+  SELECT symbol, ts, best.bid AS bid, best.ask AS ask, best.sell AS sell_venue, best.buy AS buy_venue, {fx('best.net')} AS net_spread FROM x""")
+def venue_quotes(spark, sf_dir):
+    """Venues that quote at times of their own, with bid and ask."""
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.col("o_orderkey") % 86400) + F.make_dt_interval(secs=(F.col("o_orderkey") / 1e6).cast("decimal(18,6)"))
+    ask = F.col("o_totalprice") * (F.lit(1.001) + F.lit(0.001) * (F.col("o_custkey") % 4))
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderpriority").alias("venue"), at.alias("ts"), F.col("o_totalprice").alias("bid"), ask.alias("ask"))
+    return joins.venue_spread(q, VENUES, stale="6 hours").withColumn("net_spread", fixed("net_spread"))
+
+
 @query("j15_basket_premium", f"WITH {BARS}, {BENCH}, n AS (SELECT sector AS fund, date, sum(1.0::DOUBLE * close) AS basket_value, count(*) AS n_held, sum(open) AS price FROM panel JOIN sectors USING (symbol) GROUP BY sector, date) SELECT fund, date, n_held, {fx('price / basket_value - 1')} AS premium FROM n")
 def premium(spark, sf_dir):
     p = sample(spark, sf_dir).withColumn("fund", residual.sector_of(F.col("symbol")))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from qpanel.functions import text
-from qpanel.functions.windows import by_symbol, fixed
-from qpanel.operators import catalogue, events, ledger, metrics, regime, residual, spec
+from qpanel.functions.windows import by_symbol, fixed, std
+from qpanel.operators import catalogue, events, fundamentals, ledger, metrics, regime, residual, spec
 from qpanel.sources import bars as sources
 from qpanel.sources import store
 from qpanel.sources.bars import bars_from_lines, table
@@ -158,6 +158,18 @@ def percentiles(spark, sf_dir):
     return df.select("symbol", "date", regime.trailing_percentile("dollars", 60).alias("dollar_volume_percentile"))
 
 
+VOL = fx("stddev_pop(returns) OVER " + r(20), 9)
+
+
+@query("w40_expanding_percentile", f"""WITH {BARS}, m AS (SELECT symbol, date, i, volume * close AS d, {at(21, VOL)} AS v FROM panel {W})
+  SELECT a.symbol, a.date, CASE WHEN count(b.d) >= 60 THEN count(*) FILTER (b.d <= a.d) / count(b.d) END AS dollar_volume_percentile, CASE WHEN a.v IS NOT NULL AND count(b.v) >= 60 THEN count(*) FILTER (b.v <= a.v) / count(b.v) END AS volatility_percentile
+  FROM m a JOIN m b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY a.symbol, a.date, a.i, a.d, a.v""")
+def expanding(spark, sf_dir):
+    """Dollar volume and 20-bar volatility against all of the symbol's history so far."""
+    df = sample(spark, sf_dir).withColumns({"dollars": F.col("volume") * F.col("close"), "vol": fixed(std("returns", 20, 21), 9)}).select("symbol", "date", "dollars", "vol")
+    return regime.expanding_percentiles(df, {"dollar_volume_percentile": "dollars", "volatility_percentile": "vol"}).drop("dollars", "vol")
+
+
 @query("w48_factor_residuals")
 def factors(spark, sf_dir):
     """Residuals to principal components: an eigenproblem that SQL does not state."""
@@ -212,6 +224,37 @@ def context(spark, sf_dir):
     return df.select("symbol", "date", *[fixed(c).alias(c) for c in ("vs_market", "vs_sector", "sector_vs_market")], "days_to_month_end", "week_close", "weekly_trend")
 
 
+#: Reports of each brand's quarters: a first one of a part of the lines, a restatement, and for every other quarter a second one after a year; estimates before and after the first report.
+FUNDAMENTALS_SQL = """lines AS (SELECT p_brand AS symbol, last_day(date_trunc('quarter', CAST(l_shipdate AS DATE)) + INTERVAL 2 MONTH) AS period, l_linenumber AS k, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey
+), sums AS (SELECT symbol, period, sum(q) FILTER (k <= 4) AS a, sum(q) AS b, sum(q) FILTER (k <> 2) AS c, sum(q) FILTER (k <= 2) * 2 AS e1, sum(q) FILTER (k <= 3) * 1.25 AS e2, sum(q) FILTER (k = 1) * 4 AS e3 FROM lines GROUP BY symbol, period
+), facts AS (SELECT symbol, period, period + 30 AS known, a AS value FROM sums WHERE a IS NOT NULL UNION ALL SELECT symbol, period, period + 70, b FROM sums UNION ALL SELECT symbol, period, period + 410, c FROM sums WHERE month(period) % 2 = 1 OR quarter(period) = 2 AND c IS NOT NULL
+), est AS (SELECT symbol, period, period - 15 AS known, e1 AS estimate FROM sums WHERE e1 IS NOT NULL UNION ALL SELECT symbol, period, period + 20, e2 FROM sums WHERE e2 IS NOT NULL UNION ALL SELECT symbol, period, period + 45, e3 FROM sums WHERE e3 IS NOT NULL)"""
+
+
+def fundamentals_of(spark, sf_dir):
+    """facts and estimates of the brands, as FUNDAMENTALS_SQL has them."""
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    rows = l.join(p, l["l_partkey"] == p["p_partkey"]).select(F.col("p_brand").alias("symbol"), F.last_day(F.add_months(F.trunc(F.to_date("l_shipdate"), "quarter"), 2)).alias("period"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"))
+    some = lambda c: F.sum(F.when(c, F.col("q")))
+    k = F.col("k")
+    s = rows.groupBy("symbol", "period").agg(some(k <= 4).alias("a"), F.sum("q").alias("b"), some(k != 2).alias("c"), (some(k <= 2) * 2).alias("e1"), (some(k <= 3) * 1.25).alias("e2"), (some(k == 1) * 4).alias("e3"))
+    at = lambda days, c, name: s.select("symbol", "period", F.date_add("period", days).alias("known"), F.col(c).cast("double").alias(name))
+    changed = (F.month("period") % 2 == 1) | (F.quarter("period") == 2)
+    return at(30, "a", "value").union(at(70, "b", "value")).union(at(410, "c", "value").filter(changed)), at(-15, "e1", "estimate").union(at(20, "e2", "estimate")).union(at(45, "e3", "estimate"))
+
+
+@query("w72_fundamentals", f"""WITH {BARS}, {FUNDAMENTALS_SQL}, last_ AS (SELECT p.symbol, p.date, max(f.period) AS period FROM panel p JOIN facts f ON f.symbol = p.symbol AND f.known <= p.date GROUP BY p.symbol, p.date
+  ), own AS (SELECT l.symbol, l.date, l.period, arg_max(f.value, f.known) AS value, arg_min(f.value, f.known) AS first_value, min(f.known) AS reported FROM last_ l JOIN facts f ON f.symbol = l.symbol AND f.period = l.period AND f.known <= l.date GROUP BY ALL
+  ), base AS (SELECT l.symbol, l.date, arg_max(f.value, f.known) AS base FROM last_ l JOIN facts f ON f.symbol = l.symbol AND f.period = last_day(l.period - INTERVAL 1 YEAR) AND f.known <= l.date GROUP BY ALL
+  ), best AS (SELECT o.symbol, o.date, arg_max(e.estimate, e.known) AS estimate FROM own o JOIN est e ON e.symbol = o.symbol AND e.period = o.period AND e.known < o.reported GROUP BY ALL)
+  SELECT p.symbol, p.date, o.period, CAST(o.value AS DOUBLE) AS value, {fx('CASE WHEN estimate <> 0 THEN (o.first_value - estimate) / abs(estimate) END')} AS surprise, {fx('CASE WHEN base > 0 THEN o.value / base - 1 END')} AS growth, CAST(p.date - o.reported AS INT) AS report_age
+  FROM panel p LEFT JOIN own o USING (symbol, date) LEFT JOIN base USING (symbol, date) LEFT JOIN best USING (symbol, date)""")
+def fundamental(spark, sf_dir):
+    """Surprise, growth and age of each brand's latest quarter as known on each bar's date, with restatements of quarters and of those a year before."""
+    out = fundamentals.fundamental_context(sample(spark, sf_dir).select("symbol", "date"), *fundamentals_of(spark, sf_dir))
+    return out.select("symbol", "date", "period", "value", fixed("surprise").alias("surprise"), fixed("growth").alias("growth"), "report_age")
+
+
 @query("w66_pullback_features", f"WITH {BARS} SELECT symbol, date, {fx(at(5, f'avg(close) OVER {r(5)}'), 4)} AS fast_ma, {fx(at(20, f'avg(close) OVER {r(20)}'), 4)} AS slow_ma, {at(10, f'close / (max(close) OVER {r(10)}) - 1')} AS pullback FROM panel {W}")
 def pullbacks(spark, sf_dir):
     return events.pullback_features(sample(spark, sf_dir)).select("symbol", "date", fixed("fast_ma", 4).alias("fast_ma"), fixed("slow_ma", 4).alias("slow_ma"), "pullback")

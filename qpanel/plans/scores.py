@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from qpanel.functions import binomial
 from qpanel.functions.windows import by_symbol, fixed
 from qpanel.operators import events, labels, lineage, residual, scoring, spec, validation
 from qpanel.sources import store
@@ -478,6 +479,26 @@ def forbidden(spark, sf_dir):
     return validation.forbidden_language(table(spark, sf_dir, "documents"), TOKENS)
 
 
+def tail_sql(k, p):
+    """The chance of k hits or more, as a plain sum."""
+    return f"coalesce(list_sum(list_transform(range({k}, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))), 0)"
+
+
+@query("v20_hit_rates", f"""WITH RECURSIVE {FEATS}, g AS (SELECT symbol, mom_5d > 0 AS rising, count(*) AS n, count(*) FILTER (forward_return_5d > 0) AS k FROM feats WHERE mom_5d IS NOT NULL AND forward_return_5d IS NOT NULL GROUP BY ALL
+  ), walk(symbol, rising, n, k, step, l1, l2, h1, h2) AS (
+    SELECT symbol, rising, n, k, 0, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM g
+    UNION ALL
+    SELECT symbol, rising, n, k, step + 1, CASE WHEN lo THEN (l1 + l2) / 2 ELSE l1 END, CASE WHEN lo THEN l2 ELSE (l1 + l2) / 2 END, CASE WHEN hi THEN (h1 + h2) / 2 ELSE h1 END, CASE WHEN hi THEN h2 ELSE (h1 + h2) / 2 END
+    FROM (SELECT *, {tail_sql('k', '((l1 + l2) / 2)')} < 0.025 AS lo, 1 - {tail_sql('k + 1', '((h1 + h2) / 2)')} > 0.025 AS hi FROM walk WHERE step < 40)
+  ), p AS (SELECT *, {tail_sql('k', '0.5::DOUBLE')} AS up, 1 - {tail_sql('k + 1', '0.5::DOUBLE')} AS down FROM walk WHERE step = 40)
+  SELECT symbol, rising, n, k AS hits, {fx('least(up, 1)')} AS p_upper, {fx('least(1, 2 * least(up, down))')} AS p_value, {fx('CASE WHEN k = 0 THEN 0 ELSE l1 END')} AS low, {fx('CASE WHEN k = n THEN 1 ELSE h1 END')} AS high FROM p""")
+def hit_rates(spark, sf_dir):
+    """Whether returns after a rise and after a fall are positive more or less often than a coin: exact tails and intervals."""
+    df = scored_input(spark, sf_dir, ["mom_5d"]).filter("mom_5d IS NOT NULL AND forward_return_5d IS NOT NULL").groupBy("symbol", (F.col("mom_5d") > 0).alias("rising"))
+    df = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("forward_return_5d") > 0).alias("hits")).withColumn("t", binomial.hit_rate_test("hits", "n"))
+    return df.select("symbol", "rising", "n", "hits", *[fixed(F.col("t")[c]).alias(c) for c in ("p_upper", "p_value", "low", "high")])
+
+
 @query("v20_multiple_testing", f"WITH {IC}, t AS (SELECT {KEY}, rank_ic * sqrt((n_obs - 2) / (1 - rank_ic * rank_ic)) AS t FROM ic WHERE rank_ic IS NOT NULL), k AS (SELECT {KEY}, 1 / (1 + 0.2316419::DOUBLE * abs(t)) AS k, t FROM t), p AS (SELECT {KEY}, 2 * exp(-t * t / 2) / 2.5066282746310002::DOUBLE * (k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE))))) AS p FROM k), o AS (SELECT *, row_number() OVER (ORDER BY p, symbol, feature, label) AS r, count(*) OVER () AS m FROM p), h AS (SELECT *, p <= 0.05 / (m - r + 1) AS ok, (SELECT sum(1.0 / j) FROM range(1, CAST(m AS BIGINT) + 1) q(j)) AS hm FROM o), b AS (SELECT max(r) FILTER (p <= r * 0.05 / (m * hm)) AS last FROM h) SELECT {KEY}, {fx('p')} AS p_value, p * m <= 0.05 AS bonferroni, bool_and(ok) OVER (ORDER BY r) AS holm, r <= coalesce((SELECT last FROM b), 0) AS bhy FROM h")
 def testing(spark, sf_dir):
     ic = scoring.rank_ic(scoring.pairs(scored_input(spark, sf_dir), FEATURES, LABELS)).filter("rank_ic IS NOT NULL")
