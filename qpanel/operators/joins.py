@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,3 +161,69 @@ def rolling_pair_correlation(panel: DataFrame, window: int = 60) -> DataFrame:
     df = p.withColumnsRenamed({"symbol": "a", "returns": "ra"}).join(p.withColumnsRenamed({"symbol": "b", "returns": "rb"}), "date").filter("a < b")
     w = Window.partitionBy("a", "b").orderBy("date").rowsBetween(-(window - 1), 0)
     return df.withColumn("corr", F.when(F.count(F.lit(1)).over(w) >= window, safe_corr(F.col("ra"), F.col("rb"), w))).withColumn("spike", F.abs("corr") >= 0.5)
+
+
+def pair_correlations(panel: DataFrame, window: int = 60, blocks: int = 8, candidates: float = 0.0) -> DataFrame:
+    """A36. Trailing correlation of the returns of all pairs a < b of symbols over their common dates: (a, b, date, corr), from the date on that fills the window.
+
+    Symbols fall into blocks, and each task holds two blocks: a bar goes to as many tasks
+    as there are blocks, not as there are other symbols, and dates are lined up once for
+    a tile instead of once for a pair. With candidates above 0, pairs whose correlation
+    over all their dates is smaller in absolute value are left out before any window.
+    More blocks make smaller tiles.
+    """
+    side = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    rows = panel.filter("returns IS NOT NULL").select("symbol", "date", "returns", side.alias("_own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = rows.withColumn("_other", other).select("symbol", "date", "returns", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own")
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        dates, day = np.unique(frame["date"].to_numpy(), return_inverse=True)
+        names, at = np.unique(frame["symbol"].to_numpy(dtype=str), return_inverse=True)
+        x = np.full((len(names), len(dates)), np.nan)
+        x[at, day] = frame["returns"].to_numpy(dtype=float)
+        own = np.empty(len(names), dtype=int)
+        own[at] = frame["_own"].to_numpy()
+        same, out = frame["_p"].iat[0] == frame["_q"].iat[0], []
+        for i in range(len(names)):
+            for j in range(i + 1, len(names)):
+                if not same and own[i] == own[j]:
+                    continue
+                both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+                a, b = x[i, both], x[j, both]
+                if len(a) < window or candidates > 0 and not abs(correlated(a[None], b[None])[0]) >= candidates:
+                    continue
+                r = correlated(np.lib.stride_tricks.sliding_window_view(a, window), np.lib.stride_tricks.sliding_window_view(b, window))
+                out.append(pd.DataFrame({"a": names[i], "b": names[j], "date": dates[both][window - 1 :], "corr": r}))
+        if not out:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("a", "b", "date", "corr")})
+        found = pd.concat(out, ignore_index=True)
+        found["corr"] = found["corr"].astype(object).where(~found["corr"].isna(), None)
+        return found
+
+    return rows.groupBy("_p", "_q").applyInPandas(tile, "a string, b string, date date, corr double")
+
+
+def correlated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of each row of a with that of b; NaN without variance."""
+    a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+        return np.where(d > 0, (a * b).sum(axis=1) / d, np.nan)
+
+
+def correlation_regimes(correlations: DataFrame, panel: DataFrame, history: int = 60, width: float = 3.0, vol_window: int = 20) -> DataFrame:
+    """A36. correlations with spike, a jump of more than width deviations from the pair's own last history values, and the volatility regime of the date.
+
+    The regime is high where the market's volatility over vol_window dates is above the
+    median of its own history up to that date; a row for each date, which is one small
+    series, so it has one window over all dates.
+    """
+    w = Window.partitionBy("a", "b").orderBy("date").rowsBetween(-history, -1)
+    full = F.count("corr").over(w) >= history
+    spike = F.abs(F.col("corr") - F.avg("corr").over(w)) > width * F.stddev_pop("corr").over(w)
+    days = Window.partitionBy(F.lit(0)).orderBy("date")
+    market = panel.groupBy("date").agg(F.avg("returns").alias("m")).withColumn("_vol", F.when(F.count("m").over(days.rowsBetween(-(vol_window - 1), 0)) >= vol_window, F.stddev_pop("m").over(days.rowsBetween(-(vol_window - 1), 0))))
+    median = F.percentile("_vol", 0.5).over(days.rowsBetween(Window.unboundedPreceding, 0))
+    market = market.select("date", F.when(F.col("_vol") > median, "high").when(F.col("_vol").isNotNull(), "low").alias("regime"))
+    return correlations.withColumn("spike", F.when(full, spike)).join(market, "date")

@@ -238,3 +238,14 @@ def correlations(spark, sf_dir):
     return df.groupBy("a", "b").agg(F.count("corr").alias("n"), fixed(F.avg("corr")).alias("mean_corr"), fixed(F.max(F.abs("corr"))).alias("most"), F.count_if("spike").alias("n_spikes"))
 
 
+@query("a36_correlation_regimes", f"""WITH {BARS}, j AS (SELECT p.symbol AS a, q.symbol AS b, p.date, p.returns AS ra, q.returns AS rb FROM panel p JOIN panel q ON p.date = q.date AND p.symbol < q.symbol
+  ), c AS (SELECT a, b, date, CASE WHEN stddev_pop(ra) OVER {PW} * stddev_pop(rb) OVER {PW} <> 0 THEN covar_pop(ra, rb) OVER {PW} / (stddev_pop(ra) OVER {PW} * stddev_pop(rb) OVER {PW}) END AS corr, count(*) OVER {PW} AS k FROM j
+  ), h AS (SELECT *, count(corr) OVER o AS n, avg(corr) OVER o AS m, stddev_pop(corr) OVER o AS s FROM c WHERE k >= 60 WINDOW o AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)
+  ), mk AS (SELECT date, avg(returns) AS m FROM panel GROUP BY date), v AS (SELECT date, CASE WHEN count(m) OVER d >= 20 THEN stddev_pop(m) OVER d END AS vol FROM mk WINDOW d AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+  ), g AS (SELECT date, CASE WHEN vol > quantile_cont(vol, 0.5) OVER (ORDER BY date) THEN 'high' WHEN vol IS NOT NULL THEN 'low' END AS regime FROM v)
+  SELECT a, b, regime, count(corr) AS n, {fx('avg(corr)')} AS mean_corr, count(*) FILTER (n >= 60 AND abs(corr - m) > 3 * s) AS n_spikes FROM h JOIN g USING (date) GROUP BY a, b, regime""")
+def regimes_of_pairs(spark, sf_dir):
+    """Correlation of each pair by the market's volatility regime, and its jumps against its own history."""
+    p = sample(spark, sf_dir)
+    df = joins.correlation_regimes(joins.pair_correlations(p), p)
+    return df.groupBy("a", "b", "regime").agg(F.count("corr").alias("n"), fixed(F.avg("corr")).alias("mean_corr"), F.count_if("spike").alias("n_spikes"))

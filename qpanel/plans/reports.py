@@ -433,6 +433,23 @@ def store_summary(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("version", "category", "n_features", "n_values")
 
 
+@query("s11_mergeable_summaries", f"""WITH {FEATS}, u AS (SELECT f.feature, f.v FROM feats, LATERAL (VALUES ('mom_5d', mom_5d), ('mom_20d', mom_20d), ('rvol_20', rvol_20)) f(feature, v)), p(p) AS (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE))
+  SELECT feature, p AS probability, count(*) AS n_values, count(*) - count(v) AS n_nan, true AS rank_within, true AS distinct_within FROM u, p GROUP BY feature, p""")
+def mergeable(spark, sf_dir):
+    """Features written as two versions, the odd and the even bars; percentiles and distinct values of both together from the catalog, each held against all values: within three times the sketches' deviation."""
+    s, names = store.FeatureStore(spark, shared_root(spark)), ["mom_5d", "mom_20d", "rvol_20"]
+    wide = scored_input(spark, sf_dir, names).select("symbol", "date", "i", *names)
+    for k, version in enumerate(("odd", "even")):
+        s.write(wide.filter(F.col("i") % 2 == 1 - k).drop("i"), {n: "statistical" for n in names}, version)
+    levels = [0.05, 0.5, 0.95]
+    found = s.distributions(levels, ["odd", "even"])
+    each = found.select("feature", "n_values", "n_nan", "n_distinct", F.posexplode("percentiles").alias("k", "cut")).withColumn("probability", F.element_at(F.array(*map(F.lit, levels)), F.col("k") + 1))
+    v = wide.select(*names).unpivot([], names, "feature", "value").filter("value IS NOT NULL")
+    ranks = v.join(F.broadcast(each.select("feature", "probability", "cut")), "feature").groupBy("feature", "probability").agg(F.avg((F.col("value") <= F.col("cut")).cast("double")).alias("rank"), F.countDistinct("value").alias("exact"))
+    df = each.join(ranks, ["feature", "probability"])
+    return df.select("feature", "probability", "n_values", "n_nan", (F.abs(F.col("rank") - F.col("probability")) <= 0.02).alias("rank_within"), (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_within"))
+
+
 @query("s16_s17_ledger_round_trip", f"WITH {OBSERVED} SELECT observation_id, symbol, CAST(signal_date AS VARCHAR) AS signal_date, amount, 'run1' AS run_id FROM obs")
 def ledger_round_trip(spark, sf_dir):
     """A ledger written as CSV, read with a fixed schema, and sent to a report as JSON."""

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 LONG = "symbol string, date date, feature string, value double, version string, category string"
 MANIFEST = "version string, created timestamp, n_rows long, n_symbols long"
-CATALOG = "symbol string, category string, feature string, n_values long, n_nan long, mean double, std double, version string"
+CATALOG = "symbol string, category string, feature string, n_values long, n_nan long, mean double, std double, quantiles binary, distincts binary, version string"
 
 
 class FeatureStore:
@@ -42,7 +42,7 @@ class FeatureStore:
         # one file per category and task: rows of a symbol stay together
         long.repartition("category", "symbol").sortWithinPartitions("feature", "symbol", "date").write.partitionBy("version", "category").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.root}/features")
         saved = self._read("features", LONG).filter(F.col("version") == version)
-        stats = saved.groupBy("symbol", "category", "feature").agg(F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("value").isNull()).alias("n_nan"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+        stats = saved.groupBy("symbol", "category", "feature").agg(F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("value").isNull()).alias("n_nan"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.kll_sketch_agg_double("value").alias("quantiles"), F.hll_sketch_agg(F.col("value").cast("string")).alias("distincts"))
         stats.withColumn("version", F.lit(version)).write.partitionBy("version").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.root}/catalog")
         row = wide.agg(F.lit(version).alias("version"), F.current_timestamp().alias("created"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("symbol").alias("n_symbols"))
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
@@ -82,6 +82,16 @@ class FeatureStore:
             df = df.filter(F.col("fqn") == fqn)
         return df.filter(F.col("feature").isin(list(features))) if features is not None else df
 
+    def distributions(self, probabilities: Sequence[float] = (0.05, 0.5, 0.95), versions: Sequence[str] | None = None, by: Sequence[str] = ("feature",)) -> DataFrame:
+        """S11, O7. Percentiles and numbers of distinct values of any set of versions and symbols, merged from the catalog's sketches: no value is read again.
+
+        Ranks of percentiles are off by 1.65 % at most with a confidence of 99 %, numbers of distinct values by some 1.6 % (a deviation).
+        """
+        c = self.catalog() if versions is None else self.catalog().filter(F.col("version").isin(list(versions)))
+        c = c.groupBy(*by).agg(F.sum("n_values").alias("n_values"), F.sum("n_nan").alias("n_nan"), F.kll_merge_agg_double("quantiles").alias("_q"), F.hll_union_agg("distincts").alias("_d"))
+        at = F.when(F.col("n_values") > F.col("n_nan"), F.kll_sketch_get_quantile_double("_q", F.array(*[F.lit(float(p)) for p in probabilities])))
+        return c.select(*by, "n_values", "n_nan", F.hll_sketch_estimate("_d").alias("n_distinct"), at.alias("percentiles"))
+
     def summary(self, version: str = "latest") -> DataFrame:
         """S12. Features and rows of each category."""
         v = self.latest() if version == "latest" else version
