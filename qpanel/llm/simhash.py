@@ -16,8 +16,10 @@ from .shared import as_bytes, batch, spread_join, written
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Fingerprints in one trie pair; larger ones are split at deeper nodes.
 MOST_IN_PAIR = 50_000
-#: Bits by which a large pair is split, shingles that are hashed at once, and rows of a joining task.
-STEP, SHINGLES, TASK_ROWS = 8, 50_000, 250_000
+#: Bits by which a large pair is split.
+STEP = 4
+#: Shingles that are hashed at once, and rows of a joining task.
+SHINGLES, TASK_ROWS = 20_000, 150_000
 #: Node pairs of a traversal's level, and fingerprint pairs compared, that are held at once.
 FRONTIER = 1_000_000
 
@@ -38,8 +40,8 @@ class Scheme:
     turns: int = 4
 
 
-#: The query's scheme, and that of a stage on five-word shingles: 38 of 256 bits differ at a Jaccard similarity of 0.8 (a cosine of 8/9).
-QUERY, SIMILAR = Scheme(), Scheme(width=5, words=4, budget=38, lead=14, turns=18)
+#: The query's scheme, and that of a stage on five-word shingles: 155 of 1,024 bits differ at a Jaccard similarity of 0.8 (a cosine of 8/9), and half a deviation more are let through.
+QUERY, SIMILAR = Scheme(), Scheme(width=5, words=16, budget=160, lead=14, turns=36)
 
 
 def fingerprint(text: bytes, scheme: Scheme = QUERY) -> bytes:
@@ -230,23 +232,24 @@ def links(fps: DataFrame, scheme: Scheme = QUERY, most_in_pair: int = MOST_IN_PA
     Each block in turn leads: fingerprints that agree on it share a subtree of the trie
     of that rotation, in which the whole budget is left. Subtrees with more than
     most_in_pair fingerprints are replaced by the pairs of their nodes STEP bits deeper
-    whose prefixes differ by no more than the budget, as often as needed. Each task
+    that exist and whose prefixes differ by no more than the budget, as often as needed. Each task
     joins the tries of its share and returns a spanning forest of the links found, never
-    the pairs themselves. The number of tasks grows with the fingerprints.
+    the pairs themselves. The number of tasks grows with the rows that the splits leave.
     """
     lead, budget, words = scheme.lead, scheme.budget, scheme.words
-    total = fps.count()
-    rows = written(turned(fps, scheme))
+    n_rows = fps.count() * scheme.turns
     p = F.shiftrightunsigned("x", 64 - lead)
-    rows = rows.select("turn", F.lit(lead).alias("depth"), p.alias("p"), p.alias("q"), F.lit(0).alias("side"), "x", "fp")
+    rows = turned(fps, scheme).select("turn", F.lit(lead).alias("depth"), p.alias("p"), p.alias("q"), F.lit(0).alias("side"), "x", "fp")
     key, done = ["turn", "depth", "p", "q"], []
     for depth in range(lead, 64 - STEP + 1, STEP):
-        sizes = rows.groupBy(*key).count().filter(F.col("count") > most_in_pair).select(*key)
-        if sizes.isEmpty():
+        sizes = written(rows.groupBy(*key).count().filter(F.col("count") > most_in_pair))
+        large = sizes.agg(F.sum("count")).first()[0]
+        if not large:
             break
-        sizes = written(sizes)
+        sizes = sizes.select(*key)
         done.append(rows.join(sizes, key, "left_anti"))
         rows = written(deeper(rows.join(sizes, key, "left_semi"), depth + STEP, budget))
+        n_rows += rows.count() - large
     for r in done:
         rows = rows.unionByName(r)
 
@@ -271,23 +274,26 @@ def links(fps: DataFrame, scheme: Scheme = QUERY, most_in_pair: int = MOST_IN_PA
             first = [max(x.tobytes(), y.tobytes()) for x, y in zip(a, b)]
             yield batch(schema, first, [min(x.tobytes(), y.tobytes()) for x, y in zip(a, b)])
 
-    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * scheme.turns // TASK_ROWS))
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // TASK_ROWS))
     return rows.repartition(tasks, *key).select(*key, "side", "x", "fp").mapInArrow(join, "a binary, b binary").filter("a > b")
 
 
 def deeper(rows: DataFrame, depth: int, budget: int) -> DataFrame:
-    """rows dealt to the node pairs at depth below theirs that the budget allows."""
-    masks = [m for m in range(2**STEP) if m.bit_count() <= budget]
-    mask = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    own = F.shiftrightunsigned("x", 64 - depth)
-    under = own.bitwiseAND(F.lit(2**STEP - 1)).bitwiseXOR(F.col("m"))
-    other = F.shiftleft(F.when(F.col("side") == 1, F.col("q")).otherwise(F.col("p")), STEP).bitwiseOR(under)
-    df = rows.withColumn("m", mask).withColumn("own", own).withColumn("other", other)
-    df = df.filter(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget)
-    within = F.when(F.col("m") == 0, 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    side = F.when(F.col("side") == 0, within).otherwise(F.col("side"))
-    first = side != 2
-    return df.select("turn", F.lit(depth).alias("depth"), F.when(first, F.col("own")).otherwise(F.col("other")).alias("p"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("q"), side.cast("int").alias("side"), "x", "fp")
+    """rows dealt to the node pairs at depth below theirs that the budget allows, of nodes that have rows.
+
+    A group has 2**STEP nodes on a side at most, so its pairs are few, whatever its rows.
+    """
+    key = ["turn", "depth", "p", "q"]
+    rows = rows.withColumn("own", F.shiftrightunsigned("x", 64 - depth))
+    nodes = written(rows.select(*key, "side", "own").distinct())
+    a, b = (nodes.select(*key, F.col("side").alias(f"side_{k}"), F.col("own").alias(k)) for k in "uv")
+    within = (F.col("side_u") == 0) & (F.col("side_v") == 0) & (F.col("u") <= F.col("v"))
+    pairs = a.join(b, key).filter((within | ((F.col("side_u") == 1) & (F.col("side_v") == 2))) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= budget))
+    same = (F.col("side_u") == 0) & (F.col("u") == F.col("v"))
+    first = pairs.select(*key, F.col("side_u").alias("side"), F.col("u").alias("own"), "u", "v", F.when(same, 0).otherwise(1).alias("to"))
+    second = pairs.filter(~same).select(*key, F.col("side_v").alias("side"), F.col("v").alias("own"), "u", "v", F.lit(2).alias("to"))
+    df = rows.join(written(first.unionByName(second)), [*key, "side", "own"])
+    return df.select("turn", F.lit(depth).alias("depth"), F.col("u").alias("p"), F.col("v").alias("q"), F.col("to").alias("side"), "x", "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = QUERY, most_in_pair: int = MOST_IN_PAIR) -> DataFrame:
