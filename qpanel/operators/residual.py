@@ -1,4 +1,4 @@
-"""Benchmark joins and residual features."""
+"""Benchmark joins and residual features."""
 
 from __future__ import annotations
 
@@ -84,26 +84,3 @@ def fit_quality(features: DataFrame) -> DataFrame:
     for cut, name in FIT_CUTS[1:]:
         fit = fit.when(F.col("median_r2") >= cut, name)
     return df.withColumn("fit", fit.otherwise("BLOCKED"))
-
-
-def factor_residuals(bars: DataFrame, symbols: list[str], k: int = 3) -> DataFrame:
-    """W48. Returns without their projection on the first k principal components of the date x symbol matrix.
-
-    The matrix has a row per date; its covariance is summed over partitions, and only
-    symbols x symbols numbers reach the driver.
-    """
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    wide = bars.filter(F.col("symbol").isin(symbols)).groupBy("date").pivot("symbol", symbols).agg(F.first("returns"))
-    means = wide.select(*[F.avg(f"`{s}`").alias(s) for s in symbols]).first()
-    filled = wide.select("date", *[(F.coalesce(F.col(f"`{s}`"), F.lit(means[s])) - F.lit(means[s] or 0.0)).alias(s) for s in symbols])
-    rows = VectorAssembler(inputCols=symbols, outputCol="x").transform(filled).select("date", "x")
-    model = PCA(k=k, inputCol="x", outputCol="z").fit(rows)
-    load = model.pc.toArray().tolist()
-    df = model.transform(rows).select("date", vector_to_array("x").alias("x"), vector_to_array("z").alias("z"))
-    parts = [
-        F.struct(F.lit(s).alias("symbol"), (F.col("x")[n] - sum(F.col("z")[j] * float(load[n][j]) for j in range(k))).alias("factor_residual"))
-        for n, s in enumerate(symbols)
-    ]
-    return df.select("date", F.explode(F.array(*parts)).alias("r")).select("date", "r.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from qpanel.functions import text
 from qpanel.functions.windows import by_symbol, fixed, std
-from qpanel.operators import catalogue, events, fundamentals, ledger, metrics, regime, residual, spec
+from qpanel.operators import catalogue, events, factors, fundamentals, ledger, metrics, regime, residual, spec
 from qpanel.sources import bars as sources
 from qpanel.sources import store
 from qpanel.sources.bars import bars_from_lines, table
@@ -171,11 +171,9 @@ def expanding(spark, sf_dir):
 
 
 @query("w48_factor_residuals")
-def factors(spark, sf_dir):
+def factor_residuals(spark, sf_dir):
     """Residuals to principal components: an eigenproblem that SQL does not state."""
-    p = sample(spark, sf_dir)
-    symbols = [x[0] for x in p.select("symbol").distinct().orderBy("symbol").collect()]
-    return residual.factor_residuals(p, symbols, min(3, len(symbols)))
+    return factors.factor_residuals(sample(spark, sf_dir))
 
 
 def catalogue_features(spark, sf_dir, names):
