@@ -349,9 +349,9 @@ def normal(spark, sf_dir):
     return sources.normalise(both).select(F.concat(F.lit("Brand#"), F.substring("symbol", 7, 9)).alias("symbol"), "date", "close")
 
 
-@query("s7_quality_profile", f"WITH {BARS}, a AS (SELECT *, CASE WHEN lag(close) OVER w > 0 THEN close / lag(close) OVER w - 1 END AS ret, close = lag(close) OVER w AS same FROM bars {W}), z AS (SELECT *, abs(ret - avg(ret) OVER p) / nullif(stddev_pop(ret) OVER p, 0) AS z FROM a WINDOW p AS (PARTITION BY symbol)), g AS (SELECT symbol, count(*) AS n_bars, (max(date) - min(date)) + 1 - count(DISTINCT date) AS missing_days, count(*) FILTER (z > 4) AS outliers, count(*) FILTER (same) AS flatline FROM z GROUP BY symbol) SELECT symbol, n_bars, missing_days, outliers, flatline, {fx('greatest(0, 100 - 10 * outliers / n_bars)')} AS score FROM g")
+@query("s7_quality_profile", f"WITH {BARS}, a AS (SELECT *, CASE WHEN lag(close) OVER w > 0 THEN close / lag(close) OVER w - 1 END AS ret, close = lag(close) OVER w AS same FROM bars {W}), z AS (SELECT *, abs(ret - avg(ret) OVER p) / nullif(stddev_pop(ret) OVER p, 0) AS z FROM a WINDOW p AS (PARTITION BY symbol)), g AS (SELECT symbol, count(*) AS n_bars, (5 * (((max(date) + 1) - DATE '1970-01-05') // 7) + least(((max(date) + 1) - DATE '1970-01-05') % 7, 5)) - (5 * ((min(date) - DATE '1970-01-05') // 7) + least((min(date) - DATE '1970-01-05') % 7, 5)) AS sessions, count(DISTINCT CASE WHEN isodow(date) <= 5 THEN date END) AS met, count(*) FILTER (isodow(date) > 5) AS out_of_session, count(*) FILTER (z > 4) AS outliers, count(*) FILTER (same) AS flatline FROM z GROUP BY symbol) SELECT symbol, n_bars, sessions - met AS missing_days, out_of_session, outliers, flatline, {fx('greatest(0, 100 - coalesce(10 * ((sessions - met) / nullif(sessions, 0)), 0) - 10 * outliers / n_bars)')} AS score FROM g")
 def profile(spark, sf_dir):
-    return sources.quality_profile(bars_from_lines(spark, sf_dir)).select("symbol", "n_bars", "missing_days", "outliers", "flatline", fixed("score").alias("score"))
+    return sources.quality_profile(bars_from_lines(spark, sf_dir)).select("symbol", "n_bars", "missing_days", "out_of_session", "outliers", "flatline", fixed("score").alias("score"))
 
 
 @query("s8_s13_feature_store", f"WITH {FEATS}, u AS (SELECT f.feature, symbol, date, f.v FROM feats, LATERAL (VALUES ('mom_5d', mom_5d), ('rvol_20', rvol_20)) f(feature, v)), g AS (SELECT feature, symbol, count(*) AS n_values, count(*) FILTER (v IS NULL) AS n_nan, {fx('avg(v)')} AS mean FROM u GROUP BY feature, symbol), l AS (SELECT feature, symbol, arg_max(v, date) AS last_value FROM u WHERE v IS NOT NULL AND date <= DATE '1997-06-30' GROUP BY feature, symbol) SELECT feature, symbol, n_values, n_nan, mean, last_value FROM g LEFT JOIN l USING (feature, symbol)")

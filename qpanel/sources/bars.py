@@ -105,8 +105,19 @@ def normalise(bars: DataFrame, order_col: str = "ingest_order") -> DataFrame:
     return df.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
 
 
+def weekdays_before(date: Column) -> Column:
+    """Monday to Friday dates from 1970-01-05, a Monday, to the day before."""
+    n = F.date_diff(date, F.lit("1970-01-05").cast("date"))
+    return 5 * F.floor(n / 7) + F.least(F.pmod(n, F.lit(7)), F.lit(5))
+
+
 def quality_profile(bars: DataFrame) -> DataFrame:
-    """S7. Faults of each symbol's bars and a score out of 100."""
+    """S7. Faults of each symbol's bars and a score out of 100.
+
+    Sessions are Mondays to Fridays: missing_days are those between a symbol's first and
+    last bar without one, out_of_session its bars on other days. Missing days count in
+    the score by their share of the sessions.
+    """
     before, z = lag("close"), Window.partitionBy("symbol")
     df = bars.withColumn("_ret", F.when(before > 0, F.col("close") / before - 1)).withColumn("_same", F.col("close") == before)
     df = df.withColumn("_z", F.try_divide(F.abs(F.col("_ret") - F.avg("_ret").over(z)), F.stddev_pop("_ret").over(z)))
@@ -114,12 +125,16 @@ def quality_profile(bars: DataFrame) -> DataFrame:
     df = df.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_bars"),
         F.count_if(F.col("_dup") > 0).alias("duplicates"),
-        (F.date_diff(F.max("date"), F.min("date")) + 1 - F.countDistinct("date")).cast("long").alias("missing_days"),
+        (weekdays_before(F.date_add(F.max("date"), 1)) - weekdays_before(F.min("date"))).cast("long").alias("_sessions"),
+        F.countDistinct(F.when(F.weekday("date") < 5, F.col("date"))).alias("_met"),
+        F.count_if(F.weekday("date") >= 5).alias("out_of_session"),
         F.count_if(bad_bar("zero_price")).alias("zero_price"),
         F.count_if(bad_bar("bad_ohlc")).alias("bad_ohlc"),
         F.count_if(bad_bar("negative_volume")).alias("negative_volume"),
         F.count_if(F.col("_z") > 4).alias("outliers"),
         F.count_if(F.col("_same")).alias("flatline"),
     )
+    df = df.withColumn("missing_days", F.col("_sessions") - F.col("_met"))
+    absent = 10 * F.coalesce(F.try_divide("missing_days", "_sessions"), F.lit(0.0))
     share = lambda c, w: w * F.col(c) / F.col("n_bars")
-    return df.withColumn("score", F.greatest(F.lit(0.0), 100.0 - share("duplicates", 10) - share("bad_ohlc", 20) - share("outliers", 10) - share("zero_price", 10) - share("negative_volume", 10)))
+    return df.withColumn("score", F.greatest(F.lit(0.0), 100.0 - absent - share("duplicates", 10) - share("bad_ohlc", 20) - share("outliers", 10) - share("zero_price", 10) - share("negative_volume", 10))).drop("_sessions", "_met")

@@ -209,3 +209,18 @@ def test_feature_store(spark, tmp_path):
     store.write_report(wide, str(tmp_path / "r"), "run1")
     store.write_report(wide, str(tmp_path / "r"), "run1")
     assert spark.read.json(str(tmp_path / "r")).count() == 5
+
+
+def test_missing_sessions_are_weekdays(spark):
+    import datetime as dt
+
+    from qpanel.sources import bars as b
+
+    start = dt.date(1969, 12, 29)
+    days = [start + dt.timedelta(k) for k in (0, 1, 4, 5, 9, 9, 40, 41)]
+    rows = [("A", d, 1.0, 1.0, 1.0, 1.0, 10) for d in days] + [("B", dt.date(2024, 6, 1), 1.0, 1.0, 1.0, 1.0, 10)]
+    df = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume long")
+    got = {r["symbol"]: r for r in b.quality_profile(df).collect()}
+    sessions = [d for k in range(42) if (d := start + dt.timedelta(k)).weekday() < 5]
+    assert got["A"]["missing_days"] == len(set(sessions) - set(days)) and got["A"]["out_of_session"] == sum(d.weekday() > 4 for d in days)
+    assert got["B"]["missing_days"] == 0 and got["B"]["out_of_session"] == 1 and got["B"]["score"] == 100

@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "w1_w6_moving_averages", "w20_w28_scores_drawdown", "w25_runs", "w49_w60_microstructure", "w9_w11_rsi_atr", "w13_macd", "w71_breadth_lines", "l1_l2_forward_returns", "l5_triple_barrier", "l6_l7_cross_sectional_ranks", "j4_asof_join", "j6_event_windows",
     "j12_snapshot_diff", "a3_a4_rank_ic", "a5_mutual_information", "a19_event_study", "a23_segments", "a31_classification_pack", "a31_concentration_index", "v5_v6_purged_cv", "v6_multi_horizon_cv", "v9_random_pruning", "v11_decile_polarity", "v12_duplicate_results", "v14_event_flags", "v19_forbidden_language", "v21_rejected_log", "v23_walk_forward", "b3_b6_j8_scoreboard", "s18_feature_cache", "v1_planted_leaks", "j14_venue_quotes", "w72_fundamentals", "w40_expanding_percentile", "l10_first_passage", "v20_hit_rates", "a36_correlation_regimes", "s11_mergeable_summaries", "t7_features_in_disorder",
-    "s4_bars", "s13_point_in_time", "s14_s15_feature_matrix", "p12_p15_p16_scalars", "t1_t3_live_bars", "t2_late_events", "t4_sliding_volume", "t6_stale_alarms", "t7_running_features", "t9_stream_stream_join",
+    "s4_bars", "s7_quality_profile", "s13_point_in_time", "s14_s15_feature_matrix", "p12_p15_p16_scalars", "t1_t3_live_bars", "t2_late_events", "t4_sliding_volume", "t6_stale_alarms", "t7_running_features", "t9_stream_stream_join",
 ]
 NAMES = sorted(catalog.oracle_sql()) if os.environ.get("TEST_ALL_SQL") else SAMPLE
 
