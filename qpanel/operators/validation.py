@@ -192,16 +192,18 @@ def null_baselines(df: DataFrame, feature: str, labels: Sequence[str], perms: in
     """V8. What rank correlations are left without any relation, for each label: with labels dealt out anew within each symbol, and with a random feature.
 
     Mean and deviation of their absolute values over permutations and symbols, and their 95th percentile.
+    Ranks are settled once; only one side of the join has a row for each permutation, and
+    none is broadcast, as ranks take little room in files and far more in memory.
     """
     x = df.select("symbol", "date", F.col(feature).alias("x"), F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("y")) for n in labels])).alias("l")).select("symbol", "date", "x", "l.*").filter("x IS NOT NULL AND y IS NOT NULL")
     by = Window.partitionBy("symbol", "label")
-    x = x.select("symbol", "date", "label", F.rank().over(by.orderBy("x")).alias("rx"), F.rank().over(by.orderBy("y")).alias("ry"), F.row_number().over(by.orderBy("date")).alias("place"))
-    many = dealt_out(x, "symbol", "label", "date").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+    x = settled(x.select("symbol", "date", "label", F.rank().over(by.orderBy("x")).alias("rx"), F.rank().over(by.orderBy("y")).alias("ry"), F.row_number().over(by.orderBy("date")).alias("place")))
+    many = dealt_out(x.drop("rx", "place"), "symbol", "label", "date").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
     # a random order of a permutation deals out labels, and is itself a feature's ranks
     many = many.withColumn("turn", F.row_number().over(Window.partitionBy("symbol", "label", "perm").orderBy(draw(seed, "perm", "symbol", "date"), "date")))
     key = ["symbol", "label", "perm"]
-    dealt = many.select(*key, F.col("turn").alias("place"), F.col("ry").alias("ny"))
-    shuffled = many.select(*key, "place", "rx").join(dealt, [*key, "place"]).groupBy(*key).agg(F.corr("rx", "ny").alias("ic")).withColumn("baseline", F.lit("shuffled_label"))
+    places = x.select("symbol", "label", F.col("place").alias("turn"), "rx").hint("merge")
+    shuffled = many.join(places, ["symbol", "label", "turn"]).groupBy(*key).agg(F.corr("rx", "ry").alias("ic")).withColumn("baseline", F.lit("shuffled_label"))
     random_ = many.groupBy(*key).agg(F.corr(F.col("turn").cast("double"), F.col("ry")).alias("ic")).withColumn("baseline", F.lit("random_feature"))
     a = F.abs("ic")
     return shuffled.unionByName(random_).groupBy("label", "baseline").agg(F.count("ic").alias("n"), F.avg(a).alias("mean_abs_ic"), F.stddev_pop(a).alias("std_abs_ic"), F.percentile(a, 0.95).alias("p95_abs_ic"))

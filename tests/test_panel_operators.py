@@ -224,3 +224,14 @@ def test_missing_sessions_are_weekdays(spark):
     sessions = [d for k in range(42) if (d := start + dt.timedelta(k)).weekday() < 5]
     assert got["A"]["missing_days"] == len(set(sessions) - set(days)) and got["A"]["out_of_session"] == sum(d.weekday() > 4 for d in days)
     assert got["B"]["missing_days"] == 0 and got["B"]["out_of_session"] == 1 and got["B"]["score"] == 100
+
+
+def test_null_baseline_reads_its_rows_once_and_multiplies_one_side(spark, tmp_path):
+    rows = [(s, day(k), float((k * 7 + len(s)) % 11), float((k * 5) % 13)) for s in ("A", "BB") for k in range(40)]
+    spark.createDataFrame(rows, "symbol string, date date, x double, y double").write.parquet(f"{tmp_path}/rows")
+    df = validation.null_baselines(spark.read.parquet(f"{tmp_path}/rows"), "x", ["y"], perms=3)
+    # what the input takes, as the broadcast of parts, is there once, not once for each branch
+    assert not [f for f in df.inputFiles() if "/rows/" in f]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "BroadcastExchange" not in plan
+    assert {(r["baseline"], r["n"]) for r in df.collect()} == {("shuffled_label", 6), ("random_feature", 6)}
