@@ -65,14 +65,22 @@ def enriched(t: DataFrame, sector_map: DataFrame) -> DataFrame:
     return t.join(sector_map, "symbol", "left")
 
 
-def signals_with_bars(signals: DataFrame, bars: DataFrame, delay: str = DELAY, hold: str = "4 hours") -> DataFrame:
+def signals_with_bars(signals: DataFrame, bars: DataFrame, delay: str = DELAY, hold: str = "4 hours", parts: int = 4) -> DataFrame:
     """T-9. Signals (symbol, signal_ts) and later bars (symbol, bar_ts, close) within a span: both sides' state is bounded by the watermarks.
 
+    A signal belongs to one stretch of time, a part of the span; a bar goes to each stretch
+    in which its signals can be, so that it meets these alone and not all of its symbol.
     Bars may be those of closed_bars(), whose time carries the watermark of their ticks.
     """
-    s = signals.withWatermark("signal_ts", delay).alias("s")
-    b = (bars if bars.isStreaming and "_closed" in bars.columns else bars.withWatermark("bar_ts", delay)).alias("b")
-    return s.join(b, F.expr(f"s.symbol = b.symbol AND b.bar_ts > s.signal_ts AND b.bar_ts <= s.signal_ts + INTERVAL {hold}")).select("s.symbol", "signal_ts", "bar_ts", "close")
+    s = signals.withWatermark("signal_ts", delay)
+    b = bars if bars.isStreaming and "_closed" in bars.columns else bars.withWatermark("bar_ts", delay)
+    # plain numbers: a key with a watermark of its own would let state go by that
+    width = F.expr(f"CAST(ceil(unix_micros(timestamp_micros(0) + INTERVAL {hold}) / {parts}) AS LONG)")
+    stretch = lambda us: us - F.pmod(us, width)
+    s = s.withColumn("_stretch", stretch(F.unix_micros("signal_ts"))).alias("s")
+    first, last = F.unix_micros(F.expr(f"bar_ts - INTERVAL {hold}")), F.unix_micros("bar_ts") - 1
+    b = b.withColumn("_stretch", F.explode(F.sequence(stretch(first), stretch(last), width))).alias("b")
+    return s.join(b, F.expr(f"s.symbol = b.symbol AND s._stretch = b._stretch AND b.bar_ts > s.signal_ts AND b.bar_ts <= s.signal_ts + INTERVAL {hold}")).select("s.symbol", "signal_ts", "bar_ts", "close")
 
 
 def closed_bars(t: DataFrame, width: str = "1 hour", delay: str = DELAY) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qpanel.functions import kernels
 from qpanel.streaming import feeds
@@ -84,3 +85,22 @@ def test_alarms_in_any_order_once_each(spark, tmp_path):
         own = sorted(r[1] for r in rows if r[2] == symbol)
         want += [(symbol, a, a + hour) for a, b in zip(own, [*own[1:], end]) if b - a >= hour]
     assert sorted((r["symbol"], r["last_tick"], r["alarm_at"]) for r in found) == sorted(want)
+
+
+def test_bars_meet_the_signals_of_their_hours_alone(spark, tmp_path):
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    rng, hour = random.Random(4), 3600
+    # some on the edges of hours and spans, some twice
+    seconds = sorted([0, 0, hour, 4 * hour, 8 * hour - 1, *[rng.randrange(90 * hour) for _ in range(400)]])
+    rows = [(k, at(s), symbol, float(k), 0) for symbol in "AB" for k, s in enumerate(seconds)]
+    end = (9999, at(400 * hour), "Z", 1.0, 0)
+    make = lambda t: feeds.signals_with_bars(t.select("symbol", F.col("ts").alias("signal_ts")), feeds.closed_bars(t))
+    found = streamed(spark, tmp_path, [[*rows, end]], make)
+    closes = {}
+    for k, t, symbol, price, _ in rows:
+        closes[symbol, t - datetime.timedelta(minutes=t.minute, seconds=t.second) + datetime.timedelta(hours=1, microseconds=-1)] = price
+    want = [(r[2], r[1], t, c) for r in rows for (symbol, t), c in closes.items() if symbol == r[2] and r[1] < t <= r[1] + datetime.timedelta(hours=4)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    s = spark.readStream.schema(TICKS).parquet(f"{tmp_path}/in")
+    q = make(s)._jdf.queryExecution().analyzed().toString()
+    assert "_stretch" in next(line for line in q.splitlines() if "Join Inner" in line)
