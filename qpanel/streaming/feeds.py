@@ -90,18 +90,30 @@ def closed_bars(t: DataFrame, width: str = "1 hour", delay: str = DELAY) -> Data
     return b.select("symbol", F.window_time("window").alias("bar_ts"), "close", "volume", F.lit(True).alias("_closed"))
 
 
+def in_time(parts: list[np.ndarray]) -> np.ndarray:
+    """The rows of all parts by time and event."""
+    rows = np.concatenate(parts)
+    return rows[np.lexsort((rows["event"], rows["us"]))]
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in order of time and event, each once, whatever the order of the micro-batches that bring them.
 
-    A row waits in a buffer, which has one entry for each span of time, until the
-    watermark reaches it; then the rows up to there are sorted, repeats are left out, and
-    passed() gets them. Rows at or before the watermark come too late and are dropped, as
-    rows of their time have gone on already. State: the rows within the watermark's delay,
-    and whatever the subclass keeps; incoming rows are taken from the iterator chunk by
-    chunk. The span changes the number of entries, never a result.
+    A row waits in a buffer until the watermark reaches it; then the rows up to there are
+    sorted, repeats are left out, and passed() gets them. Rows at or before the watermark
+    come too late and are dropped, as rows of their time have gone on already.
+
+    The buffer has sorted blocks of rows by the time of their first: incoming rows are
+    taken from the iterator chunk by chunk, sorted as many at a time as memory may hold,
+    and cut where a new span of time begins, once a block is large enough. So a row is
+    written once, whatever the order of rows and the number of spans. State: the rows
+    within the watermark's delay, and whatever the subclass keeps. Span and sizes change
+    the number of entries, never a result.
     """
 
     row = np.dtype([("us", "<i8"), ("event", "<i8"), ("price", "<f8")])
+    #: Rows: sorted at a time, at least and at most in a block, at least for passed() if as many are due.
+    run, least, most, step = 500_000, 1_000, 20_000, 50_000
 
     def __init__(self, span: int = MINUTE):
         # in microseconds, as all times below
@@ -109,7 +121,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getMapState("buffer", T.StructType([T.StructField("span", T.LongType())]), T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.buffer = handle.getMapState("buffer", T.StructType([T.StructField("us", T.LongType()), T.StructField("part", T.LongType())]), T.StructType([T.StructField("rows", T.BinaryType())]))
         self.due = handle.getValueState("due", T.StructType([T.StructField("ms", T.LongType())]))
 
     def passed(self, key, rows: np.ndarray) -> pd.DataFrame | None:
@@ -133,45 +145,64 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(ms)
             self.due.update((ms,))
 
+    def store(self, rows: np.ndarray) -> None:
+        """Puts sorted rows into the buffer, block by block."""
+        starts, at = np.flatnonzero(np.diff(rows["us"] // self.span)) + 1, 0
+        while at < len(rows):
+            k = int(np.searchsorted(starts, at + self.least))
+            end = min(int(starts[k]) if k < len(starts) else len(rows), at + self.most)
+            us, part = int(rows["us"][at]), 0
+            while self.buffer.containsKey((us, part)):
+                part += 1
+            self.buffer.updateValue((us, part), (rows[at:end].tobytes(),))
+            at = end
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        watermark, first, waiting = timerValues.getCurrentWatermarkInMs() * 1000, None, []
         for chunk in rows:
             found = np.empty(len(chunk), dtype=self.row)
             found["us"] = chunk["ts"].astype("datetime64[us]").astype("int64").to_numpy()
             found["event"], found["price"] = chunk["event_id"].to_numpy(), chunk["price"].to_numpy(dtype=float, na_value=np.nan)
             found = found[found["us"] > watermark]
-            spans = found["us"] // self.span
-            for s in np.unique(spans).tolist():
-                before = self.buffer.getValue((s,))
-                self.buffer.updateValue((s,), ((bytes(before[0]) if before else b"") + found[spans == s].tobytes(),))
             if len(found):
-                first = min(int(found["us"].min()), first or int(found["us"].max()))
+                first = min(int(found["us"].min()), first if first is not None else int(found["us"].max()))
+                waiting.append(found)
+            if sum(map(len, waiting)) >= self.run:
+                self.store(in_time(waiting))
+                waiting = []
+        if waiting:
+            self.store(in_time(waiting))
         if first is not None:
             self.wake(-(-first // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark, waiting = timerValues.getCurrentWatermarkInMs() * 1000, None
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
         self.due.clear()
-        for (s,) in sorted(tuple(k) for k in self.buffer.keys()):
-            rows = np.frombuffer(bytes(self.buffer.getValue((s,))[0]), dtype=self.row)
-            rows = rows[np.lexsort((rows["event"], rows["us"]))]
-            ready = int(np.searchsorted(rows["us"], watermark, side="right"))
-            if ready < len(rows):
-                waiting = int(rows["us"][ready])
+        blocks = sorted(tuple(k) for k in self.buffer.keys())
+        due = sum(us <= watermark for us, _ in blocks)
+        held, carried = [], 0
+        for k, block in enumerate(blocks[:due]):
+            held.append(np.frombuffer(bytes(self.buffer.getValue(block)[0]), dtype=self.row))
+            self.buffer.removeKey(block)
+            if k + 1 < due and sum(map(len, held)) < 2 * carried + self.step:
+                continue
+            rows = in_time(held)
+            # the blocks to come have no row before the first of the next
+            ready = int(np.searchsorted(rows["us"], blocks[k + 1][0], side="left")) if k + 1 < due else int(np.searchsorted(rows["us"], watermark, side="right"))
+            held, carried = [rows[ready:]], len(rows) - ready
             if ready:
-                if waiting is None:
-                    self.buffer.removeKey((s,))
-                else:
-                    self.buffer.updateValue((s,), (rows[ready:].tobytes(),))
                 rows = rows[:ready]
                 once = np.r_[True, (rows["us"][1:] != rows["us"][:-1]) | (rows["event"][1:] != rows["event"][:-1])]
                 out = self.passed(key, rows[once])
                 if out is not None and len(out):
                     yield out
-            if waiting is not None:
-                self.wake(-(-waiting // 1000))
-                break
+        waiting = [us for us, _ in blocks[due : due + 1]]
+        if carried:
+            self.store(held[0])
+            waiting.append(int(held[0]["us"][0]))
+        if waiting:
+            self.wake(-(-min(waiting) // 1000))
         out = self.quiet_until(key, watermark)
         if out is not None and len(out):
             yield out

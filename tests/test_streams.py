@@ -6,6 +6,7 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,76 @@ def test_bars_meet_the_signals_of_their_hours_alone(spark, tmp_path):
     s = spark.readStream.schema(TICKS).parquet(f"{tmp_path}/in")
     q = make(s)._jdf.queryExecution().analyzed().toString()
     assert "_stretch" in next(line for line in q.splitlines() if "Join Inner" in line)
+
+
+class Kept:
+    """A state in memory that counts its calls: of one value, or of a map."""
+
+    def __init__(self, calls):
+        self.calls, self.map = calls, {}
+
+    def counted(f):
+        def call(self, *a):
+            self.calls.append(f.__name__)
+            return f(self, *a)
+
+        return call
+
+    exists = counted(lambda self: None in self.map)
+    get = counted(lambda self: self.map[None])
+    update = counted(lambda self, v: self.map.update({None: v}))
+    clear = counted(lambda self: self.map.clear())
+    keys = counted(lambda self: iter(list(self.map)))
+    containsKey = counted(lambda self, k: k in self.map)
+    getValue = counted(lambda self, k: self.map.get(k))
+    updateValue = counted(lambda self, k, v: self.map.update({k: v}))
+    removeKey = counted(lambda self, k: self.map.pop(k))
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getMapState(self, *a):
+        return Kept(self.calls)
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_state_is_called_for_blocks_of_rows_not_for_spans_of_chunks():
+    rng, n, minutes = np.random.default_rng(3), 60_000, 20_000
+    us = rng.integers(1, minutes * 60, n) * 1_000_000
+    us[:25_000] = us[0]
+    rows = pd.DataFrame({"ts": pd.to_datetime(us, unit="us"), "event_id": rng.permutation(n), "price": rng.integers(1, 99, n).astype(float)})
+    rows = rows.sample(frac=1, random_state=1)
+    p, h = feeds.RunningFeatures(), Handle()
+    p.run, p.step = 20_000, 7_000
+    p.init(h)
+    chunks = [rows[k : k + 1000] for k in range(0, n, 1000)]
+    list(p.handleInputRows(("A",), iter(chunks[:40]), At(0)))
+    # some are repeated, and the watermark stops within the rows before the last are due
+    list(p.handleInputRows(("A",), iter(chunks[30:]), At(0)))
+    found = []
+    for ms in (minutes * 20_000, minutes * 40_000, minutes * 60_000):
+        assert min(h.timers) <= ms
+        h.timers.clear()
+        found += list(p.handleExpiredTimer(("A",), At(ms), None))
+    assert not h.timers and not p.buffer.map
+    assert len(h.calls) < n // 100
+    got, want = pd.concat(found), rows.sort_values(["ts", "event_id"])
+    assert got["ts"].tolist() == want["ts"].tolist() and got["price"].tolist() == want["price"].tolist()
+    assert np.allclose(got["ema_10"].to_numpy(), kernels.ema(want["price"].to_numpy(), 10), equal_nan=True)
