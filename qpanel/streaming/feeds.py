@@ -262,7 +262,7 @@ def in_order(t: DataFrame, processor: InOrder, out: str, delay: str) -> DataFram
 
 
 def running_features(t: DataFrame, delay: str = DELAY, span: int = MINUTE) -> DataFrame:
-    """T-7. Running features of all ticks that the watermark has reached; prices are present. Long delays want long spans, as each has an entry of state."""
+    """T-7. Running features of all ticks that the watermark has reached; prices are present."""
     return in_order(t, RunningFeatures(span), RUNNING_OUT, delay)
 
 
